@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ctxrec.functions.urls import url_blacklisted
 
-EMPTY_STRINGS = F.array().cast("array<string>")
+
+def _empty_strings():
+    return F.array().cast("array<string>")
 
 
 def resource_defaults(urls: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def resource_defaults(urls: DataFrame) -> DataFrame:
     return urls.select(
         "url",
         F.lit(None).cast("string").alias("content"),
-        EMPTY_STRINGS.alias("parents"),
+        _empty_strings().alias("parents"),
         F.lit(False).alias("processed"),
         F.current_timestamp().alias("date"),
         F.lit(False).alias("blacklisted"),

@@ -127,3 +127,17 @@ def resource_parents(views: DataFrame, resources: DataFrame | None = None) -> Da
         "parents", F.sort_array(F.array_union(F.coalesce("parents", F.array().cast("array<string>")),
                                               F.coalesce("new_parents", F.array().cast("array<string>"))))
     ).drop("new_parents")
+
+
+def previous_ready_url(events: DataFrame, bucket_ms: int = HOUR_MS) -> DataFrame:
+    """For every ``ready`` event, the url of the previous ``ready`` of its tab."""
+    ev = (events.where(F.col("type") == "ready")
+          .select("event_id", "tab_id", "url", "ts_ms", time_bucket("ts_ms", bucket_ms).alias("__bucket")))
+    ev = carry_last(ev, ["tab_id"], ["ts_ms", "event_id"], "__bucket",
+                    {"__prev": (F.lit(True), F.struct("url"))})
+    return ev.select("event_id", "tab_id", F.col("__prev.v.url").alias("prev_ready_url"))
+
+
+def resource_parent_edges(views: DataFrame) -> DataFrame:
+    """(url, parent) pairs: the scalable form of ``resources.parents``."""
+    return views.where(F.col("parent").isNotNull()).select("url", "parent").distinct()

@@ -12,8 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxrec.operators import ranking, views as views_op
+from ctxrec.functions.urls import DEFAULT_BLACKLIST, url_blacklisted
+from ctxrec.operators import features, pages as pages_op, ranking, store, views as views_op
+from ctxrec.session import scratch_path
 from ctxrec.sources import adapters
+from ctxrec.sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -33,6 +36,22 @@ def _views(spark, sf):
     return adapters.driver_views(spark, sf)
 
 
+def _events(spark, sf):
+    return adapters.driver_events(spark, sf)
+
+
+def _resources(spark, sf):
+    return adapters.driver_resources(spark, sf)
+
+
+def _pages(spark, sf):
+    return read_table(spark, sf, "pages", "page_id", "url", "html")
+
+
+def _r6(c):
+    return F.round(F.col(c), 6).alias(c)
+
+
 @query("events_to_views")
 def q_events_to_views(spark, sf):
     return _views(spark, sf).select(*VIEW_COLS)
@@ -43,5 +62,338 @@ def q_rank_heuristic(spark, sf):
     return ranking.rank_heuristic(_views(spark, sf))
 
 
+# --- 2.1 scans, sources, sinks ------------------------------------------------
+
+@query("scan_collections")
+def q_scan_collections(spark, sf):
+    parts = {
+        "events": _events(spark, sf),
+        "tabs": adapters.driver_tabs(spark, sf),
+        "users": adapters.driver_users(spark, sf),
+        "resources": _resources(spark, sf),
+        "views": _views(spark, sf),
+    }
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("collection"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("ingest_event")
+def q_ingest_event(spark, sf):
+    e = _events(spark, sf)
+    raw = e.select("event_id", "type", "title", "url", F.col("ts_ms").cast("string").alias("timestamp"),
+                   "tab_id", "username", F.col("lat").cast("string").alias("lat"),
+                   F.col("lon").cast("string").alias("long"))
+    return store.ingest_events(raw).select("event_id", "type", "url", "ts_ms", "tab_id", "username", "lat", "lon")
+
+
+@query("ingest_tab_relation")
+def q_ingest_tab_relation(spark, sf):
+    return store.ingest_tab_relations(adapters.driver_tabs(spark, sf))
+
+
+@query("register_users")
+def q_register_users(spark, sf):
+    e = read_table(spark, sf, "events", "user_id", "ts", "event_type")
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username")
+    cut = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    existing = e.where(F.col("ts") < cut).select(name)
+    requested = e.where(F.col("event_type") == "signup").select(name)
+    return store.register_users(existing, requested)
+
+
+@query("record_feedback")
+def q_record_feedback(spark, sf):
+    v = views_op.events_to_views(_events(spark, sf))
+    first = adapters.fixture_feedback(v)
+    u, k = adapters.user_key(F.col("username")), adapters.site_key(F.col("url"))
+    again = (first.where(k % 2 == 0)
+             .select("username", "url", ((u * 7 + k + 1) % 6).cast("string").alias("feedback"),
+                     F.lit(1).cast("bigint").alias("ts_ms")))
+    return store.record_feedback(v, first.unionByName(again)).select("view_id", "username", "url", "feedback")
+
+
+@query("feedback_worklist")
+def q_feedback_worklist(spark, sf):
+    return store.feedback_worklist(_views(spark, sf), _resources(spark, sf))
+
+
+def _resource_summary(df):
+    return df.select("url", "processed", "blacklisted", "textual",
+                     F.length("content").cast("bigint").alias("content_chars"))
+
+
+@query("upsert_resources")
+def q_upsert_resources(spark, sf):
+    urls = _views(spark, sf).select("url").unionByName(_pages(spark, sf).select("url"))
+    return _resource_summary(store.upsert_resources(_resources(spark, sf), urls))
+
+
+@query("mark_processed")
+def q_mark_processed(spark, sf):
+    e = _events(spark, sf)
+    return views_op.mark_processed(e, views_op.events_to_views(e)).select("event_id", "processed")
+
+
+@query("reset_conversion")
+def q_reset_conversion(spark, sf):
+    e = _events(spark, sf)
+    marked = views_op.mark_processed(e, views_op.events_to_views(e))
+    return views_op.reset_conversion(marked).select("event_id", "processed")
+
+
+@query("reset_downloads")
+def q_reset_downloads(spark, sf):
+    return _resource_summary(store.reset_downloads(_resources(spark, sf)))
+
+
+@query("clean_users")
+def q_clean_users(spark, sf):
+    return store.clean_users(adapters.driver_users(spark, sf), _views(spark, sf))
+
+
+@query("bulk_load")
+def q_bulk_load(spark, sf):
+    from ctxrec.sources.store import export_table, load_export
+    import uuid
+
+    views = _views(spark, sf).select(*VIEW_COLS)
+    path = scratch_path(spark, f"export-views-{uuid.uuid4().hex}")
+    export_table(views, path)
+    return load_export(spark, path, views.schema)
+
+
+@query("load_training_corpus")
+def q_load_training_corpus(spark, sf):
+    corpus = ranking.eligible_resources(_resources(spark, sf))
+    return corpus.select("url", F.length("content").cast("bigint").alias("n_chars"))
+
+
+# --- 2.2 projections, filters, predicates, distinct -----------------------------
+
+@query("distinct_usernames")
+def q_distinct_usernames(spark, sf):
+    return _views(spark, sf).select("username").distinct()
+
+
+@query("user_view_urls")
+def q_user_view_urls(spark, sf):
+    return _views(spark, sf).select("username", "url").distinct()
+
+
+@query("eligible_resources")
+def q_eligible_resources(spark, sf):
+    return ranking.eligible_resources(_resources(spark, sf)).select("url")
+
+
+@query("nonempty_resources")
+def q_nonempty_resources(spark, sf):
+    return _resources(spark, sf).where(F.length("content") > 0).select("url")
+
+
+@query("ranked_view_urls")
+def q_ranked_view_urls(spark, sf):
+    return ranking.ranked_views(_views(spark, sf)).select("username", "url").distinct()
+
+
+@query("unranked_view_urls")
+def q_unranked_view_urls(spark, sf):
+    return ranking.unranked_views(_views(spark, sf)).select("username", "url").distinct()
+
+
+@query("particular_user")
+def q_particular_user(spark, sf):
+    return _views(spark, sf).where(F.col("username") == "u1").select("username", "url").distinct()
+
+
+@query("url_blacklist")
+def q_url_blacklist(spark, sf):
+    urls = (_pages(spark, sf).select("url")
+            .unionByName(_events(spark, sf).select("url")).distinct())
+    patterns = DEFAULT_BLACKLIST + pages_op.PAGE_BLACKLIST
+    return urls.select("url", url_blacklisted(F.col("url"), patterns).alias("blacklisted"))
+
+
+@query("already_downloaded")
+def q_already_downloaded(spark, sf):
+    urls = _views(spark, sf).select("url").distinct()
+    done = _resources(spark, sf).where(F.col("processed")).select("url").withColumn("__d", F.lit(True))
+    return (urls.join(done, on="url", how="left")
+            .select("url", F.coalesce("__d", F.lit(False)).alias("downloaded")))
+
+
+@query("pending_resources")
+def q_pending_resources(spark, sf):
+    state = store.upsert_resources(_resources(spark, sf), _pages(spark, sf).select("url"))
+    return state.where(~F.col("processed")).select("url")
+
+
+@query("views_features")
+def q_views_features(spark, sf):
+    return features.views_features(_views(spark, sf)).select("view_id", *features.VIEW_FEATURE_COLUMNS)
+
+
+# --- 2.3 joins ------------------------------------------------------------------
+
+@query("user_documents")
+def q_user_documents(spark, sf):
+    from ctxrec.operators.text import user_documents
+    docs = user_documents(_views(spark, sf), _resources(spark, sf))
+    return docs.select("username", "url", F.length("content").cast("bigint").alias("n_chars"))
+
+
+@query("views_not_blacklisted")
+def q_views_not_blacklisted(spark, sf):
+    v = _views(spark, sf)
+    bad = _resources(spark, sf).where(F.col("blacklisted")).select("url")
+    return v.join(bad, on="url", how="left_anti").select("view_id", "url", "username")
+
+
+@query("ranked_dataset")
+def q_ranked_dataset(spark, sf):
+    return ranking.ranked_dataset(_views(spark, sf), _resources(spark, sf))
+
+
+@query("unranked_dataset")
+def q_unranked_dataset(spark, sf):
+    return ranking.unranked_dataset(_views(spark, sf), _resources(spark, sf))
+
+
+@query("first_view_per_resource")
+def q_first_view_per_resource(spark, sf):
+    return ranking.first_view_per_resource(_views(spark, sf)).select(
+        "username", "url", "view_id", "ts_ms", "duration")
+
+
+@query("resource_label")
+def q_resource_label(spark, sf):
+    return ranking.resource_label(_views(spark, sf))
+
+
+@query("recent_activity")
+def q_recent_activity(spark, sf):
+    return features.recent_activity(_views(spark, sf)).drop("username", "ts_ms")
+
+
+# --- 2.4 event -> view conversion -------------------------------------------------
+
+@query("view_attributes")
+def q_view_attributes(spark, sf):
+    return _views(spark, sf).select("view_id", "duration", "ts_ms", "daytime", "weekday")
+
+
+@query("view_parent")
+def q_view_parent(spark, sf):
+    return _views(spark, sf).select("view_id", "url", "parent")
+
+
+@query("resource_parents")
+def q_resource_parents(spark, sf):
+    return views_op.resource_parent_edges(_views(spark, sf))
+
+
+# --- 2.5 aggregations -------------------------------------------------------------
+
+@query("context_features")
+def q_context_features(spark, sf):
+    f = features.context_features(_views(spark, sf))
+    cols = features.context_feature_columns()
+    return f.select("username", "url", *cols[:2], *[_r6(c) for c in cols[2:]])
+
+
+@query("context_features_v1")
+def q_context_features_v1(spark, sf):
+    f = features.context_features(_views(spark, sf), with_location=False)
+    cols = features.context_feature_columns(False)
+    return f.select("username", "url", *cols[:2], *[_r6(c) for c in cols[2:]])
+
+
+@query("context_row_mean")
+def q_context_row_mean(spark, sf):
+    f = features.context_features(_views(spark, sf))
+    return features.context_row_mean(f).select("username", "url", _r6("row_mean"))
+
+
+@query("user_averages")
+def q_user_averages(spark, sf):
+    a = ranking.user_averages(_views(spark, sf))
+    return a.select("username", _r6("avg_duration"), _r6("avg_views_per_url"))
+
+
+@query("rank_histogram")
+def q_rank_histogram(spark, sf):
+    from ctxrec.operators.evaluate import rank_histogram
+    return rank_histogram(ranking.rank_heuristic(_views(spark, sf)))
+
+
+# --- 2.6 windows ------------------------------------------------------------------
+
+@query("location_changed")
+def q_location_changed(spark, sf):
+    return features.location_changed(_views(spark, sf)).select("view_id", "location_changed")
+
+
+@query("previous_ready_url")
+def q_previous_ready_url(spark, sf):
+    return views_op.previous_ready_url(_events(spark, sf))
+
+
+# --- 2.7 sorts, limits ------------------------------------------------------------
+
+@query("events_by_tab_time")
+def q_events_by_tab_time(spark, sf):
+    e = _events(spark, sf).withColumn("__b", F.floor(F.col("ts_ms") / views_op.HOUR_MS))
+    return features.positions(e, ["tab_id"], ["ts_ms", "event_id"], "__b").select("event_id", "tab_id", "pos")
+
+
+@query("holdout_split")
+def q_holdout_split(spark, sf):
+    from ctxrec.operators.evaluate import holdout_split
+    return holdout_split(ranking.ranked_dataset(_views(spark, sf), _resources(spark, sf)))
+
+
+# --- 2.8 set ops / rankings ---------------------------------------------------------
+
+@query("rank_explicit")
+def q_rank_explicit(spark, sf):
+    return ranking.rank_explicit(_views(spark, sf), _resources(spark, sf))
+
+
+@query("rank_constant")
+def q_rank_constant(spark, sf):
+    return ranking.rank_constant(_views(spark, sf), _resources(spark, sf))
+
+
+@query("merge_rankings")
+def q_merge_rankings(spark, sf):
+    v = _views(spark, sf)
+    heur = ranking.rank_heuristic(v).withColumn("source", F.lit("heuristic"))
+    return ranking.merge_rankings(ranking.rank_explicit(v, _resources(spark, sf)), heur)
+
+
+# --- 2.10 page text -------------------------------------------------------------------
+
+@query("extract_page_text")
+def q_extract_page_text(spark, sf):
+    return pages_op.extract_page_text(_pages(spark, sf))
+
+
+@query("classify_resources")
+def q_classify_resources(spark, sf):
+    text = pages_op.extract_page_text(_pages(spark, sf)).select("url", "text")
+    res = store.resource_defaults(text.select("url")).join(text, on="url")
+    return _resource_summary(pages_op.classify_resources(res))
+
+
+@query("prepare_resources")
+def q_prepare_resources(spark, sf):
+    pages = _pages(spark, sf)
+    res = pages_op.resources_from_pages(pages)
+    patterns = DEFAULT_BLACKLIST + pages_op.PAGE_BLACKLIST
+    return _resource_summary(pages_op.prepare_resources(res, pages, patterns))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return q_rank_heuristic(spark, sf)

@@ -108,3 +108,260 @@ def sql(key: str, text: str) -> None:
 
 sql("events_to_views", f"{V} SELECT {VIEW_COLS} FROM views")
 sql("rank_heuristic", f"{VH} SELECT username, url, score FROM heur")
+
+# --- 2.1 scans, sources, sinks --------------------------------------------------
+
+_TABS = """
+tn AS (SELECT DISTINCT user_id, k % 3 AS n FROM e0),
+tp AS (SELECT user_id, n, lag(n) OVER (PARTITION BY user_id ORDER BY n) AS pn FROM tn),
+tabs AS (SELECT concat(cast(user_id AS varchar), '-', cast(n AS varchar)) AS tab_id,
+                concat(cast(user_id AS varchar), '-', cast(pn AS varchar)) AS parent_id,
+                concat('u', cast(user_id AS varchar)) AS username
+         FROM tp WHERE pn IS NOT NULL)"""
+
+sql("scan_collections", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _TABS) + """
+SELECT 'events' AS collection, count(*) AS n_rows FROM b_events
+UNION ALL SELECT 'tabs', count(*) FROM tabs
+UNION ALL SELECT 'users', count(DISTINCT user_id) FROM e0
+UNION ALL SELECT 'resources', count(*) FROM resources
+UNION ALL SELECT 'views', count(*) FROM views""")
+
+sql("ingest_event", f"{EV} SELECT event_id, type, url, ts_ms, tab_id, username, lat, lon FROM b_events")
+
+sql("ingest_tab_relation", with_ctes(_EVENTS, _TABS) + " SELECT tab_id, parent_id, username FROM tabs")
+
+sql("register_users", """
+SELECT DISTINCT concat('u', cast(user_id AS varchar)) AS username FROM events
+WHERE event_type = 'signup'
+  AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02 00:00:00')""")
+
+sql("record_feedback", f"""{V}
+SELECT view_id, username, url,
+       CASE WHEN (cast(substr(username, 2) AS bigint) + cast(regexp_extract(url, 'site([0-9]+)', 1) AS int)) % 3 = 0
+            THEN cast((cast(substr(username, 2) AS bigint) * 7 + cast(regexp_extract(url, 'site([0-9]+)', 1) AS int)
+                       + CASE WHEN cast(regexp_extract(url, 'site([0-9]+)', 1) AS int) % 2 = 0 THEN 1 ELSE 0 END) % 6 AS varchar)
+            ELSE 'none' END AS feedback
+FROM views""")
+
+sql("feedback_worklist", f"""{VR}
+SELECT DISTINCT username, url FROM views
+WHERE feedback = 'none' AND url IN (SELECT url FROM resources WHERE NOT blacklisted)""")
+
+sql("upsert_resources", f"""{VR}
+SELECT url, processed, blacklisted, textual, cast(length(content) AS bigint) AS content_chars FROM resources
+UNION ALL
+SELECT url, false, false, false, cast(NULL AS bigint) FROM (
+  SELECT url FROM views UNION SELECT url FROM pages) n
+WHERE url NOT IN (SELECT url FROM resources)""")
+
+sql("mark_processed", f"""{V}
+SELECT event_id, (event_id IN (SELECT view_id FROM views) OR event_id IN (SELECT end_event_id FROM views)) AS processed
+FROM b_events""")
+
+sql("reset_conversion", f"{EV} SELECT event_id, false AS processed FROM b_events")
+
+sql("reset_downloads", f"""{with_ctes(_RESOURCES)}
+SELECT url, false AS processed, false AS blacklisted, textual, cast(NULL AS bigint) AS content_chars FROM resources""")
+
+sql("clean_users", f"{V} SELECT DISTINCT username FROM views")
+
+sql("bulk_load", f"{V} SELECT {VIEW_COLS} FROM views")
+
+sql("load_training_corpus", f"""{with_ctes(_RESOURCES)}
+SELECT url, cast(length(content) AS bigint) AS n_chars FROM resources WHERE NOT blacklisted AND processed""")
+
+# --- 2.2 projections, filters ------------------------------------------------------
+
+sql("distinct_usernames", f"{V} SELECT DISTINCT username FROM views")
+sql("user_view_urls", f"{V} SELECT DISTINCT username, url FROM views")
+sql("eligible_resources", f"{with_ctes(_RESOURCES)} SELECT url FROM resources WHERE NOT blacklisted AND processed")
+sql("nonempty_resources", f"{with_ctes(_RESOURCES)} SELECT url FROM resources WHERE length(content) > 0")
+sql("ranked_view_urls", f"{V} SELECT DISTINCT username, url FROM views WHERE feedback IS NOT NULL AND feedback <> 'none'")
+sql("unranked_view_urls", f"{V} SELECT DISTINCT username, url FROM views WHERE feedback = 'none'")
+sql("particular_user", f"{V} SELECT DISTINCT username, url FROM views WHERE username = 'u1'")
+
+sql("url_blacklist", f"""{EV}
+SELECT url, (lower(regexp_extract(url, '^([A-Za-z0-9+.\\-]+):', 1)) NOT IN ('http', 'https')
+             OR contains(url, 'facebook') OR contains(url, 'google') OR contains(url, 'gmail')
+             OR contains(url, 'amazon') OR contains(url, 'twitter') OR contains(url, 'delicious')
+             OR contains(url, 'spam-farm') OR contains(url, 'cheap-pills')) AS blacklisted
+FROM (SELECT url FROM pages UNION SELECT url FROM b_events) u""")
+
+sql("already_downloaded", f"""{VR}
+SELECT url, url IN (SELECT url FROM resources WHERE processed) AS downloaded FROM (SELECT DISTINCT url FROM views) u""")
+
+sql("pending_resources", f"""{with_ctes(_RESOURCES)}
+SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM resources)""")
+
+sql("views_features", f"""{V}
+SELECT view_id, lat, lon, duration, daytime, cast(floor(daytime / 4) AS int) AS day_part, weekday FROM views""")
+
+# --- 2.3 joins --------------------------------------------------------------------
+
+sql("user_documents", f"""{VR}
+SELECT u.username, u.url, cast(length(r.content) AS bigint) AS n_chars
+FROM (SELECT DISTINCT username, url FROM views) u JOIN resources r ON u.url = r.url
+WHERE NOT r.blacklisted AND r.processed""")
+
+sql("views_not_blacklisted", f"""{VR}
+SELECT view_id, url, username FROM views v
+WHERE NOT EXISTS (SELECT 1 FROM resources r WHERE r.url = v.url AND r.blacklisted)""")
+
+_ELIG = "url IN (SELECT url FROM resources WHERE NOT blacklisted AND processed)"
+sql("ranked_dataset", f"""{VR}
+SELECT DISTINCT username, url FROM views WHERE feedback IS NOT NULL AND feedback <> 'none' AND {_ELIG}""")
+sql("unranked_dataset", f"""{VR}
+SELECT DISTINCT username, url FROM views WHERE feedback = 'none' AND {_ELIG}""")
+
+sql("first_view_per_resource", f"""{V}
+SELECT username, url, view_id, ts_ms, duration FROM (
+  SELECT *, row_number() OVER (PARTITION BY username, url ORDER BY ts_ms, view_id) AS rn FROM views) WHERE rn = 1""")
+
+_LABEL = """
+lab AS (SELECT username, url, cast(feedback AS int) AS label FROM (
+  SELECT *, row_number() OVER (PARTITION BY username, url ORDER BY ts_ms, view_id) AS rn
+  FROM views WHERE feedback IS NOT NULL AND feedback <> 'none') WHERE rn = 1)"""
+
+sql("resource_label", with_ctes(_EVENTS, _VIEWS, _LABEL) + " SELECT username, url, label FROM lab")
+
+sql("recent_activity", f"""{V}
+SELECT view_id,
+  count(*) OVER (PARTITION BY username ORDER BY ts_ms RANGE BETWEEN 3599999 PRECEDING AND 1 PRECEDING) > 0 AS active_1h,
+  count(*) OVER (PARTITION BY username ORDER BY ts_ms RANGE BETWEEN 7199999 PRECEDING AND 1 PRECEDING) > 0 AS active_2h,
+  count(*) OVER (PARTITION BY username ORDER BY ts_ms RANGE BETWEEN 10799999 PRECEDING AND 1 PRECEDING) > 0 AS active_3h,
+  count(*) OVER (PARTITION BY username ORDER BY ts_ms RANGE BETWEEN 14399999 PRECEDING AND 1 PRECEDING) > 0 AS active_4h,
+  count(*) OVER (PARTITION BY username ORDER BY ts_ms RANGE BETWEEN 17999999 PRECEDING AND 1 PRECEDING) > 0 AS active_5h
+FROM views""")
+
+# --- 2.4 conversion parts -----------------------------------------------------------
+
+sql("view_attributes", f"{V} SELECT view_id, duration, ts_ms, daytime, weekday FROM views")
+sql("view_parent", f"{V} SELECT view_id, url, parent FROM views")
+sql("resource_parents", f"{V} SELECT DISTINCT url, parent FROM views WHERE parent IS NOT NULL")
+
+# --- 2.5 aggregations ---------------------------------------------------------------
+
+_LOC = """
+lc AS (SELECT *, CASE WHEN lag(1) OVER w IS NULL THEN 0.0
+                      WHEN lat IS NOT DISTINCT FROM lag(lat) OVER w AND lon IS NOT DISTINCT FROM lag(lon) OVER w THEN 0.0
+                      ELSE 1.0 END AS location_changed
+       FROM views WINDOW w AS (PARTITION BY username, url ORDER BY ts_ms, view_id))"""
+
+
+def _ctx_select(series):
+    parts = ["count(*) AS n_views", "cast(sum(duration) AS bigint) AS total_duration"]
+    fns = {"average": "avg", "mean": "avg", "median": "median", "var": "var_pop", "std": "stddev_pop"}
+    for ind in ["average", "mean", "median", "var", "std"]:
+        for s in series:
+            parts.append(f"round({fns[ind]}(cast({s} AS double)), 6) AS {ind}_{s}")
+    return ", ".join(parts)
+
+
+CTX17 = _ctx_select(["daytime", "weekday", "location_changed"])
+CTX12 = _ctx_select(["daytime", "weekday"])
+sql("context_features", with_ctes(_EVENTS, _VIEWS, _LOC) + f" SELECT username, url, {CTX17} FROM lc GROUP BY username, url")
+sql("context_features_v1", f"{V} SELECT username, url, {CTX12} FROM views GROUP BY username, url")
+
+_CTXRAW = """
+cf AS (SELECT username, url, count(*) AS a1, sum(duration) AS a2,
+  avg(daytime) AS a3, avg(weekday) AS a4, avg(location_changed) AS a5,
+  avg(daytime) AS a6, avg(weekday) AS a7, avg(location_changed) AS a8,
+  median(cast(daytime AS double)) AS a9, median(cast(weekday AS double)) AS a10, median(location_changed) AS a11,
+  var_pop(daytime) AS a12, var_pop(weekday) AS a13, var_pop(location_changed) AS a14,
+  stddev_pop(daytime) AS a15, stddev_pop(weekday) AS a16, stddev_pop(location_changed) AS a17
+  FROM lc GROUP BY username, url)"""
+sql("context_row_mean", with_ctes(_EVENTS, _VIEWS, _LOC, _CTXRAW) + """
+SELECT username, url, round((a1 + a2 + a3 + a4 + a5 + a6 + a7 + a8 + a9 + a10 + a11 + a12 + a13 + a14 + a15 + a16 + a17) / 17, 6) AS row_mean FROM cf""")
+
+sql("user_averages", f"""{V}
+SELECT username, round(sum(sd) / sum(n), 6) AS avg_duration, round(avg(n), 6) AS avg_views_per_url FROM (
+  SELECT username, url, count(*) AS n, sum(duration) AS sd FROM views WHERE feedback = 'none' GROUP BY username, url)
+GROUP BY username""")
+
+sql("rank_histogram", f"{VH} SELECT cast(round(score) AS int) AS score_bucket, count(*) AS n FROM heur GROUP BY 1")
+
+# --- 2.6 windows --------------------------------------------------------------------
+
+sql("location_changed", with_ctes(_EVENTS, _VIEWS, _LOC) + " SELECT view_id, location_changed = 1.0 AS location_changed FROM lc")
+
+sql("previous_ready_url", f"""{EV}
+SELECT event_id, tab_id, lag(url) OVER (PARTITION BY tab_id ORDER BY ts_ms, event_id) AS prev_ready_url
+FROM b_events WHERE type = 'ready'""")
+
+# --- 2.7 sorts ----------------------------------------------------------------------
+
+sql("events_by_tab_time", f"""{EV}
+SELECT event_id, tab_id, row_number() OVER (PARTITION BY tab_id ORDER BY ts_ms, event_id) - 1 AS pos FROM b_events""")
+
+sql("holdout_split", f"""{VR},
+rd AS (SELECT DISTINCT username, url FROM views WHERE feedback IS NOT NULL AND feedback <> 'none' AND {_ELIG})
+SELECT username, url, cast(CASE WHEN row_number() OVER (PARTITION BY username ORDER BY url) - 1
+                                   < floor(count(*) OVER (PARTITION BY username) / 2) THEN 0 ELSE 1 END AS int) AS half
+FROM rd""")
+
+# --- 2.8 rankings -------------------------------------------------------------------
+
+_EXPL = _LABEL + """,
+expl AS (SELECT username, url, cast(label AS double) AS score, 'explicit' AS source FROM lab
+         WHERE url IN (SELECT url FROM resources WHERE NOT blacklisted AND processed))"""
+
+sql("rank_explicit", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _EXPL) + " SELECT username, url, score, source FROM expl")
+
+sql("rank_constant", f"""{VR}
+SELECT DISTINCT username, url, 2.5 AS score FROM views WHERE feedback = 'none' AND {_ELIG}""")
+
+sql("merge_rankings", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _HEUR, _EXPL) + """
+SELECT username, url, score, source FROM expl
+UNION ALL
+SELECT username, url, cast(score AS double), 'heuristic' FROM heur h
+WHERE NOT EXISTS (SELECT 1 FROM expl e WHERE e.username = h.username AND e.url = h.url)""")
+
+# --- 2.10 page text -------------------------------------------------------------------
+
+_DROP = r"(?is)<(script|style|head)(\s[^>]*)?>.*?</(script|style|head)>|<!--.*?-->"
+_BLOCK = r"(?i)<\s*/?\s*(p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|article|nav|section|header|footer|table|tr|td|br)\b[^>]*>"
+_LINK = r"(?is)<a\b[^>]*>(.*?)</a>"
+
+
+def _clean(x: str) -> str:
+    t = f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"
+    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]:
+        t = f"replace({t}, '{ent}', '{ch}')"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+
+
+_PAGE_TEXT = f"""
+pg AS (SELECT page_id, url, string_split_regex(regexp_replace(coalesce(html, ''), '{_DROP}', '', 'g'), '{_BLOCK}') AS raw
+       FROM pages),
+bl AS (SELECT page_id, unnest(raw) AS b, generate_subscripts(raw, 1) AS pos FROM pg),
+bc AS (SELECT page_id, pos, {_clean('b')} AS t,
+              {_clean(f"array_to_string(regexp_extract_all(b, '{_LINK}', 1), ' ')")} AS lt FROM bl),
+bw AS (SELECT page_id, pos, t, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS w,
+              CASE WHEN lt = '' THEN 0 ELSE len(string_split(lt, ' ')) END AS lw FROM bc),
+bn AS (SELECT page_id, pos, t, w, lw / w AS ld,
+              coalesce(lag(w) OVER p, 0) AS pw, coalesce(lag(lw / w) OVER p, 0.0) AS pld,
+              coalesce(lead(w) OVER p, 0) AS nw
+       FROM bw WHERE w > 0 WINDOW p AS (PARTITION BY page_id ORDER BY pos)),
+bk AS (SELECT page_id, pos, t, CASE WHEN ld > 1.0 / 3.0 THEN false
+                                    WHEN pld <= 0.555556 THEN (w > 16 OR nw > 15 OR pw > 4)
+                                    ELSE (w > 40 OR nw > 17) END AS keep FROM bn),
+ptext AS (SELECT p.page_id, p.url, coalesce(string_agg(bk.t, chr(10) ORDER BY bk.pos) FILTER (WHERE bk.keep), '') AS text
+          FROM pages p LEFT JOIN bk ON p.page_id = bk.page_id GROUP BY p.page_id, p.url)"""
+
+sql("extract_page_text", with_ctes(_PAGE_TEXT) + " SELECT page_id, url, text FROM ptext")
+
+sql("classify_resources", with_ctes(_PAGE_TEXT) + """
+SELECT url, true AS processed, text = '' AS blacklisted, length(text) >= 200 AS textual,
+       CASE WHEN text = '' THEN NULL ELSE cast(length(text) AS bigint) END AS content_chars
+FROM ptext""")
+
+sql("prepare_resources", with_ctes(_PAGE_TEXT) + """,
+first_page AS (SELECT url, arg_min(text, page_id) AS text FROM ptext GROUP BY url),
+pr AS (SELECT url, CASE WHEN lower(regexp_extract(url, '^([A-Za-z0-9+.\\-]+):', 1)) NOT IN ('http', 'https')
+                          OR contains(url, 'facebook') OR contains(url, 'google') OR contains(url, 'gmail')
+                          OR contains(url, 'amazon') OR contains(url, 'twitter') OR contains(url, 'delicious')
+                          OR contains(url, 'spam-farm') OR contains(url, 'cheap-pills') THEN '' ELSE text END AS text
+       FROM first_page)
+SELECT url, true AS processed, text = '' AS blacklisted, length(text) >= 200 AS textual,
+       CASE WHEN text = '' THEN NULL ELSE cast(length(text) AS bigint) END AS content_chars
+FROM pr""")
