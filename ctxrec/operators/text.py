@@ -40,3 +40,77 @@ def group_term_counts(doc_terms: DataFrame, doc_to_group: DataFrame, doc_keys: l
     """Term counts of the concatenated documents of each group."""
     j = doc_terms.join(doc_to_group, on=doc_keys)
     return j.groupBy(*group_keys, "term").agg(F.sum("tf").alias("tf"))
+
+
+def token_stats(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    t = tokens(F.col(text))
+    return docs.select(key, F.size(t).cast("bigint").alias("n_tokens"),
+                       F.size(F.array_distinct(t)).cast("bigint").alias("n_terms"))
+
+
+def fit_idf(corpus: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The idf model of a training corpus as a table (term, idf) with
+    idf = ln((n + 1) / (df + 1)); terms outside the corpus have none."""
+    n_docs = corpus.select(key).count()
+    counts = term_counts(corpus, [key], text)
+    return (counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            .select("term", F.log((F.lit(n_docs) + 1.0) / (F.col("df") + 1.0)).alias("idf")))
+
+
+def tfidf(doc_terms: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
+    """L2-normalised tf * idf of each document's terms known to the model."""
+    w = doc_terms.join(idf, on="term").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__norm"))
+    return (w.join(norm, on=keys)
+            .select(*keys, "term", (F.col("w") / F.col("__norm")).alias("weight")))
+
+
+def _words(text: Column) -> Column:
+    """Lower-cased whitespace tokens (no token pattern)."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^\s+|\s+$", "")
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
+
+
+def cluster_top_bigrams(docs: DataFrame, cluster: str, key: str, text: str, n: int,
+                        min_freq: int = 3) -> DataFrame:
+    """Per cluster, the n bigrams of the cluster's concatenated documents
+    (in ``key`` order) with the best Jaccard association n12 / (n1 + n2 - n12),
+    among bigrams seen at least ``min_freq`` times; ties by the words.
+
+    Bigrams inside a document come from the token array itself; the bigram
+    across two neighbouring documents joins one document's last word with the
+    next one's first, found by a skew-safe "previous document" lookup.
+    """
+    from ctxrec.operators.sequence import carry_last
+    from ctxrec.operators.topk import top_k
+
+    d = docs.select(cluster, key, _words(F.col(text)).alias("t")).where(F.size("t") > 0)
+    inner = d.select(cluster, F.explode(F.filter(
+        F.transform("t", lambda x, i: F.struct(x.alias("w1"), F.try_element_at(F.col("t"), i + 2).alias("w2"))),
+        lambda b: b["w2"].isNotNull())).alias("b")).select(cluster, "b.w1", "b.w2")
+
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = (d.select(cluster, key, F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"))
+            .repartitionByRange(n_parts, cluster, key).withColumn("__rp", F.spark_partition_id()))
+    ends = carry_last(ends, [cluster], [key], "__rp", {"__prev": (F.lit(True), F.col("last"))})
+    border = ends.where(F.col("__prev").isNotNull()).select(
+        cluster, F.col("__prev.v").alias("w1"), F.col("first").alias("w2"))
+
+    bigrams = (inner.unionByName(border).groupBy(cluster, "w1", "w2")
+               .agg(F.count(F.lit(1)).alias("n12")).where(F.col("n12") >= min_freq))
+    words = d.select(cluster, F.explode("t").alias("w")).groupBy(cluster, "w").agg(F.count(F.lit(1)).alias("nw"))
+    w1 = words.select(cluster, F.col("w").alias("w1"), F.col("nw").alias("n1"))
+    w2 = words.select(cluster, F.col("w").alias("w2"), F.col("nw").alias("n2"))
+    scored = (bigrams.join(w1, on=[cluster, "w1"]).join(w2, on=[cluster, "w2"])
+              .withColumn("score", F.col("n12") / (F.col("n1") + F.col("n2") - F.col("n12"))))
+    return top_k(scored, [cluster], [F.col("score").desc(), F.col("w1"), F.col("w2")], n)
+
+
+def cluster_top_words(doc_weights: DataFrame, doc_to_cluster: DataFrame, doc_key: str,
+                      cluster: str, n: int) -> DataFrame:
+    """Per cluster, the n terms with the largest summed tf-idf weight."""
+    from ctxrec.operators.topk import top_k
+
+    sums = (doc_weights.join(doc_to_cluster, on=doc_key)
+            .groupBy(cluster, "term").agg(F.sum("weight").alias("weight")))
+    return top_k(sums, [cluster], [F.col("weight").desc(), F.col("term")], n)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxrec.functions.urls import DEFAULT_BLACKLIST, url_blacklisted
-from ctxrec.operators import features, pages as pages_op, ranking, store, views as views_op
+from ctxrec.operators import features, pages as pages_op, ranking, store, text, views as views_op
 from ctxrec.session import scratch_path
 from ctxrec.sources import adapters
 from ctxrec.sources.tables import read_table
@@ -395,5 +395,54 @@ def q_prepare_resources(spark, sf):
     return _resource_summary(pages_op.prepare_resources(res, pages, patterns))
 
 
+# --- 2.11 text features -------------------------------------------------------------
+
+def _documents(spark, sf):
+    return read_table(spark, sf, "documents", "doc_id", "text", "source")
+
+
+def _corpus_idf(spark, sf):
+    return text.fit_idf(_documents(spark, sf).select("doc_id", "text"), "doc_id")
+
+
+def _viewed_url_terms(spark, sf):
+    """Term counts of each viewed url's eligible resource (one per url)."""
+    urls = _views(spark, sf).select("url").distinct()
+    docs = urls.join(ranking.eligible_resources(_resources(spark, sf)).select("url", "content"), on="url")
+    return text.term_counts(docs, ["url"], "content")
+
+
+@query("tokenize")
+def q_tokenize(spark, sf):
+    return text.token_stats(_documents(spark, sf), "doc_id")
+
+
+@query("tfidf")
+def q_tfidf(spark, sf):
+    w = text.tfidf(_viewed_url_terms(spark, sf), _corpus_idf(spark, sf), ["url"])
+    return w.select("url", "term", _r6("weight"))
+
+
+@query("user_text")
+def q_user_text(spark, sf):
+    pairs = _views(spark, sf).select("username", "url").distinct()
+    return text.group_term_counts(_viewed_url_terms(spark, sf), pairs, ["url"], ["username"]) \
+        .select("username", "term", F.col("tf").cast("bigint").alias("tf"))
+
+
+@query("cluster_top_bigrams")
+def q_cluster_top_bigrams(spark, sf):
+    b = text.cluster_top_bigrams(_documents(spark, sf), "source", "doc_id", "text", 5)
+    return b.select("source", "rank", "w1", "w2", "n12", _r6("score"))
+
+
+@query("cluster_top_word")
+def q_cluster_top_word(spark, sf):
+    docs = _documents(spark, sf)
+    weights = text.tfidf(text.term_counts(docs, ["doc_id"], "text"), _corpus_idf(spark, sf), ["doc_id"])
+    top = text.cluster_top_words(weights, docs.select("doc_id", "source"), "doc_id", "source", 3)
+    return top.select("source", "rank", "term", _r6("weight"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return q_rank_heuristic(spark, sf)

@@ -365,3 +365,51 @@ pr AS (SELECT url, CASE WHEN lower(regexp_extract(url, '^([A-Za-z0-9+.\\-]+):',
 SELECT url, true AS processed, text = '' AS blacklisted, length(text) >= 200 AS textual,
        CASE WHEN text = '' THEN NULL ELSE cast(length(text) AS bigint) END AS content_chars
 FROM pr""")
+
+# --- 2.11 text features ------------------------------------------------------------
+
+_TOKEN = r"[\p{L}\p{N}_]{2,}"
+_IDF = f"""
+ctok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM documents),
+ctf AS (SELECT doc_id, term, count(*) AS tf FROM ctok GROUP BY doc_id, term),
+idf AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)) AS idf FROM ctf GROUP BY term)"""
+
+_UTF = f"""
+ud AS (SELECT DISTINCT v.url, r.content FROM views v JOIN resources r ON v.url = r.url
+       WHERE NOT r.blacklisted AND r.processed),
+utok AS (SELECT url, unnest(regexp_extract_all(lower(content), '{_TOKEN}')) AS term FROM ud),
+utf AS (SELECT url, term, count(*) AS tf FROM utok GROUP BY url, term)"""
+
+sql("tokenize", f"""
+SELECT doc_id, cast(len(regexp_extract_all(lower(text), '{_TOKEN}')) AS bigint) AS n_tokens,
+       cast(len(list_distinct(regexp_extract_all(lower(text), '{_TOKEN}'))) AS bigint) AS n_terms
+FROM documents""")
+
+sql("tfidf", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _IDF, _UTF) + """,
+uw AS (SELECT url, utf.term, tf * idf AS w FROM utf JOIN idf ON utf.term = idf.term),
+un AS (SELECT url, sqrt(sum(w * w)) AS norm FROM uw GROUP BY url)
+SELECT uw.url, term, round(w / norm, 6) AS weight FROM uw JOIN un ON uw.url = un.url""")
+
+sql("user_text", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _UTF) + """
+SELECT username, term, cast(sum(tf) AS bigint) AS tf
+FROM (SELECT DISTINCT username, url FROM views) p JOIN utf ON p.url = utf.url GROUP BY username, term""")
+
+sql("cluster_top_bigrams", r"""
+WITH bt AS (SELECT source, doc_id, string_split_regex(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '\s+') AS t
+            FROM documents WHERE regexp_replace(lower(text), '^\s+|\s+$', '', 'g') <> ''),
+bw AS (SELECT source, doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM bt),
+bs AS (SELECT source, w, lead(w) OVER (PARTITION BY source ORDER BY doc_id, pos) AS w2 FROM bw),
+bg AS (SELECT source, w AS w1, w2, count(*) AS n12 FROM bs WHERE w2 IS NOT NULL GROUP BY source, w, w2 HAVING count(*) >= 3),
+wc AS (SELECT source, w, count(*) AS nw FROM bw GROUP BY source, w),
+sc AS (SELECT bg.source, w1, w2, n12, n12 / (a.nw + b.nw - n12) AS score FROM bg
+       JOIN wc a ON a.source = bg.source AND a.w = bg.w1 JOIN wc b ON b.source = bg.source AND b.w = bg.w2)
+SELECT source, cast(rank AS int) AS rank, w1, w2, n12, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, w1, w2) AS rank FROM sc) WHERE rank <= 5""")
+
+sql("cluster_top_word", with_ctes(_IDF) + """,
+dw AS (SELECT doc_id, ctf.term, tf * idf AS w FROM ctf JOIN idf ON ctf.term = idf.term),
+dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY doc_id),
+cs AS (SELECT d.source, dw.term, sum(dw.w / dn.norm) AS weight FROM dw JOIN dn ON dw.doc_id = dn.doc_id
+       JOIN documents d ON d.doc_id = dw.doc_id GROUP BY d.source, dw.term)
+SELECT source, cast(rank AS int) AS rank, term, round(weight, 6) AS weight
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS rank FROM cs) WHERE rank <= 3""")
