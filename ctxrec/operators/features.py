@@ -121,12 +121,25 @@ def positions(df: DataFrame, keys, order_cols, bucket: str) -> DataFrame:
             .drop("__pos_in", "__off"))
 
 
-def range_positions(df: DataFrame, keys, order_cols, n_parts: int | None = None) -> DataFrame:
-    """:func:`positions` when the order is not a time: range-partition by
-    (keys, order) first, so a large key spans several partitions, and use the
-    partition id as the bucket."""
-    keys = list(keys)
+def range_buckets(df: DataFrame, keys, order_cols, n_parts: int | None = None,
+                  bucket: str = "__rp") -> DataFrame:
+    """Rows range-partitioned by (keys, order) with the partition id as a
+    bucket that is non-decreasing in the order within a key. Range bounds are
+    sampled per shuffle, so the bucketed rows are checkpointed (to the shared
+    checkpoint folder) before several branches read them."""
+    from ctxrec.session import checkpoint_dir
+
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys, *order_cols).withColumn("__rp", F.spark_partition_id())
+    return (df.repartitionByRange(n, *keys, *order_cols)
+            .withColumn(bucket, F.spark_partition_id())
+            .checkpoint(eager=True))
+
+
+def range_positions(df: DataFrame, keys, order_cols, n_parts: int | None = None) -> DataFrame:
+    """:func:`positions` when the order is not a time: a large key spans
+    several range partitions, whose ids serve as buckets."""
+    keys = list(keys)
+    ranged = range_buckets(df, keys, order_cols, n_parts)
     return positions(ranged, keys, order_cols, "__rp").drop("__rp")

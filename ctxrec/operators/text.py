@@ -89,9 +89,11 @@ def cluster_top_bigrams(docs: DataFrame, cluster: str, key: str, text: str, n: i
         F.transform("t", lambda x, i: F.struct(x.alias("w1"), F.try_element_at(F.col("t"), i + 2).alias("w2"))),
         lambda b: b["w2"].isNotNull())).alias("b")).select(cluster, "b.w1", "b.w2")
 
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ends = (d.select(cluster, key, F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"))
-            .repartitionByRange(n_parts, cluster, key).withColumn("__rp", F.spark_partition_id()))
+    from ctxrec.operators.features import range_buckets
+
+    ends = range_buckets(
+        d.select(cluster, key, F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last")),
+        [cluster], [key])
     ends = carry_last(ends, [cluster], [key], "__rp", {"__prev": (F.lit(True), F.col("last"))})
     border = ends.where(F.col("__prev").isNotNull()).select(
         cluster, F.col("__prev.v").alias("w1"), F.col("first").alias("w2"))

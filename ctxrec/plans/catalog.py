@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxrec.functions.urls import DEFAULT_BLACKLIST, url_blacklisted
-from ctxrec.operators import features, pages as pages_op, ranking, store, text, views as views_op
+from ctxrec.operators import cf, cluster, features, pages as pages_op, ranking, store, text, views as views_op
 from ctxrec.session import scratch_path
 from ctxrec.sources import adapters
 from ctxrec.sources.tables import read_table
@@ -444,5 +444,171 @@ def q_cluster_top_word(spark, sf):
     return top.select("source", "rank", "term", _r6("weight"))
 
 
+# --- 2.12 clustering --------------------------------------------------------------------
+
+FIX_ITER = 3  # Lloyd rounds of the checked clusterings (the oracle unrolls the same count)
+
+
+def _embedding_points(spark, sf):
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    return e.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("features"))
+
+
+def _clean_views(spark, sf):
+    v = _views(spark, sf)
+    bad = _resources(spark, sf).where(F.col("blacklisted")).select("url")
+    return v.join(bad, on="url", how="left_anti")
+
+
+def _view_points(spark, sf):
+    f = features.views_features(_clean_views(spark, sf))
+    return f.select("username", "view_id", "url",
+                    F.array(*[F.col(c).cast("double") for c in features.VIEW_FEATURE_COLUMNS]).alias("features"))
+
+
+def _context_points(spark, sf):
+    f = features.context_features(_views(spark, sf))
+    cols = features.context_feature_columns()
+    return f.select("username", "url", F.array(*[F.round(F.col(c).cast("double"), 6) for c in cols]).alias("features"))
+
+
+def view_profiles(spark, sf, k=10, iterations=FIX_ITER):
+    pts = _view_points(spark, sf)
+    a, _ = cluster.grouped_kmeans(pts, "username", "view_id", k, iterations)
+    return a.join(pts.select("view_id", "url"), on="view_id")
+
+
+@query("kmeans_text_profiles")
+def q_kmeans_text_profiles(spark, sf):
+    a, _ = cluster.grouped_kmeans(_embedding_points(spark, sf), "label", "vec_id", 5, FIX_ITER)
+    return a.select("label", "vec_id", "cluster")
+
+
+@query("kmeans_view_profiles")
+def q_kmeans_view_profiles(spark, sf):
+    return view_profiles(spark, sf).select("username", "view_id", "cluster")
+
+
+@query("kmeans_context_profiles")
+def q_kmeans_context_profiles(spark, sf):
+    a, _ = cluster.grouped_kmeans(_context_points(spark, sf), "username", "url", 5, FIX_ITER)
+    return a.select("username", "url", "cluster")
+
+
+@query("cluster_distribution")
+def q_cluster_distribution(spark, sf):
+    a, _ = cluster.grouped_kmeans(_embedding_points(spark, sf), "label", "vec_id", 5, FIX_ITER)
+    return cluster.cluster_distribution(a, "label").select("label", "cluster", "n", _r6("share"))
+
+
+@query("cluster_members")
+def q_cluster_members(spark, sf):
+    a, _ = cluster.grouped_kmeans(_embedding_points(spark, sf), "label", "vec_id", 5, FIX_ITER)
+    return a.select("label", "cluster", F.col("vec_id").alias("member"))
+
+
+@query("profile_urls")
+def q_profile_urls(spark, sf):
+    return view_profiles(spark, sf).select("username", F.col("cluster").alias("profile"), "url").distinct()
+
+
+@query("profile_documents")
+def q_profile_documents(spark, sf):
+    pu = view_profiles(spark, sf).select("username", F.col("cluster").alias("profile"), "url").distinct()
+    bags = text.group_term_counts(_viewed_url_terms(spark, sf), pu, ["url"], ["username", "profile"])
+    return bags.select("username", "profile", "term", F.col("tf").cast("bigint").alias("tf"))
+
+
+@query("profile_text")
+def q_profile_text(spark, sf):
+    a, _ = cluster.grouped_kmeans(_context_points(spark, sf), "username", "url", 5, FIX_ITER)
+    pu = a.select("username", F.col("cluster").alias("profile"), "url")
+    bags = text.group_term_counts(_viewed_url_terms(spark, sf), pu, ["url"], ["username", "profile"])
+    return bags.select("username", "profile", "term", F.col("tf").cast("bigint").alias("tf"))
+
+
+# --- 2.13 similarity / 2.15 collaborative filtering ----------------------------------------
+
+def _page_vectors(spark, sf):
+    """Reduced text vector of each eligible page: embedding k is page k's."""
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding")
+    pages = ranking.eligible_resources(_resources(spark, sf)).select(
+        "url", adapters.site_key(F.col("url")).cast("bigint").alias("vec_id"))
+    return pages.join(e, on="vec_id").select("url", F.col("embedding").cast("array<double>").alias("features"))
+
+
+def _cf_rankings(spark, sf):
+    v = _views(spark, sf)
+    heur = ranking.rank_heuristic(v).withColumn("source", F.lit("heuristic"))
+    return ranking.merge_rankings(ranking.rank_explicit(v, _resources(spark, sf)), heur)
+
+
+def _profile_inputs(spark, sf, iterations=FIX_ITER):
+    pu = view_profiles(spark, sf, 10, iterations).select(
+        "username", F.col("cluster").alias("profile"), "url").distinct()
+    pv = cf.mean_vectors(pu, _page_vectors(spark, sf), ["username", "profile"])
+    return pu, pv
+
+
+def _emb_points(spark, sf):
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    return e.select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("owner"),
+                    F.col("embedding").cast("array<double>").alias("features"))
+
+
+@query("pairwise_euclidean")
+def q_pairwise_euclidean(spark, sf):
+    from ctxrec.operators.similarity import nearest
+    nn = nearest(_emb_points(spark, sf), 10, exclude_self=True)
+    return nn.select("id_a", "id_b", _r6("distance"), "rank")
+
+
+@query("best_matches")
+def q_best_matches(spark, sf):
+    from ctxrec.operators.similarity import nearest, similarity
+    nn = nearest(_emb_points(spark, sf), 5, exclude_self=False)
+    return nn.select("id_a", "id_b", F.round(similarity(), 6).alias("similarity"), "rank")
+
+
+@query("top10_profiles")
+def q_top10_profiles(spark, sf):
+    _, pv = _profile_inputs(spark, sf)
+    m = cf.profile_matches(pv, 10)
+    return m.select("id_a", "id_b", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query("match_rank")
+def q_match_rank(spark, sf):
+    _, pv = _profile_inputs(spark, sf)
+    return cf.profile_matches(pv, 10).select("id_a", "id_b", F.col("rank").alias("match_rank"))
+
+
+@query("weighted_ranks_join")
+def q_weighted_ranks_join(spark, sf):
+    pu, pv = _profile_inputs(spark, sf)
+    w = cf.weighted_ranks(cf.profile_matches(pv, 10), pu, _cf_rankings(spark, sf))
+    return w.select("id_a", "url", "id_b", _r6("weight"))
+
+
+@query("cf_profiles")
+def q_cf_profiles(spark, sf):
+    pu, pv = _profile_inputs(spark, sf)
+    return cf.cf_profiles(pv, pu, _cf_rankings(spark, sf), 10).select("username", "url", _r6("score"))
+
+
+@query("sorted_recommendations")
+def q_sorted_recommendations(spark, sf):
+    pu, pv = _profile_inputs(spark, sf)
+    recs = cf.cf_profiles(pv, pu, _cf_rankings(spark, sf), 10).withColumn("score", F.round("score", 6))
+    return cf.sorted_recommendations(recs).select("username", "url", "score", "position")
+
+
+@query("cf_users")
+def q_cf_users(spark, sf):
+    pairs = _clean_views(spark, sf).select("username", "url").distinct()
+    uv = cf.mean_vectors(pairs, _page_vectors(spark, sf), ["username"])
+    return cf.cf_users(uv, _cf_rankings(spark, sf), 3).select("username", "url", _r6("score"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return q_rank_heuristic(spark, sf)

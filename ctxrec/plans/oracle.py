@@ -413,3 +413,164 @@ cs AS (SELECT d.source, dw.term, sum(dw.w / dn.norm) AS weight FROM dw JOIN dn O
        JOIN documents d ON d.doc_id = dw.doc_id GROUP BY d.source, dw.term)
 SELECT source, cast(rank AS int) AS rank, term, round(weight, 6) AS weight
 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS rank FROM cs) WHERE rank <= 3""")
+
+# --- 2.12 grouped k-means, unrolled --------------------------------------------------
+
+
+def _sqd(a: str, b: str) -> str:
+    return (f"list_sum(list_transform(range(1, len({a}) + 1), "
+            f"lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))")
+
+
+def kmeans_ctes(points_cte: str, k: int, rounds: int, prefix: str = "km") -> tuple[str, str]:
+    """CTEs of a grouped Lloyd run over ``points_cte`` (grp, key, feats).
+    Returns (ctes, name of the final assignment CTE with grp, key, cluster)."""
+    p = prefix
+    ctes = [f"""
+{p}_c0 AS (SELECT grp, cast(r - 1 AS int) AS cluster, feats AS center FROM (
+  SELECT grp, feats, row_number() OVER (PARTITION BY grp ORDER BY mk) AS r
+  FROM (SELECT grp, feats, min(key) AS mk FROM {points_cte} GROUP BY grp, feats)) WHERE r <= {k})"""]
+
+    def assign(i):
+        return f"""
+{p}_a{i} AS (SELECT grp, key, feats, cluster FROM (
+  SELECT pt.grp, pt.key, pt.feats, c.cluster,
+         row_number() OVER (PARTITION BY pt.grp, pt.key
+                            ORDER BY round({_sqd('pt.feats', 'c.center')}, 9), c.cluster) AS r
+  FROM {points_cte} pt JOIN {p}_c{i} c ON pt.grp = c.grp) WHERE r = 1)"""
+
+    for i in range(rounds):
+        ctes.append(assign(i))
+        ctes.append(f"""
+{p}_m{i} AS (SELECT grp, cluster, list(v ORDER BY d) AS center FROM (
+  SELECT grp, cluster, d, avg(x) AS v FROM (
+    SELECT grp, cluster, unnest(feats) AS x, generate_subscripts(feats, 1) AS d FROM {p}_a{i})
+  GROUP BY grp, cluster, d) GROUP BY grp, cluster),
+{p}_c{i + 1} AS (SELECT c.grp, c.cluster, coalesce(m.center, c.center) AS center
+  FROM {p}_c{i} c LEFT JOIN {p}_m{i} m ON c.grp = m.grp AND c.cluster = m.cluster)""")
+    ctes.append(assign(rounds))
+    return ",".join(ctes), f"{p}_a{rounds}"
+
+
+FIX_ITER = 3
+
+_EMB_PTS = """
+emb_pts AS (SELECT label AS grp, vec_id AS key, cast(embedding AS double[]) AS feats FROM embeddings)"""
+_KM_TEXT, _KM_TEXT_OUT = kmeans_ctes("emb_pts", 5, FIX_ITER, "kt")
+
+_VIEW_PTS = """
+cv AS (SELECT * FROM views v WHERE NOT EXISTS (SELECT 1 FROM resources r WHERE r.url = v.url AND r.blacklisted)),
+view_pts AS (SELECT username AS grp, view_id AS key, url,
+                    [lat, lon, cast(duration AS double), cast(daytime AS double),
+                     cast(floor(daytime / 4) AS double), cast(weekday AS double)] AS feats FROM cv)"""
+_KM_VIEW, _KM_VIEW_OUT = kmeans_ctes("view_pts", 10, FIX_ITER, "kv")
+
+_CTX_PTS = """
+ctx_pts AS (SELECT username AS grp, url AS key,
+  [cast(a1 AS double), cast(a2 AS double), round(a3, 6), round(a4, 6), round(a5, 6), round(a6, 6), round(a7, 6),
+   round(a8, 6), round(a9, 6), round(a10, 6), round(a11, 6), round(a12, 6), round(a13, 6), round(a14, 6),
+   round(a15, 6), round(a16, 6), round(a17, 6)] AS feats FROM cf)"""
+_KM_CTX, _KM_CTX_OUT = kmeans_ctes("ctx_pts", 5, FIX_ITER, "kc")
+
+sql("kmeans_text_profiles", with_ctes(_EMB_PTS, _KM_TEXT) +
+    f" SELECT grp AS label, key AS vec_id, cluster FROM {_KM_TEXT_OUT}")
+
+sql("kmeans_view_profiles", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _VIEW_PTS, _KM_VIEW) +
+    f" SELECT grp AS username, key AS view_id, cluster FROM {_KM_VIEW_OUT}")
+
+sql("kmeans_context_profiles", with_ctes(_EVENTS, _VIEWS, _LOC, _CTXRAW, _CTX_PTS, _KM_CTX) +
+    f" SELECT grp AS username, key AS url, cluster FROM {_KM_CTX_OUT}")
+
+sql("cluster_distribution", with_ctes(_EMB_PTS, _KM_TEXT) + f"""
+SELECT grp AS label, cluster, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY grp), 6) AS share
+FROM {_KM_TEXT_OUT} GROUP BY grp, cluster""")
+
+sql("cluster_members", with_ctes(_EMB_PTS, _KM_TEXT) +
+    f" SELECT grp AS label, cluster, key AS member FROM {_KM_TEXT_OUT}")
+
+_PROFILE_URLS = f"""
+pu AS (SELECT DISTINCT a.grp AS username, a.cluster AS profile, p.url
+       FROM {_KM_VIEW_OUT} a JOIN view_pts p ON a.grp = p.grp AND a.key = p.key)"""
+
+sql("profile_urls", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _VIEW_PTS, _KM_VIEW, _PROFILE_URLS) +
+    " SELECT username, profile, url FROM pu")
+
+sql("profile_documents", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _VIEW_PTS, _KM_VIEW, _PROFILE_URLS, _UTF) + """
+SELECT username, profile, term, cast(sum(tf) AS bigint) AS tf FROM pu JOIN utf ON pu.url = utf.url
+GROUP BY username, profile, term""")
+
+sql("profile_text", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _LOC, _CTXRAW, _CTX_PTS, _KM_CTX, _UTF) + f"""
+SELECT a.grp AS username, a.cluster AS profile, term, cast(sum(tf) AS bigint) AS tf
+FROM {_KM_CTX_OUT} a JOIN utf ON a.key = utf.url GROUP BY a.grp, a.cluster, term""")
+
+# --- 2.13 / 2.15 similarity and collaborative filtering ----------------------------------
+
+_EMB_ALL = """
+ep AS (SELECT cast(vec_id AS varchar) AS id, cast(label AS varchar) AS owner, cast(embedding AS double[]) AS feats
+       FROM embeddings),
+ed AS (SELECT a.id AS id_a, b.id AS id_b, round(sqrt(""" + _sqd("a.feats", "b.feats") + """), 9) AS distance
+       FROM ep a JOIN ep b ON true)"""
+
+sql("pairwise_euclidean", with_ctes(_EMB_ALL) + """
+SELECT id_a, id_b, round(distance, 6) AS distance, cast(rank AS int) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) AS rank FROM ed WHERE id_a <> id_b)
+WHERE rank <= 10""")
+
+sql("best_matches", with_ctes(_EMB_ALL) + """
+SELECT id_a, id_b, round(1.0 / (1.0 + distance), 6) AS similarity, cast(rank AS int) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) AS rank FROM ed)
+WHERE rank <= 5""")
+
+_PAGEVEC = """
+pv AS (SELECT r.url, cast(e.embedding AS double[]) AS feats FROM resources r
+       JOIN embeddings e ON e.vec_id = cast(regexp_extract(r.url, 'site([0-9]+)', 1) AS bigint)
+       WHERE NOT r.blacklisted AND r.processed),
+pvx AS (SELECT url, unnest(feats) AS x, generate_subscripts(feats, 1) AS d FROM pv)"""
+
+_PROFVEC = """
+pvec AS (SELECT username, profile, concat(username, ':', cast(profile AS varchar)) AS pid, list(v ORDER BY d) AS feats
+         FROM (SELECT pu.username, pu.profile, d, avg(x) AS v FROM pu JOIN pvx ON pu.url = pvx.url
+               GROUP BY pu.username, pu.profile, d) GROUP BY username, profile),
+pnn AS (SELECT * FROM (
+  SELECT a.pid AS id_a, b.pid AS id_b, a.username AS ua, a.profile AS pa, b.username AS ub, b.profile AS pb,
+         round(sqrt(""" + _sqd("a.feats", "b.feats") + """), 9) AS distance FROM pvec a JOIN pvec b ON a.username <> b.username)
+  QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) <= 10),
+pnr AS (SELECT *, cast(row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) AS int) AS rank,
+               1.0 / (1.0 + distance) AS similarity FROM pnn)"""
+
+_RK = """
+rk AS (SELECT username, url, score FROM expl
+       UNION ALL SELECT username, url, cast(score AS double) FROM heur h
+       WHERE NOT EXISTS (SELECT 1 FROM expl e WHERE e.username = h.username AND e.url = h.url))"""
+
+_WR = """
+wr AS (SELECT pnr.id_a, pnr.ua AS username, pnr.pa AS profile, pu.url, pnr.id_b, pnr.rank, rk.score * pnr.similarity AS weight
+       FROM pnr JOIN pu ON pu.username = pnr.ub AND pu.profile = pnr.pb
+       JOIN rk ON rk.username = pnr.ub AND rk.url = pu.url),
+cfp AS (SELECT username, url, sum(weight) AS score FROM (
+          SELECT username, profile, url, arg_max(weight, rank) AS weight FROM wr GROUP BY username, profile, url)
+        GROUP BY username, url)"""
+
+_CF_BASE = (_EVENTS, _VIEWS, _RESOURCES, _VIEW_PTS, _KM_VIEW, _PROFILE_URLS, _PAGEVEC, _PROFVEC)
+
+sql("top10_profiles", with_ctes(*_CF_BASE) + " SELECT id_a, id_b, rank, round(similarity, 6) AS similarity FROM pnr")
+sql("match_rank", with_ctes(*_CF_BASE) + " SELECT id_a, id_b, rank AS match_rank FROM pnr")
+sql("weighted_ranks_join", with_ctes(*_CF_BASE, _HEUR, _EXPL, _RK, _WR) +
+    " SELECT id_a, url, id_b, round(weight, 6) AS weight FROM wr")
+sql("cf_profiles", with_ctes(*_CF_BASE, _HEUR, _EXPL, _RK, _WR) +
+    " SELECT username, url, round(score, 6) AS score FROM cfp")
+sql("sorted_recommendations", with_ctes(*_CF_BASE, _HEUR, _EXPL, _RK, _WR) + """
+SELECT username, url, round(score, 6) AS score,
+       cast(row_number() OVER (PARTITION BY username ORDER BY round(score, 6) DESC, url) AS int) AS position FROM cfp""")
+
+sql("cf_users", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _PAGEVEC, _HEUR, _EXPL, _RK) + """,
+uvec AS (SELECT username, list(v ORDER BY d) AS feats FROM (
+  SELECT u.username, d, avg(x) AS v FROM (SELECT DISTINCT username, url FROM views v
+    WHERE NOT EXISTS (SELECT 1 FROM resources r WHERE r.url = v.url AND r.blacklisted)) u
+  JOIN pvx ON u.url = pvx.url GROUP BY u.username, d) GROUP BY username),
+unn AS (SELECT * FROM (
+  SELECT a.username AS ua, b.username AS ub, round(sqrt(""" + _sqd("a.feats", "b.feats") + """), 9) AS distance
+  FROM uvec a JOIN uvec b ON a.username <> b.username)
+  QUALIFY row_number() OVER (PARTITION BY ua ORDER BY distance, ub) <= 3)
+SELECT ua AS username, rk.url, round(sum(rk.score / (1.0 + distance)), 6) AS score
+FROM unn JOIN rk ON rk.username = unn.ub GROUP BY ua, rk.url""")
