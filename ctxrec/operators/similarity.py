@@ -26,7 +26,7 @@ _OUT = "id_a string, id_b string, distance double"
 def _block_knn(k: int, exclude_self: bool, exclude_same_owner: bool, chunk: int = 64):
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"id_a": [], "id_b": [], "distance": []})
+            return _frame([], [], [])
         L = np.stack(left["features"].to_numpy()).astype(np.float64)
         R = np.stack(right["features"].to_numpy()).astype(np.float64)
         la, rb = left["id"].to_numpy(), right["id"].to_numpy()
@@ -47,13 +47,18 @@ def _block_knn(k: int, exclude_self: bool, exclude_same_owner: bool, chunk: int
             dd = np.take_along_axis(d, idx, axis=1)
             for r in range(idx.shape[0]):
                 keep = np.isfinite(dd[r])
-                out_a.extend([la[s + r]] * int(keep.sum()))
-                out_b.extend(rb[idx[r][keep]].tolist())
-                out_d.extend(dd[r][keep].tolist())
-        return pd.DataFrame({"id_a": out_a, "id_b": out_b, "distance": out_d})
+                out_a.extend([str(la[s + r])] * int(keep.sum()))
+                out_b.extend(str(x) for x in rb[idx[r][keep]])
+                out_d.extend(float(x) for x in dd[r][keep])
+        return _frame(out_a, out_b, out_d)
     return fn
 
 
+def _frame(a, b, d) -> pd.DataFrame:
+    return pd.DataFrame({"id_a": pd.Series(a, dtype=object), "id_b": pd.Series(b, dtype=object),
+                         "distance": pd.Series(d, dtype="float64")})
+
+
 def nearest(points: DataFrame, k: int, exclude_self: bool = True, exclude_same_owner: bool = False,
             block_size: int = 1024, others: DataFrame | None = None) -> DataFrame:
     """The k nearest ``others`` (default: the same points) of every point.
@@ -66,8 +71,10 @@ def nearest(points: DataFrame, k: int, exclude_self: bool = True, exclude_same_o
     blocks = max(1, math.ceil(n / block_size))
     cols = [F.col("id").cast("string").alias("id"), F.col("owner").cast("string").alias("owner"),
             F.col("features").cast("array<double>").alias("features")]
-    lb = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # Both block keys must have the same type on both sides, or the cogroup
+    # hashes them apart.
+    lb = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("bigint")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
     left = points.select(*cols).select("*", lb.alias("ba"), every.alias("bb"))
     rgt = right.select(*cols).select("*", every.alias("ba"), lb.alias("bb"))
     partial = (left.groupBy("ba", "bb").cogroup(rgt.groupBy("ba", "bb"))

@@ -610,5 +610,12 @@ def q_cf_users(spark, sf):
     return cf.cf_users(uv, _cf_rankings(spark, sf), 3).select("username", "url", _r6("score"))
 
 
+@query("recommend")
+def q_recommend(spark, sf):
+    from ctxrec.plans.recommend import recommend
+    return recommend(_views(spark, sf), _resources(spark, sf), _page_vectors(spark, sf))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return q_rank_heuristic(spark, sf)
+    """The whole pipeline: per-user recommendations."""
+    return q_recommend(spark, sf)
