@@ -58,19 +58,35 @@ def update_centers(assigned: DataFrame, centers: DataFrame, group: str) -> DataF
             .select(group, "cluster", F.coalesce("__mean", "center").alias("center")))
 
 
+def center_shift(new: DataFrame, old: DataFrame, group: str) -> float:
+    """Largest absolute coordinate change of any center (a tiny job on two
+    checkpointed center tables)."""
+    o = old.select(group, "cluster", F.col("center").alias("__old"))
+    diff = F.aggregate(F.zip_with("center", "__old", lambda a, b: F.abs(a - b)), F.lit(0.0),
+                       lambda acc, x: F.greatest(acc, x))
+    return new.join(o, on=[group, "cluster"]).agg(F.max(diff)).first()[0] or 0.0
+
+
 def grouped_kmeans(points: DataFrame, group: str, key: str, k: int, iterations: int = 20,
-                   checkpoint_every: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Lloyd's k-means inside every group. Returns (assignments, centers):
-    assignments ``(group, key, cluster, sq_dist)``, centers ``(group, cluster, center)``."""
+                   tol: float = 1e-12) -> tuple[DataFrame, DataFrame]:
+    """Lloyd's k-means inside every group, at most ``iterations`` rounds;
+    stops early once no center moves by more than ``tol`` (further rounds
+    would repeat the same assignment). Returns (assignments, centers):
+    assignments ``(group, key, cluster, sq_dist)``, centers ``(group, cluster, center)``.
+
+    Every round's centers are checkpointed (each round reads the previous
+    centers twice, so an unchecked lineage would double per round)."""
     checkpoint_dir(points.sparkSession)
     # The points are read once per round: cut their lineage once, durably.
     pts = (points.select(group, key, F.col("features").cast("array<double>").alias("features"))
            .checkpoint(eager=True))
-    centers = initial_centers(pts, group, key, k)
-    for i in range(iterations):
-        centers = update_centers(assign(pts, centers, group), centers, group)
-        if checkpoint_every and (i + 1) % checkpoint_every == 0:
-            centers = centers.checkpoint(eager=True)
+    centers = initial_centers(pts, group, key, k).checkpoint(eager=True)
+    for _ in range(iterations):
+        new = update_centers(assign(pts, centers, group), centers, group).checkpoint(eager=True)
+        moved = center_shift(new, centers, group)
+        centers = new
+        if moved <= tol:
+            break
     return assign(pts, centers, group).select(group, key, "cluster", "sq_dist"), centers
 
 

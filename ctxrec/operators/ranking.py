@@ -62,14 +62,11 @@ def rank_explicit(views: DataFrame, resources: DataFrame | None = None) -> DataF
                          F.lit("explicit").alias("source"))
 
 
-def rank_heuristic(views: DataFrame, first_view_only: bool = False) -> DataFrame:
+def heuristic_scores(views: DataFrame) -> DataFrame:
     """Score = [n > avg n] + [n > 3 avg n] + [d > avg d] + 2 [d > 3 avg d]
-    over a user's views without feedback: n views and mean duration d per url,
-    avg n over the user's urls, avg d over the user's views."""
-    v = unranked_views(views)
-    if first_view_only:
-        v = first_view_per_resource(v)
-    per_url = v.groupBy("username", "url").agg(
+    over the given views: n views and mean duration d per (user, url), avg n
+    over the user's urls, avg d over the user's views."""
+    per_url = views.groupBy("username", "url").agg(
         F.count(F.lit(1)).alias("n"), F.avg("duration").alias("d"),
         F.sum("duration").alias("__sd"))
     per_user = per_url.groupBy("username").agg(
@@ -82,6 +79,16 @@ def rank_heuristic(views: DataFrame, first_view_only: bool = False) -> DataFrame
     return j.select("username", "url", score.cast("int").alias("score"))
 
 
+def rank_heuristic(views: DataFrame, first_view_only: bool = False) -> DataFrame:
+    """Heuristic scores over a user's views without feedback (users with no
+    such view get none). ``first_view_only`` reproduces the reference's
+    one-view-per-url reading."""
+    v = unranked_views(views)
+    if first_view_only:
+        v = first_view_per_resource(v)
+    return heuristic_scores(v)
+
+
 def rank_constant(views: DataFrame, resources: DataFrame, value: float = 2.5) -> DataFrame:
     """The older fallback: every unranked eligible url gets a fixed score."""
     return unranked_dataset(views, resources).select(
@@ -108,3 +115,87 @@ def merge_rankings(*rankings: DataFrame) -> DataFrame:
     best = u.groupBy("username", "url").agg(
         F.min_by(F.struct("score", "source"), "__prec").alias("__b"))
     return best.select("username", "url", "__b.score", "__b.source")
+
+
+LEARN_FEATURES = ["lat", "lon", "duration", "daytime", "day_part", "weekday"]
+
+
+def learned_dataset(views: DataFrame, resources: DataFrame) -> DataFrame:
+    """Users with both rated and unrated eligible urls: one row per such
+    (user, url) with the first view's features centred on the user's mean,
+    the explicit ``label`` (NULL when unrated)."""
+    from ctxrec.operators.features import views_features
+
+    ranked = ranked_dataset(views, resources).withColumn("__r", F.lit(True))
+    unranked = unranked_dataset(views, resources).join(
+        ranked.select("username", "url"), on=["username", "url"], how="left_anti").withColumn("__r", F.lit(False))
+    items = ranked.unionByName(unranked)
+    users = (items.groupBy("username").agg(F.max(F.col("__r").cast("int")).alias("__hr"),
+                                           F.min(F.col("__r").cast("int")).alias("__lr"))
+             .where((F.col("__hr") == 1) & (F.col("__lr") == 0)).select("username"))
+    items = items.join(users, on="username", how="left_semi")
+    first = first_view_per_resource(views_features(views.join(items, on=["username", "url"], how="left_semi")))
+    means = first.groupBy("username").agg(*[F.avg(c).alias(f"__m_{c}") for c in LEARN_FEATURES])
+    centred = first.join(means, on="username").select(
+        "username", "url", *[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in LEARN_FEATURES])
+    labels = resource_label(views)
+    return (centred.join(items, on=["username", "url"])
+            .join(labels, on=["username", "url"], how="left")
+            .withColumn("label", F.when(F.col("__r"), F.col("label")))
+            .drop("__r"))
+
+
+def rank_learned(views: DataFrame, resources: DataFrame, max_iter: int = 50,
+                 train: DataFrame | None = None, test: DataFrame | None = None) -> DataFrame:
+    """Predicted ranks of unrated urls from a linear SVM (one-vs-rest over the
+    labels seen) trained on the rated ones. One global model over all users'
+    user-centred features, rather than one model per user; a user whose
+    rated urls all share one label gets that label.
+
+    ``train``/``test`` (``username, url``) restrict the rated rows used for
+    fitting and the rows predicted (for hold-out evaluation)."""
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+    from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+
+    data = learned_dataset(views, resources)
+    if train is not None:
+        fit_rows = data.join(train, on=["username", "url"], how="left_semi").where(F.col("label").isNotNull())
+        pred_rows = data.join(test, on=["username", "url"], how="left_semi")
+    else:
+        fit_rows = data.where(F.col("label").isNotNull())
+        pred_rows = data.where(F.col("label").isNull())
+    asm = VectorAssembler(inputCols=LEARN_FEATURES, outputCol="__x", handleInvalid="keep")
+    scaler = StandardScaler(inputCol="__x", outputCol="__xs", withMean=True, withStd=True)
+    idx = StringIndexer(inputCol="__lab", outputCol="__y", stringOrderType="alphabetAsc")
+    fit_df = fit_rows.withColumn("__lab", F.col("label").cast("string"))
+    from pyspark.ml import Pipeline
+    prep = Pipeline(stages=[asm, scaler, idx]).fit(fit_df)
+    labels = prep.stages[2].labels
+    if len(labels) >= 2:
+        ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter), featuresCol="__xs", labelCol="__y",
+                        predictionCol="__p").fit(prep.transform(fit_df))
+        scored = ovr.transform(prep.stages[1].transform(prep.stages[0].transform(pred_rows)))
+        mapping = F.element_at(F.array(*[F.lit(float(x)) for x in labels]), F.col("__p").cast("int") + 1)
+        pred = scored.select("username", "url", mapping.alias("score"))
+    else:
+        pred = pred_rows.select("username", "url", F.lit(float(labels[0]) if labels else None)
+                                .cast("double").alias("score"))
+    single = (fit_rows.groupBy("username").agg(F.min("label").alias("__lo"), F.max("label").alias("__hi"))
+              .where(F.col("__lo") == F.col("__hi")))
+    return (pred.join(single, on="username", how="left")
+            .select("username", "url",
+                    F.coalesce(F.col("__lo").cast("double"), F.col("score")).alias("score"),
+                    F.lit("learned").alias("source")))
+
+
+def rankings(views: DataFrame, resources: DataFrame, learned: bool = True) -> DataFrame:
+    """All ranks: explicit, then learned (users with rated and unrated urls),
+    then heuristic (everyone else's unrated urls)."""
+    explicit = rank_explicit(views, resources)
+    heur = rank_heuristic(views).withColumn("source", F.lit("heuristic"))
+    if not learned:
+        return merge_rankings(explicit, heur)
+    lr = rank_learned(views, resources)
+    learners = lr.select("username").distinct()
+    heur = heur.join(learners, on="username", how="left_anti")
+    return merge_rankings(explicit, lr, heur)

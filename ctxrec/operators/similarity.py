@@ -11,8 +11,6 @@ n x k rows. Distances are exact; similarity = 1 / (1 + distance).
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,25 +58,22 @@ def _frame(a, b, d) -> pd.DataFrame:
 
 
 def nearest(points: DataFrame, k: int, exclude_self: bool = True, exclude_same_owner: bool = False,
-            block_size: int = 1024, others: DataFrame | None = None) -> DataFrame:
+            block_size: int = 1024, others: DataFrame | None = None, within: bool = False) -> DataFrame:
     """The k nearest ``others`` (default: the same points) of every point.
 
     ``points``/``others``: ``(id STRING, owner STRING, features ARRAY<DOUBLE>)``.
-    Returns ``(id_a, id_b, distance, rank)``; ties by ``id_b``.
+    ``within=True`` compares points of the same owner only. Returns
+    ``(id_a, id_b, distance, rank)``; ties by ``id_b``.
     """
-    right = points if others is None else others
-    n = right.count()
-    blocks = max(1, math.ceil(n / block_size))
+    from ctxrec.operators.blocks import block_apply
+
     cols = [F.col("id").cast("string").alias("id"), F.col("owner").cast("string").alias("owner"),
             F.col("features").cast("array<double>").alias("features")]
-    # Both block keys must have the same type on both sides, or the cogroup
-    # hashes them apart.
-    lb = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("bigint")
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    left = points.select(*cols).select("*", lb.alias("ba"), every.alias("bb"))
-    rgt = right.select(*cols).select("*", every.alias("ba"), lb.alias("bb"))
-    partial = (left.groupBy("ba", "bb").cogroup(rgt.groupBy("ba", "bb"))
-               .applyInPandas(_block_knn(k, exclude_self, exclude_same_owner), _OUT))
+    # read three times (size, left blocks, right blocks): materialise once
+    left = points.select(*cols).checkpoint(eager=True)
+    right = left if others is None else others.select(*cols).checkpoint(eager=True)
+    partial = block_apply(left, right, _block_knn(k, exclude_self, exclude_same_owner), _OUT,
+                          within=within, block_size=block_size)
     return top_k(partial, ["id_a"], [F.col("distance"), F.col("id_b")], k)
 
 

@@ -85,9 +85,9 @@ def cluster_top_bigrams(docs: DataFrame, cluster: str, key: str, text: str, n: i
     from ctxrec.operators.topk import top_k
 
     d = docs.select(cluster, key, _words(F.col(text)).alias("t")).where(F.size("t") > 0)
-    inner = d.select(cluster, F.explode(F.filter(
-        F.transform("t", lambda x, i: F.struct(x.alias("w1"), F.try_element_at(F.col("t"), i + 2).alias("w2"))),
-        lambda b: b["w2"].isNotNull())).alias("b")).select(cluster, "b.w1", "b.w2")
+    pairs = F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("w1"), F.slice("t", 2, F.size("t")).alias("w2"))
+    inner = (d.where(F.size("t") > 1).select(cluster, F.explode(pairs).alias("b"))
+             .select(cluster, "b.w1", "b.w2"))
 
     from ctxrec.operators.features import range_buckets
 

@@ -610,6 +610,306 @@ def q_cf_users(spark, sf):
     return cf.cf_users(uv, _cf_rankings(spark, sf), 3).select("username", "url", _r6("score"))
 
 
+# --- 2.11 reduced text features (Spark ML) ------------------------------------------------
+
+N_COMPONENTS = 100
+
+
+def _text_model(spark, sf, n=N_COMPONENTS):
+    from ctxrec.operators.reduce import fit_text_model
+    return fit_text_model(_documents(spark, sf).select("doc_id", "text"), "doc_id", "text", n)
+
+
+def _viewed_docs(spark, sf):
+    urls = _views(spark, sf).select("url").distinct()
+    return urls.join(ranking.eligible_resources(_resources(spark, sf)).select("url", "content"), on="url")
+
+
+def _viewed_features(spark, sf, model):
+    from ctxrec.operators.reduce import text_features
+    return text_features(model, _viewed_docs(spark, sf), "url", "content")
+
+
+@query("pca_n")
+def q_pca_n(spark, sf):
+    from ctxrec.operators.reduce import text_features
+    return text_features(_text_model(spark, sf), _documents(spark, sf), "doc_id", "text")
+
+
+@query("pca_2d")
+def q_pca_2d(spark, sf):
+    from ctxrec.operators.reduce import text_features
+    f = text_features(_text_model(spark, sf, 2), _documents(spark, sf), "doc_id", "text")
+    return f.select("doc_id", F.col("features")[0].alias("x"), F.col("features")[1].alias("y"))
+
+
+@query("text_features")
+def q_text_features(spark, sf):
+    return _viewed_features(spark, sf, _text_model(spark, sf))
+
+
+@query("text_dataset")
+def q_text_dataset(spark, sf):
+    f = _viewed_features(spark, sf, _text_model(spark, sf))
+    return _views(spark, sf).select("username", "url").distinct().join(f, on="url")
+
+
+@query("context_dataset")
+def q_context_dataset(spark, sf):
+    return features.views_features(_views(spark, sf)).select("username", "view_id", *features.VIEW_FEATURE_COLUMNS)
+
+
+@query("text_and_context_features")
+def q_text_and_context_features(spark, sf):
+    t = _viewed_features(spark, sf, _text_model(spark, sf))
+    c = _context_points(spark, sf).withColumnRenamed("features", "__ctx")
+    return c.join(t, on="url").select("username", "url", F.concat("features", "__ctx").alias("features"))
+
+
+@query("top_terms_per_topic")
+def q_top_terms_per_topic(spark, sf):
+    from ctxrec.operators.reduce import top_terms
+    return top_terms(_text_model(spark, sf), 4, 10)
+
+
+def _group_text_vectors(spark, sf, model, members, keys):
+    from ctxrec.operators.reduce import term_features
+    bags = text.group_term_counts(_viewed_url_terms(spark, sf), members, ["url"], keys)
+    return term_features(model, bags, keys)
+
+
+def _user_text_vectors(spark, sf, model=None):
+    model = model or _text_model(spark, sf)
+    pairs = _views(spark, sf).select("username", "url").distinct()
+    return _group_text_vectors(spark, sf, model, pairs, ["username"])
+
+
+@query("kmeans_users")
+def q_kmeans_users(spark, sf):
+    _, a = cluster.global_kmeans(_user_text_vectors(spark, sf), 3)
+    return a.select("username", "cluster")
+
+
+@query("similarity_users_text")
+def q_similarity_users_text(spark, sf):
+    from ctxrec.operators.similarity import nearest
+    uv = _user_text_vectors(spark, sf)
+    return nearest(uv.select(F.col("username").alias("id"), F.col("username").alias("owner"), "features"), 10)
+
+
+@query("similarity_profiles_text")
+def q_similarity_profiles_text(spark, sf):
+    from ctxrec.operators.similarity import nearest
+    model = _text_model(spark, sf)
+    docs = _views(spark, sf).select("username", "url").distinct().join(_viewed_features(spark, sf, model), on="url")
+    a, _ = cluster.grouped_kmeans(docs, "username", "url", 5, 20)
+    members = a.select("username", F.col("cluster").alias("profile"), "url")
+    pv = _group_text_vectors(spark, sf, model, members, ["username", "profile"])
+    pts = pv.select(cf.profile_id().alias("id"), F.col("username").alias("owner"), "features")
+    return nearest(pts, 10)
+
+
+@query("similarity_profiles_context")
+def q_similarity_profiles_context(spark, sf):
+    from ctxrec.operators.similarity import nearest
+    model = _text_model(spark, sf)
+    pu = view_profiles(spark, sf, 10, 20).select("username", F.col("cluster").alias("profile"), "url").distinct()
+    pv = _group_text_vectors(spark, sf, model, pu, ["username", "profile"])
+    pts = pv.select(cf.profile_id().alias("id"), F.col("username").alias("owner"), "features")
+    return nearest(pts, 10, exclude_same_owner=True)
+
+
+@query("similarity_docs_text")
+def q_similarity_docs_text(spark, sf):
+    from ctxrec.operators.similarity import nearest
+    docs = _views(spark, sf).select("username", "url").distinct().join(
+        _viewed_features(spark, sf, _text_model(spark, sf)), on="url")
+    pts = docs.select(F.concat("username", F.lit(" "), "url").alias("id"), F.col("username").alias("owner"), "features")
+    return nearest(pts, 5, within=True)
+
+
+@query("similarity_docs_context")
+def q_similarity_docs_context(spark, sf):
+    from ctxrec.operators.similarity import nearest
+    pts = _context_points(spark, sf).select(F.concat("username", F.lit(" "), "url").alias("id"),
+                                            F.col("username").alias("owner"), "features")
+    return nearest(pts, 5, within=True).select("id_a", "id_b", _r6("distance"), "rank")
+
+
+# --- 2.14 ranking / 2.16 evaluation -----------------------------------------------------------
+
+@query("rank_learned")
+def q_rank_learned(spark, sf):
+    return ranking.rank_learned(_views(spark, sf), _resources(spark, sf))
+
+
+@query("rankings")
+def q_rankings(spark, sf):
+    return ranking.rankings(_views(spark, sf), _resources(spark, sf))
+
+
+def _estimator_pairs(spark, sf):
+    from ctxrec.operators.evaluate import estimator_pairs
+    return estimator_pairs(_views(spark, sf), _resources(spark, sf))
+
+
+@query("eval_estimator")
+def q_eval_estimator(spark, sf):
+    from ctxrec.operators.evaluate import error_metrics
+    m = error_metrics(_estimator_pairs(spark, sf), group=["username"])
+    return m.select("username", "n", _r6("mae"), _r6("rmse_ref"), _r6("rmse"))
+
+
+@query("mae")
+def q_mae(spark, sf):
+    from ctxrec.operators.evaluate import error_metrics
+    return error_metrics(_estimator_pairs(spark, sf)).select("n", _r6("mae"))
+
+
+@query("rmse")
+def q_rmse(spark, sf):
+    from ctxrec.operators.evaluate import error_metrics
+    return error_metrics(_estimator_pairs(spark, sf)).select("n", _r6("rmse_ref"), _r6("rmse"))
+
+
+@query("eval_classifier")
+def q_eval_classifier(spark, sf):
+    from ctxrec.operators.evaluate import classifier_pairs, error_metrics
+    m = error_metrics(classifier_pairs(_views(spark, sf), _resources(spark, sf)), group=["username"])
+    return m.select("username", "n", _r6("mae"), _r6("rmse_ref"), _r6("rmse"))
+
+
+# --- 2.1 model and feature persistence ----------------------------------------------------------
+
+@query("persist_models")
+def q_persist_models(spark, sf):
+    import uuid
+    from ctxrec.operators.reduce import TextModel, text_features
+    path = scratch_path(spark, f"models/text-{N_COMPONENTS}-{uuid.uuid4().hex}")
+    _text_model(spark, sf).save(path)
+    return text_features(TextModel.load(spark, path), _documents(spark, sf), "doc_id", "text")
+
+
+@query("persist_features")
+def q_persist_features(spark, sf):
+    import uuid
+    from ctxrec.sources.store import cached_table
+    path = scratch_path(spark, f"features/context-{uuid.uuid4().hex}")
+    cached_table(spark, path, lambda: features.context_features(_views(spark, sf)))
+    return cached_table(spark, path, lambda: None)
+
+
+# --- 2.12 parameter sweeps ------------------------------------------------------------------------
+
+SWEEP_K = [5, 10, 20, 50]
+
+
+@query("sweep_kmeans")
+def q_sweep_kmeans(spark, sf):
+    out = None
+    pts = _embedding_points(spark, sf)
+    for k in SWEEP_K:
+        a, _ = cluster.grouped_kmeans(pts, "label", "vec_id", k, FIX_ITER)
+        d = cluster.cluster_distribution(a, "label").select(F.lit(k).alias("k"), "label", "cluster", "n")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("sweep_pca")
+def q_sweep_pca(spark, sf):
+    out = None
+    pairs = _views(spark, sf).select("username", "url").distinct()
+    for n in (50, 100, 200):
+        f = _viewed_features(spark, sf, _text_model(spark, sf, n))
+        a, _ = cluster.grouped_kmeans(pairs.join(f, on="url"), "username", "url", 5, 20)
+        d = cluster.cluster_distribution(a, "username").select(F.lit(n).alias("n_components"), "username", "cluster", "n")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+# --- 2.17 streaming -----------------------------------------------------------------------------
+
+def _time_slices(df, ts_col: str, path: str, n: int = 4) -> None:
+    """Write ``df`` as ``n`` consecutive time slices (one write each, in time
+    order), the input of a file stream that then sees them in order."""
+    bounds = df.approxQuantile(ts_col, [i / n for i in range(1, n)], 0.0)
+    edges = [None, *sorted(set(bounds)), None]
+    for lo, hi in zip(edges, edges[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col(ts_col) > lo)
+        if hi is not None:
+            cond = cond & (F.col(ts_col) <= hi)
+        df.where(cond).write.mode("append").parquet(path)
+
+
+@query("stream_ingest_events")
+def q_stream_ingest_events(spark, sf):
+    import uuid
+    from ctxrec.streaming.ingest import read_raw_events, start_ingest
+    run = scratch_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
+    e = _events(spark, sf)
+    raw = e.select("event_id", "type", "title", "url", F.col("ts_ms").cast("string").alias("timestamp"),
+                   "tab_id", "username", F.col("lat").cast("string").alias("lat"),
+                   F.col("lon").cast("string").alias("long"))
+    _time_slices(raw.withColumn("__t", F.col("timestamp").cast("bigint")), "__t", f"{run}/in")
+    stream = read_raw_events(spark, f"{run}/in", raw.schema, "parquet", max_files_per_trigger=1)
+    start_ingest(stream, f"{run}/out", f"{run}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{run}/out").select("event_id", "type", "url", "ts_ms", "tab_id", "username", "lat", "lon")
+
+
+@query("stream_events_to_views")
+def q_stream_events_to_views(spark, sf):
+    import uuid
+    from ctxrec.streaming.views import start_views
+    run = scratch_path(spark, f"stream-views-{uuid.uuid4().hex}")
+    e = _events(spark, sf)
+    _time_slices(e, "ts_ms", f"{run}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", "1").parquet(f"{run}/in")
+    start_views(stream, f"{run}/out", f"{run}/checkpoint").awaitTermination()
+    v = spark.read.parquet(f"{run}/out")
+    return v.withColumn("feedback", adapters.fixture_feedback_rule(F.col("username"), F.col("url"))).select(*VIEW_COLS)
+
+
+# --- 2.12 density-based clustering -------------------------------------------------------------
+
+QUANTILES = [0.1, 0.3, 0.5, 0.7, 0.9]
+
+
+@query("estimate_bandwidth")
+def q_estimate_bandwidth(spark, sf):
+    from ctxrec.operators.density import estimate_bandwidth
+    pts = _embedding_points(spark, sf)
+    out = None
+    for q in QUANTILES:
+        b = estimate_bandwidth(pts, "label", "vec_id", q).select(
+            F.col("label").cast("int").alias("label"), F.lit(q).alias("quantile"), _r6("bandwidth"))
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+def _meanshift(spark, sf, q):
+    from ctxrec.operators.density import estimate_bandwidth, mean_shift
+    pts = _embedding_points(spark, sf)
+    return mean_shift(pts, "label", "vec_id", estimate_bandwidth(pts, "label", "vec_id", q))
+
+
+@query("meanshift")
+def q_meanshift(spark, sf):
+    a, _ = _meanshift(spark, sf, 0.3)
+    return a.select(F.col("label").cast("int").alias("label"), F.col("vec_id").cast("bigint").alias("vec_id"), "cluster")
+
+
+@query("sweep_meanshift")
+def q_sweep_meanshift(spark, sf):
+    out = None
+    for q in QUANTILES:
+        a, _ = _meanshift(spark, sf, q)
+        d = cluster.cluster_distribution(a, "label").select(F.lit(q).alias("quantile"), "label", "cluster", "n")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 @query("recommend")
 def q_recommend(spark, sf):
     from ctxrec.plans.recommend import recommend

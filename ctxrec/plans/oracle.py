@@ -574,3 +574,69 @@ unn AS (SELECT * FROM (
   QUALIFY row_number() OVER (PARTITION BY ua ORDER BY distance, ub) <= 3)
 SELECT ua AS username, rk.url, round(sum(rk.score / (1.0 + distance)), 6) AS score
 FROM unn JOIN rk ON rk.username = unn.ub GROUP BY ua, rk.url""")
+
+# --- 2.11 / 2.13 context datasets -----------------------------------------------------------
+
+sql("context_dataset", f"""{V}
+SELECT username, view_id, lat, lon, duration, daytime, cast(floor(daytime / 4) AS int) AS day_part, weekday FROM views""")
+
+sql("similarity_docs_context", with_ctes(_EVENTS, _VIEWS, _LOC, _CTXRAW, _CTX_PTS) + """,
+cp AS (SELECT concat(grp, ' ', key) AS id, grp, feats FROM ctx_pts),
+cd AS (SELECT a.id AS id_a, b.id AS id_b, round(sqrt(""" + _sqd("a.feats", "b.feats") + """), 9) AS distance
+       FROM cp a JOIN cp b ON a.grp = b.grp AND a.id <> b.id)
+SELECT id_a, id_b, round(distance, 6) AS distance, cast(rank AS int) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) AS rank FROM cd) WHERE rank <= 5""")
+
+# --- 2.16 evaluation ---------------------------------------------------------------------------
+
+_EST = _LABEL + f""",
+ds AS (SELECT DISTINCT username, url FROM views WHERE feedback IS NOT NULL AND feedback <> 'none' AND {_ELIG}),
+ev AS (SELECT v.* FROM views v JOIN ds ON v.username = ds.username AND v.url = ds.url),
+eu AS (SELECT username, url, count(*) AS n, avg(duration) AS d, sum(duration) AS sd FROM ev GROUP BY username, url),
+ea AS (SELECT username, avg(n) AS an, sum(sd) / sum(n) AS ad FROM eu GROUP BY username),
+est AS (SELECT eu.username, eu.url,
+               cast(CASE WHEN n > an THEN 1 ELSE 0 END + CASE WHEN n > 3 * an THEN 1 ELSE 0 END
+                    + CASE WHEN d > ad THEN 1 ELSE 0 END + CASE WHEN d > 3 * ad THEN 2 ELSE 0 END AS double) AS estimated
+        FROM eu JOIN ea ON eu.username = ea.username),
+pairs AS (SELECT est.username, est.url, estimated, cast(label AS double) AS actual
+          FROM est JOIN lab ON est.username = lab.username AND est.url = lab.url)"""
+
+_EST_BASE = with_ctes(_EVENTS, _VIEWS, _RESOURCES, _EST)
+sql("eval_estimator", _EST_BASE + """
+SELECT username, count(*) AS n, round(avg(abs(estimated - actual)), 6) AS mae,
+       round(sqrt(sum((estimated - actual) * (estimated - actual))) / count(*), 6) AS rmse_ref,
+       round(sqrt(avg((estimated - actual) * (estimated - actual))), 6) AS rmse
+FROM pairs GROUP BY username""")
+sql("mae", _EST_BASE + " SELECT count(*) AS n, round(avg(abs(estimated - actual)), 6) AS mae FROM pairs")
+sql("rmse", _EST_BASE + """
+SELECT count(*) AS n, round(sqrt(sum((estimated - actual) * (estimated - actual))) / count(*), 6) AS rmse_ref,
+       round(sqrt(avg((estimated - actual) * (estimated - actual))), 6) AS rmse FROM pairs""")
+
+# --- 2.12 sweeps -----------------------------------------------------------------------------
+
+_SWEEP = []
+_SWEEP_SEL = []
+for _k in (5, 10, 20, 50):
+    _c, _out = kmeans_ctes("emb_pts", _k, FIX_ITER, f"sw{_k}")
+    _SWEEP.append(_c)
+    _SWEEP_SEL.append(f"SELECT {_k} AS k, grp AS label, cluster, count(*) AS n FROM {_out} GROUP BY grp, cluster")
+sql("sweep_kmeans", with_ctes(_EMB_PTS, *_SWEEP) + " " + " UNION ALL ".join(_SWEEP_SEL))
+
+# --- 2.17 streaming: equal to their batch forms ----------------------------------------------
+
+ORACLE["stream_ingest_events"] = ORACLE["ingest_event"]
+ORACLE["stream_events_to_views"] = ORACLE["events_to_views"]
+
+# --- 2.12 bandwidth: m-th nearest distance, all pairs per label (oracle only) ---------------
+
+_BW_PAIRS = """
+bp AS (SELECT label, cast(vec_id AS varchar) AS id, cast(embedding AS double[]) AS feats FROM embeddings),
+bn AS (SELECT label, count(*) AS n FROM bp GROUP BY label),
+bd AS (SELECT a.label, a.id, sqrt(""" + _sqd("a.feats", "b.feats") + """) AS d,
+              row_number() OVER (PARTITION BY a.id ORDER BY sqrt(""" + _sqd("a.feats", "b.feats") + """)) AS r
+       FROM bp a JOIN bp b ON a.label = b.label)"""
+
+sql("estimate_bandwidth", with_ctes(_BW_PAIRS) + " " + " UNION ALL ".join(
+    f"""SELECT bd.label, {q} AS quantile, round(avg(d), 6) AS bandwidth FROM bd JOIN bn ON bd.label = bn.label
+        WHERE r = greatest(1, cast(floor(n * {q}) AS bigint)) GROUP BY bd.label"""
+    for q in (0.1, 0.3, 0.5, 0.7, 0.9)))
