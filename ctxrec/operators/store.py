@@ -102,3 +102,13 @@ def clean_users(users: DataFrame, views: DataFrame) -> DataFrame:
 
 def mark_blacklisted(resources: DataFrame, patterns=None) -> DataFrame:
     return resources.withColumn("blacklisted", F.col("blacklisted") | url_blacklisted(F.col("url"), patterns))
+
+
+def purge_user(tables: dict[str, DataFrame], username: str) -> dict[str, DataFrame]:
+    """Every per-user table without the user's rows (account deletion)."""
+    return {name: df.where(F.col("username") != username) for name, df in tables.items()}
+
+
+def export_user(views: DataFrame, username: str) -> DataFrame:
+    """A user's own views (data export)."""
+    return views.where(F.col("username") == username)

@@ -116,3 +116,50 @@ def cluster_top_words(doc_weights: DataFrame, doc_to_cluster: DataFrame, doc_key
     sums = (doc_weights.join(doc_to_cluster, on=doc_key)
             .groupBy(cluster, "term").agg(F.sum("weight").alias("weight")))
     return top_k(sums, [cluster], [F.col("weight").desc(), F.col("term")], n)
+
+
+# Frequent function words per language, for detection.
+STOP_WORDS = {
+    "en": "the and of to in is that it for was with on as are this be at by not from",
+    "fr": "le la les et des est un une du dans que qui pour pas sur au avec ce il sont",
+    "de": "der die und das ist den nicht mit von ein eine zu sich auf für dem des im auch es",
+    "es": "el la de que y los las en un una es por con para del se no al lo como",
+}
+LANGUAGES = ["en", "fr", "de", "es"]
+
+
+def stop_word_table(spark) -> DataFrame:
+    rows = [(lang, w) for lang in LANGUAGES for w in STOP_WORDS[lang].split()]
+    return spark.createDataFrame(rows, "lang string, term string")
+
+
+def detect_language(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Language with the most stop-word hits per document (ties: the order of
+    ``LANGUAGES``); 'unknown' without any hit. The stop-word table is fixed
+    (a few dozen rows), so broadcasting it is bounded."""
+    words = F.broadcast(stop_word_table(docs.sparkSession))
+    toks = docs.select(key, F.explode(tokens(F.col(text))).alias("term"))
+    hits = toks.join(words, on="term").groupBy(key, "lang").agg(F.count(F.lit(1)).alias("hits"))
+    order = F.array_position(F.array(*[F.lit(x) for x in LANGUAGES]), F.col("lang"))
+    best = hits.groupBy(key).agg(F.max_by("lang", F.struct("hits", -order)).alias("detected"))
+    return (docs.select(key).join(best, on=key, how="left")
+            .select(key, F.coalesce("detected", F.lit("unknown")).alias("detected")))
+
+
+def lda_topics(docs: DataFrame, text: str = "text", k: int = 10, n_terms: int = 10,
+               vocab_size: int = 1 << 18, max_iter: int = 10, seed: int = 1) -> DataFrame:
+    """Topics of a corpus by LDA (Spark ML): ``(topic, rank, term, weight)``.
+    Term indices are mapped back through the fitted vocabulary (model data)."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+
+    tok = RegexTokenizer(inputCol=text, outputCol="__tok", pattern=TOKEN_REGEX, gaps=False, minTokenLength=2)
+    tokd = tok.transform(docs)
+    cv = CountVectorizer(inputCol="__tok", outputCol="__tf", vocabSize=vocab_size).fit(tokd)
+    model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="__tf", optimizer="online").fit(cv.transform(tokd))
+    topics = model.describeTopics(n_terms)
+    z = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "tw"))
+    vocab = docs.sparkSession.createDataFrame(list(enumerate(cv.vocabulary)), "term_index int, term string")
+    return (z.select("topic", (F.col("pos") + 1).alias("rank"), F.col("tw.termIndices").alias("term_index"),
+                     F.col("tw.termWeights").alias("weight"))
+            .join(vocab, on="term_index").drop("term_index"))

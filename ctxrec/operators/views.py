@@ -141,3 +141,21 @@ def previous_ready_url(events: DataFrame, bucket_ms: int = HOUR_MS) -> DataFrame
 def resource_parent_edges(views: DataFrame) -> DataFrame:
     """(url, parent) pairs: the scalable form of ``resources.parents``."""
     return views.where(F.col("parent").isNotNull()).select("url", "parent").distinct()
+
+
+def tab_tree(spark, tabs: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
+    """Root and depth of every tab in the tab tree (recursive CTE).
+    ``tabs``: ``(tab_id)``; ``edges``: ``(tab_id, parent_id)``."""
+    import uuid
+
+    suffix = uuid.uuid4().hex[:8]
+    tabs.select("tab_id").distinct().createOrReplaceTempView(f"tt_nodes_{suffix}")
+    edges.select("tab_id", "parent_id").createOrReplaceTempView(f"tt_edges_{suffix}")
+    return spark.sql(f"""
+        WITH RECURSIVE walk(tab_id, root, depth) AS (
+          SELECT n.tab_id, n.tab_id, 0 FROM tt_nodes_{suffix} n
+          WHERE NOT EXISTS (SELECT 1 FROM tt_edges_{suffix} e WHERE e.tab_id = n.tab_id)
+          UNION ALL
+          SELECT e.tab_id, w.root, w.depth + 1 FROM tt_edges_{suffix} e JOIN walk w ON e.parent_id = w.tab_id
+          WHERE w.depth < {max_depth})
+        SELECT tab_id, root, depth FROM walk""")

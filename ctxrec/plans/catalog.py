@@ -910,6 +910,51 @@ def q_sweep_meanshift(spark, sf):
     return out
 
 
+# --- 2.18 described in the reference, not coded there ---------------------------------------------
+
+@query("tab_tree")
+def q_tab_tree(spark, sf):
+    tabs = _events(spark, sf).select("tab_id")
+    return views_op.tab_tree(spark, tabs, adapters.driver_tabs(spark, sf))
+
+
+@query("purge_user")
+def q_purge_user(spark, sf):
+    left = store.purge_user({"events": _events(spark, sf), "tabs": adapters.driver_tabs(spark, sf),
+                             "users": adapters.driver_users(spark, sf), "views": _views(spark, sf)}, "u1")
+    out = None
+    for name, df in left.items():
+        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("collection"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("export_user")
+def q_export_user(spark, sf):
+    return store.export_user(_views(spark, sf), "u1").select(*VIEW_COLS)
+
+
+@query("detect_language")
+def q_detect_language(spark, sf):
+    d = _documents(spark, sf)
+    return text.detect_language(d, "doc_id").join(
+        read_table(spark, sf, "documents", "doc_id", "lang"), on="doc_id")
+
+
+@query("lda_topics")
+def q_lda_topics(spark, sf):
+    return text.lda_topics(_documents(spark, sf).select("doc_id", "text"), "text", 10, 10)
+
+
+@query("user_groups_then_recommend")
+def q_user_groups_then_recommend(spark, sf):
+    uv = _user_text_vectors(spark, sf)
+    _, groups = cluster.global_kmeans(uv, 3)
+    return cf.cf_users(uv, _cf_rankings(spark, sf), 3,
+                       groups=groups.select("username", F.col("cluster").alias("group"))) \
+        .select("username", "url", _r6("score"))
+
+
 @query("recommend")
 def q_recommend(spark, sf):
     from ctxrec.plans.recommend import recommend

@@ -640,3 +640,37 @@ sql("estimate_bandwidth", with_ctes(_BW_PAIRS) + " " + " UNION ALL ".join(
     f"""SELECT bd.label, {q} AS quantile, round(avg(d), 6) AS bandwidth FROM bd JOIN bn ON bd.label = bn.label
         WHERE r = greatest(1, cast(floor(n * {q}) AS bigint)) GROUP BY bd.label"""
     for q in (0.1, 0.3, 0.5, 0.7, 0.9)))
+
+# --- 2.18 extras -----------------------------------------------------------------------------
+
+sql("tab_tree", "WITH RECURSIVE " + ",".join([_EVENTS, _TABS, """
+nodes AS (SELECT DISTINCT tab_id FROM b_events),
+w(tab_id, root, depth) AS (
+  SELECT n.tab_id, n.tab_id, 0 FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM tabs e WHERE e.tab_id = n.tab_id)
+  UNION ALL
+  SELECT e.tab_id, w.root, w.depth + 1 FROM tabs e JOIN w ON e.parent_id = w.tab_id WHERE w.depth < 100)"""])
+    + " SELECT tab_id, root, depth FROM w")
+
+sql("purge_user", with_ctes(_EVENTS, _VIEWS, _TABS) + """
+SELECT 'events' AS collection, count(*) AS n_rows FROM b_events WHERE username <> 'u1'
+UNION ALL SELECT 'tabs', count(*) FROM tabs WHERE username <> 'u1'
+UNION ALL SELECT 'users', count(DISTINCT user_id) FROM e0 WHERE user_id <> 1
+UNION ALL SELECT 'views', count(*) FROM views WHERE username <> 'u1'""")
+
+sql("export_user", f"{V} SELECT {VIEW_COLS} FROM views WHERE username = 'u1'")
+
+_SW = {
+    "en": "the and of to in is that it for was with on as are this be at by not from",
+    "fr": "le la les et des est un une du dans que qui pour pas sur au avec ce il sont",
+    "de": "der die und das ist den nicht mit von ein eine zu sich auf für dem des im auch es",
+    "es": "el la de que y los las en un una es por con para del se no al lo como",
+}
+_SW_ROWS = ", ".join(f"('{lang}', '{w}', {i + 1})" for i, lang in enumerate(["en", "fr", "de", "es"])
+                     for w in _SW[lang].split())
+sql("detect_language", f"""
+WITH sw(lang, term, ord) AS (VALUES {_SW_ROWS}),
+tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM documents),
+hits AS (SELECT doc_id, lang, min(ord) AS ord, count(*) AS hits FROM tk JOIN sw ON tk.term = sw.term GROUP BY doc_id, lang),
+best AS (SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, ord) AS r FROM hits)
+         WHERE r = 1)
+SELECT d.doc_id, coalesce(b.lang, 'unknown') AS detected, d.lang FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id""")
