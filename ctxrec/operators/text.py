@@ -65,9 +65,12 @@ def tfidf(doc_terms: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
             .select(*keys, "term", (F.col("w") / F.col("__norm")).alias("weight")))
 
 
+_WS = " \t\n\r\f\u000b"
+
+
 def _words(text: Column) -> Column:
     """Lower-cased whitespace tokens (no token pattern)."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^\s+|\s+$", "")
+    t = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WS))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
 
 
@@ -77,32 +80,40 @@ def cluster_top_bigrams(docs: DataFrame, cluster: str, key: str, text: str, n: i
     (in ``key`` order) with the best Jaccard association n12 / (n1 + n2 - n12),
     among bigrams seen at least ``min_freq`` times; ties by the words.
 
-    Bigrams inside a document come from the token array itself; the bigram
-    across two neighbouring documents joins one document's last word with the
-    next one's first, found by a skew-safe "previous document" lookup.
+    One pass over the texts emits every word (w1, NULL) and every in-document
+    bigram (w1, w2); the bigram across two neighbouring documents joins one
+    document's last word with the next one's first, found by a skew-safe
+    "previous document" lookup. A single partially aggregated count serves
+    both the bigram and the word frequencies.
     """
+    from ctxrec.operators.features import range_buckets
     from ctxrec.operators.sequence import carry_last
     from ctxrec.operators.topk import top_k
 
-    d = docs.select(cluster, key, _words(F.col(text)).alias("t")).where(F.size("t") > 0)
-    pairs = F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("w1"), F.slice("t", 2, F.size("t")).alias("w2"))
-    inner = (d.where(F.size("t") > 1).select(cluster, F.explode(pairs).alias("b"))
-             .select(cluster, "b.w1", "b.w2"))
-
-    from ctxrec.operators.features import range_buckets
-
-    ends = range_buckets(
-        d.select(cluster, key, F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last")),
-        [cluster], [key])
-    ends = carry_last(ends, [cluster], [key], "__rp", {"__prev": (F.lit(True), F.col("last"))})
+    # the token array is a column of its own: the explode below reads it
+    # several times and must not re-split the text for each read
+    tok = docs.select(cluster, _words(F.col(text)).alias("__t"))
+    t = F.col("__t")
+    words = F.transform(t, lambda x: F.struct(x.alias("w1"), F.lit(None).cast("string").alias("w2")))
+    pairs = F.arrays_zip(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))).alias("w1"),
+                         F.slice(t, 2, F.greatest(F.size(t), F.lit(1))).alias("w2"))
+    pairs = F.filter(pairs, lambda b: b["w2"].isNotNull())
+    units = (tok.select(cluster, F.explode(F.concat(words, pairs)).alias("u"))
+             .select(cluster, "u.w1", "u.w2"))
+
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    ends = docs.select(cluster, key, F.regexp_extract(low, r"^\s*(\S+)", 1).alias("first"),
+                       F.regexp_extract(low, r"(\S+)\s*$", 1).alias("last")).where(F.col("first") != "")
+    ends = carry_last(range_buckets(ends, [cluster], [key]), [cluster], [key], "__rp",
+                      {"__prev": (F.lit(True), F.col("last"))})
     border = ends.where(F.col("__prev").isNotNull()).select(
         cluster, F.col("__prev.v").alias("w1"), F.col("first").alias("w2"))
 
-    bigrams = (inner.unionByName(border).groupBy(cluster, "w1", "w2")
-               .agg(F.count(F.lit(1)).alias("n12")).where(F.col("n12") >= min_freq))
-    words = d.select(cluster, F.explode("t").alias("w")).groupBy(cluster, "w").agg(F.count(F.lit(1)).alias("nw"))
-    w1 = words.select(cluster, F.col("w").alias("w1"), F.col("nw").alias("n1"))
-    w2 = words.select(cluster, F.col("w").alias("w2"), F.col("nw").alias("n2"))
+    counts = units.unionByName(border).groupBy(cluster, "w1", "w2").agg(F.count(F.lit(1)).alias("n"))
+    bigrams = counts.where(F.col("w2").isNotNull() & (F.col("n") >= min_freq)).withColumnRenamed("n", "n12")
+    word = counts.where(F.col("w2").isNull())
+    w1 = word.select(cluster, "w1", F.col("n").alias("n1"))
+    w2 = word.select(cluster, F.col("w1").alias("w2"), F.col("n").alias("n2"))
     scored = (bigrams.join(w1, on=[cluster, "w1"]).join(w2, on=[cluster, "w2"])
               .withColumn("score", F.col("n12") / (F.col("n1") + F.col("n2") - F.col("n12"))))
     return top_k(scored, [cluster], [F.col("score").desc(), F.col("w1"), F.col("w2")], n)

@@ -33,7 +33,11 @@ def query(key: str):
 
 
 def _views(spark, sf):
-    return adapters.driver_views(spark, sf)
+    """The views collection. Several operators of one query read it, so it is
+    materialised once (reliable checkpoint), as a stored collection would be."""
+    from ctxrec.session import checkpoint_dir
+    checkpoint_dir(spark)
+    return adapters.driver_views(spark, sf).checkpoint(eager=True)
 
 
 def _events(spark, sf):
