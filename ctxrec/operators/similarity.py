@@ -21,7 +21,21 @@ from ctxrec.operators.topk import top_k
 _OUT = "id_a string, id_b string, distance double"
 
 
-def _block_knn(k: int, exclude_self: bool, exclude_same_owner: bool, chunk: int = 64):
+def _block_dist(L: np.ndarray, R: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "manhattan":
+        return np.abs(L[:, None, :] - R[None, :, :]).sum(-1)
+    if metric == "pearson":
+        lc = L - L.mean(1, keepdims=True)
+        rc = R - R.mean(1, keepdims=True)
+        num = lc @ rc.T
+        den = np.sqrt((lc * lc).sum(1))[:, None] * np.sqrt((rc * rc).sum(1))[None, :]
+        return 1.0 - num / den
+    diff = L[:, None, :] - R[None, :, :]
+    return np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+
+
+def _block_knn(k: int, exclude_self: bool, exclude_same_owner: bool, chunk: int = 64,
+               metric: str = "euclidean"):
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return _frame([], [], [])
@@ -34,9 +48,7 @@ def _block_knn(k: int, exclude_self: bool, exclude_same_owner: bool, chunk: int
         kk = min(k, len(rb))
         out_a, out_b, out_d = [], [], []
         for s in range(0, len(la), chunk):
-            diff = L[s:s + chunk, None, :] - R[None, :, :]
-            d2 = np.einsum("ijk,ijk->ij", diff, diff)
-            d = np.round(np.sqrt(d2), 9)
+            d = np.round(_block_dist(L[s:s + chunk], R, metric), 9)
             if exclude_self:
                 d[la[s:s + chunk, None] == rb[None, :]] = np.inf
             if exclude_same_owner:
@@ -58,11 +70,13 @@ def _frame(a, b, d) -> pd.DataFrame:
 
 
 def nearest(points: DataFrame, k: int, exclude_self: bool = True, exclude_same_owner: bool = False,
-            block_size: int = 1024, others: DataFrame | None = None, within: bool = False) -> DataFrame:
+            block_size: int = 1024, others: DataFrame | None = None, within: bool = False,
+            metric: str = "euclidean") -> DataFrame:
     """The k nearest ``others`` (default: the same points) of every point.
 
     ``points``/``others``: ``(id STRING, owner STRING, features ARRAY<DOUBLE>)``.
-    ``within=True`` compares points of the same owner only. Returns
+    ``within=True`` compares points of the same owner only. ``metric``:
+    euclidean, manhattan, or pearson (distance 1 - correlation). Returns
     ``(id_a, id_b, distance, rank)``; ties by ``id_b``.
     """
     from ctxrec.operators.blocks import block_apply
@@ -72,7 +86,7 @@ def nearest(points: DataFrame, k: int, exclude_self: bool = True, exclude_same_o
     # read three times (size, left blocks, right blocks): materialise once
     left = points.select(*cols).checkpoint(eager=True)
     right = left if others is None else others.select(*cols).checkpoint(eager=True)
-    partial = block_apply(left, right, _block_knn(k, exclude_self, exclude_same_owner), _OUT,
+    partial = block_apply(left, right, _block_knn(k, exclude_self, exclude_same_owner, metric=metric), _OUT,
                           within=within, block_size=block_size)
     return top_k(partial, ["id_a"], [F.col("distance"), F.col("id_b")], k)
 

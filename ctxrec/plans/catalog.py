@@ -7,6 +7,7 @@ tables. Column names and types equal those of ``ctxrec.plans.oracle``.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,10 +114,13 @@ def q_record_feedback(spark, sf):
     v = views_op.events_to_views(_events(spark, sf))
     first = adapters.fixture_feedback(v)
     u, k = adapters.user_key(F.col("username")), adapters.site_key(F.col("url"))
-    again = (first.where(k % 2 == 0)
-             .select("username", "url", ((u * 7 + k + 1) % 6).cast("string").alias("feedback"),
-                     F.lit(1).cast("bigint").alias("ts_ms")))
-    return store.record_feedback(v, first.unionByName(again)).select("view_id", "username", "url", "feedback")
+    # every rated key is submitted again later (the latest must win) and once earlier
+    later = first.select("username", "url", ((u * 7 + k + 1) % 6).cast("string").alias("feedback"),
+                         F.lit(1).cast("bigint").alias("ts_ms"))
+    earlier = first.select("username", "url", ((u * 7 + k + 2) % 6).cast("string").alias("feedback"),
+                           F.lit(-1).cast("bigint").alias("ts_ms"))
+    subs = first.unionByName(later).unionByName(earlier)
+    return store.record_feedback(v, subs).select("view_id", "username", "url", "feedback")
 
 
 @query("feedback_worklist")
@@ -574,6 +578,20 @@ def q_best_matches(spark, sf):
     return nn.select("id_a", "id_b", F.round(similarity(), 6).alias("similarity"), "rank")
 
 
+@query("pearson_similarity")
+def q_pearson_similarity(spark, sf):
+    from ctxrec.operators.similarity import nearest
+    nn = nearest(_emb_points(spark, sf), 5, exclude_self=True, metric="pearson")
+    return nn.select("id_a", "id_b", F.round(1.0 - F.col("distance"), 6).alias("correlation"), "rank")
+
+
+@query("manhattan_distance")
+def q_manhattan_distance(spark, sf):
+    from ctxrec.operators.similarity import nearest
+    nn = nearest(_emb_points(spark, sf), 5, exclude_self=True, metric="manhattan")
+    return nn.select("id_a", "id_b", _r6("distance"), "rank")
+
+
 @query("top10_profiles")
 def q_top10_profiles(spark, sf):
     _, pv = _profile_inputs(spark, sf)
@@ -620,8 +638,20 @@ N_COMPONENTS = 100
 
 
 def _text_model(spark, sf, n=N_COMPONENTS):
-    from ctxrec.operators.reduce import fit_text_model
-    return fit_text_model(_documents(spark, sf).select("doc_id", "text"), "doc_id", "text", n)
+    """Load-or-fit: the fitted model is kept under the shared folder, named
+    by the object, its training table and its parameters (the reference's
+    lazily unpickled models)."""
+    import hashlib
+    from ctxrec.operators.reduce import TextModel, fit_text_model
+    from ctxrec.sources.store import model_path, table_exists
+
+    tag = hashlib.sha1(os.path.abspath(sf).encode()).hexdigest()[:12]
+    path = model_path(scratch_path(spark, ""), "text", tag, n)
+    if table_exists(spark, f"{path}/meta"):
+        return TextModel.load(spark, path)
+    model = fit_text_model(_documents(spark, sf).select("doc_id", "text"), "doc_id", "text", n)
+    model.save(path)
+    return TextModel.load(spark, path)
 
 
 def _viewed_docs(spark, sf):
@@ -787,11 +817,10 @@ def q_eval_classifier(spark, sf):
 
 @query("persist_models")
 def q_persist_models(spark, sf):
-    import uuid
-    from ctxrec.operators.reduce import TextModel, text_features
-    path = scratch_path(spark, f"models/text-{N_COMPONENTS}-{uuid.uuid4().hex}")
-    _text_model(spark, sf).save(path)
-    return text_features(TextModel.load(spark, path), _documents(spark, sf), "doc_id", "text")
+    """Load-or-fit of the text model (see ``_text_model``), then features of
+    the corpus from the reloaded model."""
+    from ctxrec.operators.reduce import text_features
+    return text_features(_text_model(spark, sf), _documents(spark, sf), "doc_id", "text")
 
 
 @query("persist_features")

@@ -139,7 +139,7 @@ sql("record_feedback", f"""{V}
 SELECT view_id, username, url,
        CASE WHEN (cast(substr(username, 2) AS bigint) + cast(regexp_extract(url, 'site([0-9]+)', 1) AS int)) % 3 = 0
             THEN cast((cast(substr(username, 2) AS bigint) * 7 + cast(regexp_extract(url, 'site([0-9]+)', 1) AS int)
-                       + CASE WHEN cast(regexp_extract(url, 'site([0-9]+)', 1) AS int) % 2 = 0 THEN 1 ELSE 0 END) % 6 AS varchar)
+                       + 1) % 6 AS varchar)
             ELSE 'none' END AS feedback
 FROM views""")
 
@@ -674,3 +674,25 @@ hits AS (SELECT doc_id, lang, min(ord) AS ord, count(*) AS hits FROM tk JOIN sw
 best AS (SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, ord) AS r FROM hits)
          WHERE r = 1)
 SELECT d.doc_id, coalesce(b.lang, 'unknown') AS detected, d.lang FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id""")
+
+# --- 2.18 other similarity measures (k best, all pairs in the oracle only) ------------------
+
+_EMB_L1 = """
+ep AS (SELECT cast(vec_id AS varchar) AS id, cast(embedding AS double[]) AS feats FROM embeddings),
+ed AS (SELECT a.id AS id_a, b.id AS id_b,
+              round(list_sum(list_transform(range(1, len(a.feats) + 1), lambda i: abs(a.feats[i] - b.feats[i]))), 9) AS distance
+       FROM ep a JOIN ep b ON a.id <> b.id)"""
+sql("manhattan_distance", with_ctes(_EMB_L1) + """
+SELECT id_a, id_b, round(distance, 6) AS distance, cast(rank AS int) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) AS rank FROM ed) WHERE rank <= 5""")
+
+_EMB_R = """
+ep AS (SELECT cast(vec_id AS varchar) AS id, cast(embedding AS double[]) AS feats FROM embeddings),
+ec AS (SELECT id, list_transform(feats, lambda x: x - list_avg(feats)) AS c FROM ep),
+en AS (SELECT id, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS norm FROM ec),
+ed AS (SELECT a.id AS id_a, b.id AS id_b,
+              round(1.0 - list_sum(list_transform(range(1, len(a.c) + 1), lambda i: a.c[i] * b.c[i])) / (a.norm * b.norm), 9) AS distance
+       FROM en a JOIN en b ON a.id <> b.id)"""
+sql("pearson_similarity", with_ctes(_EMB_R) + """
+SELECT id_a, id_b, round(1.0 - distance, 6) AS correlation, cast(rank AS int) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) AS rank FROM ed) WHERE rank <= 5""")

@@ -55,6 +55,10 @@ def load_or_fit(spark: SparkSession, path: str, fit, loader):
     return model
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    return _exists(spark, path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
