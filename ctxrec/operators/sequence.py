@@ -42,8 +42,9 @@ def carry_last(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     for name, t in tagged.items():
         local = local.withColumn(f"__in_{name}", F.last(t, ignorenulls=True).over(w_in))
 
-    # Level 2: one row per (key, bucket) with the bucket's last match, then the
-    # last match of all earlier buckets of the key.
+    # Level 2: one row per (key, bucket) with the bucket's last match (partially
+    # aggregated before its shuffle, so it ships about one row per key, bucket
+    # and map task), then the last match of all earlier buckets of the key.
     summary = df.groupBy(*keys, bucket).agg(
         *[F.max(t).alias(f"__b_{name}") for name, t in tagged.items()])
     w_b = (Window.partitionBy(*keys).orderBy(bucket)
