@@ -134,7 +134,7 @@ def learned_dataset(views: DataFrame, resources: DataFrame) -> DataFrame:
                                            F.min(F.col("__r").cast("int")).alias("__lr"))
              .where((F.col("__hr") == 1) & (F.col("__lr") == 0)).select("username"))
     items = items.join(users, on="username", how="left_semi")
-    first = first_view_per_resource(views_features(views.join(items, on=["username", "url"], how="left_semi")))
+    first = views_features(first_view_per_resource(views.join(items, on=["username", "url"], how="left_semi")))
     means = first.groupBy("username").agg(*[F.avg(c).alias(f"__m_{c}") for c in LEARN_FEATURES])
     centred = first.join(means, on="username").select(
         "username", "url", *[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in LEARN_FEATURES])
@@ -157,7 +157,11 @@ def rank_learned(views: DataFrame, resources: DataFrame, max_iter: int = 50,
     from pyspark.ml.classification import LinearSVC, OneVsRest
     from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 
-    data = learned_dataset(views, resources)
+    from ctxrec.session import checkpoint_dir
+
+    checkpoint_dir(views.sparkSession)
+    # the optimiser reads the training rows once per iteration: cut the lineage once
+    data = learned_dataset(views, resources).checkpoint(eager=True)
     if train is not None:
         fit_rows = data.join(train, on=["username", "url"], how="left_semi").where(F.col("label").isNotNull())
         pred_rows = data.join(test, on=["username", "url"], how="left_semi")
@@ -173,7 +177,7 @@ def rank_learned(views: DataFrame, resources: DataFrame, max_iter: int = 50,
     labels = prep.stages[2].labels
     if len(labels) >= 2:
         ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter), featuresCol="__xs", labelCol="__y",
-                        predictionCol="__p").fit(prep.transform(fit_df))
+                        predictionCol="__p", parallelism=len(labels)).fit(prep.transform(fit_df))
         scored = ovr.transform(prep.stages[1].transform(prep.stages[0].transform(pred_rows)))
         mapping = F.element_at(F.array(*[F.lit(float(x)) for x in labels]), F.col("__p").cast("int") + 1)
         pred = scored.select("username", "url", mapping.alias("score"))

@@ -87,3 +87,16 @@ def test_positions_equal_row_number(spark):
     w = Window.partitionBy("k").orderBy("t", "i")
     exp = df.select("k", "i", (F.row_number().over(w) - 1).cast("bigint").alias("pos"))
     assert sorted(got.collect()) == sorted(exp.collect())
+
+
+def test_learned_ranks_cover_unrated_urls(spark):
+    from ctxrec.operators import ranking
+    from ctxrec.sources import adapters
+    v = adapters.driver_views(spark, SF)
+    r = adapters.driver_resources(spark, SF)
+    learned = ranking.rank_learned(v, r)
+    data = ranking.learned_dataset(v, r)
+    want = {(x.username, x.url) for x in data.where(F.col("label").isNull()).collect()}
+    got = learned.collect()
+    assert {(x.username, x.url) for x in got} == want
+    assert all(0 <= x.score <= 5 for x in got)
