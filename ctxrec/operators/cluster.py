@@ -5,14 +5,13 @@ Points are ``(group, key, features ARRAY<DOUBLE>)``. Grouped Lloyd keeps the
 centers as one small array per group (k structs): each round joins points to
 their group's centers array, picks the nearest center inside the row (no
 points x centers rows are emitted) and re-averages with a partially
-aggregated ``Summarizer.mean``. Centers are checkpointed every round to the
+aggregated per-dimension ``avg``. Centers are checkpointed every round to the
 shared checkpoint folder so the lineage stays one round long.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +48,16 @@ def assign(points: DataFrame, centers: DataFrame, group: str) -> DataFrame:
             .select(*points.columns, F.col("__best.cluster").alias("cluster"), F.col("__best.d").alias("sq_dist")))
 
 
-def update_centers(assigned: DataFrame, centers: DataFrame, group: str) -> DataFrame:
+def array_mean(df: DataFrame, keys: list[str], col: str, dims: int, out: str) -> DataFrame:
+    """Element-wise mean of a fixed-length array column per group: one plain
+    ``avg`` per dimension (hash aggregation, partial before the shuffle)."""
+    aggs = [F.avg(F.col(col)[j]).alias(f"__d{j}") for j in range(dims)]
+    return df.groupBy(*keys).agg(*aggs).select(*keys, F.array(*[F.col(f"__d{j}") for j in range(dims)]).alias(out))
+
+
+def update_centers(assigned: DataFrame, centers: DataFrame, group: str, dims: int) -> DataFrame:
     """Mean of each cluster's points; an empty cluster keeps its center."""
-    means = (assigned.groupBy(group, "cluster")
-             .agg(Summarizer.mean(array_to_vector("features")).alias("__m"))
-             .select(group, "cluster", vector_to_array("__m").alias("__mean")))
+    means = array_mean(assigned, [group, "cluster"], "features", dims, "__mean")
     return (centers.join(means, on=[group, "cluster"], how="left")
             .select(group, "cluster", F.coalesce("__mean", "center").alias("center")))
 
@@ -81,8 +85,10 @@ def grouped_kmeans(points: DataFrame, group: str, key: str, k: int, iterations:
     pts = (points.select(group, key, F.col("features").cast("array<double>").alias("features"))
            .checkpoint(eager=True))
     centers = initial_centers(pts, group, key, k).checkpoint(eager=True)
+    first = pts.first()
+    dims = len(first.features) if first else 0
     for _ in range(iterations):
-        new = update_centers(assign(pts, centers, group), centers, group).checkpoint(eager=True)
+        new = update_centers(assign(pts, centers, group), centers, group, dims).checkpoint(eager=True)
         moved = center_shift(new, centers, group)
         centers = new
         if moved <= tol:

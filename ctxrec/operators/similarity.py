@@ -42,15 +42,20 @@ def _block_knn(k: int, exclude_self: bool, exclude_same_owner: bool, chunk: int
         L = np.stack(left["features"].to_numpy()).astype(np.float64)
         R = np.stack(right["features"].to_numpy()).astype(np.float64)
         la, rb = left["id"].to_numpy(), right["id"].to_numpy()
-        lo, ro = left["owner"].to_numpy(), right["owner"].to_numpy()
-        order_b = np.argsort(rb, kind="stable")          # ties -> smallest id_b
-        R, rb, ro = R[order_b], rb[order_b], ro[order_b]
+        # integer codes: vectorised equality instead of Python string compares
+        _, codes = np.unique(np.concatenate([la, rb]).astype(str), return_inverse=True)
+        lac, rbc = codes[:len(la)], codes[len(la):]
+        _, ocodes = np.unique(np.concatenate([left["owner"].to_numpy(), right["owner"].to_numpy()]).astype(str),
+                              return_inverse=True)
+        lo, ro = ocodes[:len(la)], ocodes[len(la):]
+        order_b = np.argsort(rb.astype(str), kind="stable")          # ties -> smallest id_b
+        R, rb, rbc, ro = R[order_b], rb[order_b], rbc[order_b], ro[order_b]
         kk = min(k, len(rb))
         out_a, out_b, out_d = [], [], []
         for s in range(0, len(la), chunk):
             d = np.round(_block_dist(L[s:s + chunk], R, metric), 9)
             if exclude_self:
-                d[la[s:s + chunk, None] == rb[None, :]] = np.inf
+                d[lac[s:s + chunk, None] == rbc[None, :]] = np.inf
             if exclude_same_owner:
                 d[lo[s:s + chunk, None] == ro[None, :]] = np.inf
             idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
