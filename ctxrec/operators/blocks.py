@@ -40,6 +40,9 @@ def block_apply(left: DataFrame, right: DataFrame, fn: Callable[[PointFrame, Poi
     The number of blocks comes from the size of ``right`` (per owner when
     ``within``), so each task holds at most about ``block_size`` points per side.
     """
+    from ctxrec.session import ship_package
+
+    ship_package(left.sparkSession)
     keys = ["ba", "bb"]
     # fresh attribute ids on the right: left and right may be the same plan
     right = right.select(*[F.col(c).alias(c) for c in right.columns])

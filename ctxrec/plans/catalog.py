@@ -7,6 +7,7 @@ tables. Column names and types equal those of ``ctxrec.plans.oracle``.
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ctxrec.functions.urls import DEFAULT_BLACKLIST, url_blacklisted
 from ctxrec.operators import cf, cluster, features, pages as pages_op, ranking, store, text, views as views_op
-from ctxrec.session import scratch_path
+from ctxrec.session import scratch_path, ship_package
 from ctxrec.sources import adapters
 from ctxrec.sources.tables import read_table
 
@@ -28,8 +29,12 @@ VIEW_COLS = ["view_id", "url", "username", "duration", "lat", "lon", "ts_ms",
 
 def query(key: str):
     def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[key] = fn
-        return fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf)
+        QUERIES[key] = run
+        return run
     return deco
 
 

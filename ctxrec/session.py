@@ -63,3 +63,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a written intermediate table under the checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ctxrec`` importable in the Python workers of every executor.
+
+    Operators that run pandas/numpy tasks (``mapInPandas``, cogroups,
+    ``applyInPandasWithState``) refer to functions of this package, so the
+    package is zipped once per application and added with ``addPyFile``
+    (what ``--py-files`` does at submit time).
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="ctxrec-pkg-"), "ctxrec.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            if "__pycache__" in dirpath:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)

@@ -74,6 +74,9 @@ def _convert(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
 
 def stream_views(events: DataFrame, idle_timeout_ms: int | None = None) -> DataFrame:
     """Streaming events (engine schema) -> streaming views."""
+    from ctxrec.session import ship_package
+
+    ship_package(events.sparkSession)
     ev = events.where(F.col("type").isin(*STARTERS, *ENDERS))
     if idle_timeout_ms:
         ev = ev.withColumn("__et", F.timestamp_millis("ts_ms")).withWatermark("__et", "1 hour")
