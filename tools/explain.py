@@ -11,6 +11,8 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from ctxrec.operators import features, ranking, views  # noqa: E402
 from ctxrec.session import build_session  # noqa: E402
 from ctxrec.sources import adapters  # noqa: E402
@@ -19,7 +21,7 @@ PLANS = {
     "events_to_views": lambda s, sf: views.events_to_views(adapters.driver_events(s, sf)),
     "rank_heuristic": lambda s, sf: ranking.rank_heuristic(
         views.events_to_views(adapters.driver_events(s, sf)).withColumn(
-            "feedback", adapters.fixture_feedback_rule(adapters.F.col("username"), adapters.F.col("url")))),
+            "feedback", adapters.fixture_feedback_rule(F.col("username"), F.col("url")))),
     "recent_activity": lambda s, sf: features.recent_activity(views.events_to_views(adapters.driver_events(s, sf))),
 }
 
