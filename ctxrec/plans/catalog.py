@@ -640,6 +640,7 @@ def q_cf_users(spark, sf):
 # --- 2.11 reduced text features (Spark ML) ------------------------------------------------
 
 N_COMPONENTS = 100
+TEXT_MODEL_VERSION = 2  # bump when the saved model layout changes
 
 
 def _text_model(spark, sf, n=N_COMPONENTS):
@@ -651,7 +652,7 @@ def _text_model(spark, sf, n=N_COMPONENTS):
     from ctxrec.sources.store import model_path, table_exists
 
     tag = hashlib.sha1(os.path.abspath(sf).encode()).hexdigest()[:12]
-    path = model_path(scratch_path(spark, ""), "text", tag, n)
+    path = model_path(scratch_path(spark, ""), "text", f"v{TEXT_MODEL_VERSION}", tag, n)
     if table_exists(spark, f"{path}/meta"):
         return TextModel.load(spark, path)
     model = fit_text_model(_documents(spark, sf).select("doc_id", "text"), "doc_id", "text", n)
