@@ -5,8 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ctxrec.session import checkpoint_dir, scratch_path, ship_package
 from ctxrec.sources.tables import read_table
@@ -56,3 +59,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, UPPER, LOWER)
+
+
+def per_text(docs: DataFrame, columns: str, fn: Callable[[list], list], id_col: str = "doc_id",
+             text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``extra`` columns of the input as they are, then ``columns``
+    (DDL). ``fn`` gets the texts of a batch (None for null) and returns one
+    sequence per column. Every input row gives one row; ids are never touched,
+    so null and repeated ids pass through."""
+    made = StructType.fromDDL(columns)
+    types = [to_arrow_type(f.dataType) for f in made]
+    names = [id_col, *extra, *made.fieldNames()]
+    src = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *extra)
+    schema = StructType([*src.drop("_text").schema.fields, *made.fields])
+
+    def run(batches):
+        for batch in batches:
+            out = fn(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], *(pa.array(c, type=t, from_pandas=True) for c, t in zip(out, types))], names=names)
+
+    return src.mapInArrow(run, schema)

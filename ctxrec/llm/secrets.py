@@ -16,15 +16,13 @@ linear in the value's length.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, query
+from .common import documents, per_text, query
 
 KINDS = ["assign", "access", "hex", "credential"]
 MIN_BITS = 36.0
@@ -140,26 +138,17 @@ def span_text(spans: list[tuple[int, int, int]]) -> str:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  min_bits: float = MIN_BITS) -> DataFrame:
     """One row per text: id, n_assign, n_access, n_hex, n_credential, base (joined base spans) and spans (all)."""
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, n_credential long, base string, spans string"
-
-    def scan(batches):
-        for pdf in batches:
-            rows = []
-            for text in pdf["_text"]:
-                text = text or ""
-                base, more = base_spans(text), credential_spans(text, min_bits)
-                count = [sum(k == i for _, k, _ in base) for i in range(3)]
-                rows.append((*count, len(more), span_text(base), span_text(base + more)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_credential", "base", "spans"])
-            out.insert(0, id_col, pdf["_id"].to_numpy())
-            yield out
-
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(scan, schema)
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    def scan(texts):
+        rows = []
+        for text in texts:
+            text = text or ""
+            base, more = base_spans(text), credential_spans(text, min_bits)
+            count = [sum(k == i for _, k, _ in base) for i in range(3)]
+            rows.append((*count, len(more), span_text(base), span_text(base + more)))
+        return list(zip(*rows)) or [[]] * 6
+
+    return per_text(docs, "n_assign long, n_access long, n_hex long, n_credential long, base string, spans string",
+                    scan, id_col, text_col)
 
 
 @query("op8_secret_scan")
