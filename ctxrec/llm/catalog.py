@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, secrets, sentencepiece, toxicity, url_filter  # noqa: F401
+from . import decontaminate, pii, quality, secrets, sentencepiece, toxicity, url_filter  # noqa: F401
 from .common import ORACLE, QUERIES  # noqa: F401
