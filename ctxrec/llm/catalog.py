@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, pii, quality, secrets, sentencepiece, substring_dedup, toxicity, url_filter  # noqa: F401
+from . import decontaminate, lm_score, ngram_join, pii, quality, secrets, sentencepiece, substring_dedup, toxicity, url_filter  # noqa: F401
 from .common import ORACLE, QUERIES  # noqa: F401

@@ -107,17 +107,16 @@ def _rows(keys, owners) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s)], names=["key", "s"])
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       extra: tuple[str, ...] = ()) -> DataFrame:
-    """id, ``extra``, n_shingles and component_id (smallest id reachable by links) of every document."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text_hash, n_shingles, component_id (smallest id reachable by links)
+    and component (a number of the component, null without shingles) of every document."""
     def measure(texts):
         sets = list(shingle_sets(texts, SHINGLE))
         return [[len(h) for h in sets], [set_id(h) if len(h) else None for h in sets],
                 [sketch(h) if len(h) else None for h in sets]]
 
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *extra,
-                      F.xxhash64(text_col).alias("_hash"))
-    measured = stored(per_text(src, "n long, s long, sketch binary", measure, "_id", "_text", (*extra, "_hash")), "ngram-sets")
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    measured = stored(per_text(src, "n long, s long, sketch binary", measure, "_id", "_text", ("_hash",)), "ngram-sets")
     # one row per set: where its text is, and the smallest id of its copies
     nodes = stored(measured.where("s is not null").groupBy("s").agg(
         F.min(F.struct(F.col("_id"), F.col("_hash"))).alias("at"), F.min("_id").alias("least"),
@@ -125,16 +124,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def texts(ends: DataFrame) -> DataFrame:
         at = nodes.join(ends, "s").select("s", F.col("at._id").alias("_i"), F.col("at._hash").alias("_h"))
-        return (src.select("_id", "_hash", "_text").join(at, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
+        return (src.join(at, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
                 .dropDuplicates(["s"]).select("s", F.col("_text").alias("text")))
 
     label = linked_components(set_keys(docs, text_col), nodes, texts, "ngram", SHINGLE)
-    comps = (nodes.join(label, "s", "left").select("s", "least", F.coalesce("comp", "s").alias("comp")))
-    smallest = comps.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_set = comps.join(smallest, "comp").select("s", "component_id")
+    comps = nodes.join(label, "s", "left").select("s", "least", F.coalesce("comp", "s").alias("component"))
+    smallest = comps.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_set = comps.join(smallest, "component").select("s", "component", "component_id")
     return (measured.join(of_set, "s", "left")
-            .select(F.col("_id").alias(id_col), *extra, F.col("n").alias("n_shingles"),
-                    F.coalesce("component_id", "_id").alias("component_id")))
+            .select(F.col("_id").alias(id_col), F.col("_hash").alias("text_hash"), F.col("n").alias("n_shingles"),
+                    F.coalesce("component_id", "_id").alias("component_id"), "component"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows, of each component only one: that with the smallest id
+    (then text hash). Documents without shingles all stay."""
+    found = stored(jaccard_components(docs, id_col, text_col), "ngram-components")
+    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))
+    first = (found.where("component is not null").groupBy("component").agg(F.min(place).alias("p"))
+             .select(F.col("p.i").alias("_i"), F.col("p.h").alias("_h")))
+    bare = found.where("component is null").select(F.col(id_col).alias("_i"), F.col("text_hash").alias("_h")).distinct()
+    times = found.groupBy(F.col(id_col).alias("_i"), F.col("text_hash").alias("_h")).count()
+    again = times.where("count > 1").select("_i", "_h")
+    src = docs.withColumn("_hash", F.xxhash64(text_col))
+
+    def rows(keys: DataFrame) -> DataFrame:
+        on = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
+        return src.join(keys, on, "left_semi").drop("_hash")
+
+    same = [F.col("x._i").eqNullSafe(F.col("y._i")) & (F.col("x._h") == F.col("y._h"))]
+    once = first.alias("x").join(again.alias("y"), same, "left_anti")
+    twice = first.alias("x").join(again.alias("y"), same, "left_semi")
+    # rows that repeat id and text are one document: only these few are put side by side
+    return rows(once.union(bare)).union(rows(twice).dropDuplicates([id_col, text_col]))
 
 
 _UP, _LOW_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -157,4 +179,4 @@ FROM w JOIN cc ON cc.x = w.doc_id LEFT JOIN sz ON sz.doc_id = w.doc_id"""
 @query("op9_ngram_join", _SQL)
 def op9_ngram_join(spark, sf_dir):
     """Every document's set size and component."""
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
