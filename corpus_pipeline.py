@@ -28,9 +28,9 @@ from ctxrec.sources.tables import read_table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    scored = toxicity.score_toxicity(docs, toxicity.trained(spark, docs, sf_dir), extra=others)
-    return scored.where("predicted = 0").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    scored = toxicity.score_toxicity(whole, toxicity.trained(spark, docs, sf_dir), extra=("__row",))
+    return scored.where("predicted = 0").select("__row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     items = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    found = decontaminate.find_contamination(docs, items).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))
-    hit = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_h"))
+    found = decontaminate.find_contamination(docs, items).select(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_hash"))
+    hit = F.col("doc_id").eqNullSafe(F.col("__hit_id")) & (F.xxhash64("text") == F.col("__hit_hash"))
     return docs.join(found, hit, "left_anti")
 
 

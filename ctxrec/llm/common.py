@@ -56,6 +56,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` (a stored table) as the side of a join: sent to every executor if
+    its counted rows take at most BROADCAST_BYTES, else joined by a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, UPPER, LOWER)

@@ -6,9 +6,10 @@ nodes are first held against the key's smallest node; links are verified on
 the texts and joined into components. A key whose nodes lie in one component
 is done. The nodes of the other keys are compared by sketch inside tasks (in
 blocks, so that no task holds a whole large group), only across components,
-and what the sketches cannot rule out is verified, until nothing is left: every
-two nodes with a common key are in one component, or ruled out by their
-sketches, or verified not to be linked.
+and what the sketches cannot rule out is verified. A group that would give very
+many pairs gives a spanning forest first and is compared again afterwards, until
+nothing is left: every two nodes with a common key are in one component, or
+ruled out by their sketches, or verified not to be linked.
 
 The sketch flips one bit for each element (its hash modulo a power of two), so
 two sketches differ in at most as many bits as the sets' symmetric difference
@@ -46,8 +47,8 @@ def set_id(h: np.ndarray) -> int:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parity sketch of a set: a power of two of at least 2 n bits, 128 at least."""
-    bits = max(128, 1 << int(2 * len(h) - 1).bit_length())
+    """Parity sketch of a set: a power of two of at least n bits, 128 at least."""
+    bits = max(128, 1 << int(len(h) - 1).bit_length())
     at = (mix64(h ^ _U(0x2545F4914F6CDD1D)) & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -81,37 +82,16 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "label")
 
 
-def _groups(batches, columns: list[str], n_key: int):
-    """Rows of key-sorted batches, one group at a time, as column lists."""
-    held: list[list] | None = None
-    for batch in batches:
-        cols = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-        if not batch.num_rows:
-            continue
-        keys = np.column_stack([np.asarray(c) for c in cols[:n_key]])
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        bounds = [0, *cuts.tolist(), batch.num_rows]
-        lists = [c.to_pylist() for c in cols]
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            part = [x[lo:hi] for x in lists]
-            if held is not None and [x[0] for x in held[:n_key]] == [x[0] for x in part[:n_key]]:
-                held = [a + b for a, b in zip(held, part)]
-            else:
-                if held is not None:
-                    yield held
-                held = part
-    if held is not None:
-        yield held
-
-
-def _compare(s, comp, block, n, sketches, forest: bool, num: int, den: int):
-    """Pairs of one group in different components that the sketches allow."""
+def _compare(s, comp, block, n, sketches, most: int, num: int, den: int):
+    """Pairs of one group in different components that the sketches allow, and
+    whether that is all of them: beyond ``most`` pairs per row, only a spanning
+    forest of the components is given."""
     order = sorted(set(zip(s, comp, block, n, sketches)), key=lambda r: r[0])
-    if len({r[1] for r in order}) < 2:
-        return []
     size: dict = {}
     for r in order:
         size[r[1]] = size.get(r[1], 0) + 1
+    if len(size) < 2:
+        return [], True
     largest = max(size, key=lambda c: (size[c], c))
     order.sort(key=lambda r: r[1] == largest)  # rows of the largest component need not be compared among themselves
     ids = [r[0] for r in order]
@@ -119,10 +99,11 @@ def _compare(s, comp, block, n, sketches, forest: bool, num: int, den: int):
     blocks, count, x = np.array([r[2] for r in order]), np.array([r[3] for r in order]), _fold([r[4] for r in order])
     cross = len(set(blocks.tolist())) > 1
     root = labels.copy()
-    out = []
-    for i in range(sum(r[1] != largest for r in order)):
+    out, tree = [], []
+    for i in range(len(order) - size[largest]):
         total = count[i] + count[i + 1:]
-        may = ((root[i + 1:] != root[i]) & (num * np.maximum(count[i], count[i + 1:]) <= den * np.minimum(count[i], count[i + 1:])))
+        may = ((labels[i + 1:] != labels[i])
+               & (num * np.maximum(count[i], count[i + 1:]) <= den * np.minimum(count[i], count[i + 1:])))
         if cross:
             may &= blocks[i + 1:] != blocks[i]
         at = np.flatnonzero(may)
@@ -130,30 +111,101 @@ def _compare(s, comp, block, n, sketches, forest: bool, num: int, den: int):
             continue
         apart = np.bitwise_count(x[i] ^ x[i + 1 + at]).sum(axis=1)
         for j in at[apart <= total[at] * (den - num) // (den + num)] + i + 1:
-            if not forest or root[i] != root[j]:
+            if len(out) <= most * len(order):
                 out.append((ids[i], ids[j]))
-                if forest:
-                    root[root == root[j]] = root[i]
-    return out
-
-
-def _pairs(groups: DataFrame, forest: bool, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a < b) of key groups (key, lo, hi, s, comp, block, n, sketch)."""
-    columns = ["key", "lo", "hi", "s", "comp", "block", "n", "sketch"]
+            if root[i] != root[j]:
+                tree.append((ids[i], ids[j]))
+                root[root == root[j]] = root[i]
+    return (out, True) if len(out) <= most * len(order) else (tree, False)
+
+
+SMALL = 16
+COLUMNS = ["key", "lo", "hi", "s", "comp", "block", "n", "sketch"]
+
+
+def _small_pairs(key, group, s, comp, n, sketches, small, num: int, den: int):
+    """Pairs of all small groups at once: rows some places apart in one group."""
+    left, right = [], []
+    for lag in range(1, SMALL):
+        i = np.flatnonzero((group[lag:] == group[:-lag]) & small[:-lag])
+        if not len(i):
+            break
+        j = i + lag
+        ok = (comp[i] != comp[j]) & (num * np.maximum(n[i], n[j]) <= den * np.minimum(n[i], n[j]))
+        left.append(i[ok])
+        right.append(j[ok])
+    if not left:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    i, j = np.concatenate(left), np.concatenate(right)
+    pair = np.unique(np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j])], axis=1), axis=0, return_index=True)[1]
+    i, j = i[pair], j[pair]
+    size = np.array([len(x) for x in sketches])
+    keep = np.zeros(len(i), dtype=bool)
+    for p in np.unique(size[i]):
+        for q in np.unique(size[j][size[i] == p]):
+            at = np.flatnonzero((size[i] == p) & (size[j] == q))
+            x, y = (np.frombuffer(b"".join(sketches[r] for r in rows[at]), dtype=np.uint8).reshape(len(at), w)
+                    for rows, w in ((i, p), (j, q)))
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2:]
+            apart = np.bitwise_count(np.ascontiguousarray(x ^ y).view(np.uint64)).sum(axis=1)
+            keep[at] = apart <= (n[i[at]] + n[j[at]]) * (den - num) // (den + num)
+    return np.minimum(s[i[keep]], s[j[keep]]), np.maximum(s[i[keep]], s[j[keep]])
+
+
+def _pairs(groups: DataFrame, most: int, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a < b) of key groups (COLUMNS); a row with a key and no
+    pair names a group of which only a forest is given."""
+    def work(cols):
+        key, lo, hi, s, comp, block, n = cols[:7]
+        sketches = cols[7]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        group = np.cumsum(new) - 1
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(key)))
+        small = ((size <= SMALL) & (lo[start] == hi[start]))[group]
+        a, b = (x.tolist() for x in _small_pairs(key, group, s, comp, n, sketches, small, num, den))
+        again = []
+        for g in np.flatnonzero(~small[start]):
+            part = slice(start[g], start[g] + size[g])
+            found, whole = _compare(s[part].tolist(), comp[part].tolist(), block[part].tolist(), n[part].tolist(),
+                                    sketches[part], most, num, den)
+            a += [min(p) for p in found]
+            b += [max(p) for p in found]
+            if not whole:
+                again.append(int(key[start[g]]))
+        none = [None] * len(again)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a + none, pa.int64()), pa.array(b + none, pa.int64()), pa.array([None] * len(a) + again, pa.int64())],
+            names=["a", "b", "key"])
 
     def run(batches):
-        a, b = [], []
-        for g in _groups(batches, columns, 3):
-            for x, y in _compare(*g[3:], forest, num, den):
-                a.append(min(x, y))
-                b.append(max(x, y))
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        held: list = []
 
-    return (groups.select(*columns).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-            .mapInArrow(run, "a long, b long").distinct())
+        def gathered():
+            cols = [np.concatenate([h[c] for h in held]) for c in range(7)]
+            return cols + [[x for h in held for x in h[7]]]
+
+        for batch in batches:
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in COLUMNS]
+            held.append([c.to_numpy(zero_copy_only=False) for c in cols[:7]] + [cols[7].to_pylist()])
+            if sum(len(h[0]) for h in held) >= 20_000:
+                cols = gathered()
+                last = [c[-1] for c in cols[:3]]
+                cut = int(np.flatnonzero((cols[0] != last[0]) | (cols[1] != last[1]) | (cols[2] != last[2]))[-1:].sum()) + 1
+                if cut > 1:  # all but the last group, which may go on
+                    yield work([c[:cut] for c in cols])
+                    held = [[c[cut:] for c in cols]]
+                else:
+                    held = [cols]
+        if held:
+            yield work(gathered())
+
+    return (groups.select(*COLUMNS).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+            .mapInArrow(run, "a long, b long, key long"))
 
 
 def _sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -176,7 +228,7 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
 
 def _verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int, lower: bool, num: int, den: int) -> DataFrame:
     """(a, b, linked) by the exact Jaccard similarity of the shingle sets."""
-    ends = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
+    ends = stored(pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct(), "ends")
     found = texts(ends)
     for c in ("a", "b"):
         pairs = pairs.join(found.select(F.col("s").alias(c), F.col("text").alias(f"t_{c}")), c)
@@ -201,11 +253,11 @@ def linked_components(keys: DataFrame, nodes: DataFrame, texts: Callable[[DataFr
     shared = stored(keys.select("key", "s", F.min("s").over(w).alias("hub"), F.max("s").over(w).alias("top"))
                     .where("hub != top").select("key", "s", "hub"), f"{name}-keys")
     pairs = shared.where("s != hub").select(F.col("hub").alias("a"), F.col("s").alias("b")).distinct()
-    checked = stored(_verified(_sketched(pairs, nodes, num, den), texts, k, lower, num, den), f"{name}-star")
+    checked = stored(_verified(stored(_sketched(pairs, nodes, num, den), f"{name}-near"), texts, k, lower, num, den), f"{name}-star")
     label = components(checked.where("linked")).select(F.col("node").alias("s"), F.col("label").alias("comp")).checkpoint()
-    turn = 0
+    most, keys_left = 4, shared
     while True:
-        rows = shared.join(label, "s", "left").select("key", "s", F.coalesce("comp", "s").alias("comp"))
+        rows = keys_left.join(label, "s", "left").select("key", "s", F.coalesce("comp", "s").alias("comp"))
         rows = (rows.distinct().withColumn("low", F.min("comp").over(w)).withColumn("top", F.max("comp").over(w))
                 .withColumn("size", F.count("s").over(w)).where("low != top"))
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -213,11 +265,11 @@ def linked_components(keys: DataFrame, nodes: DataFrame, texts: Callable[[DataFr
                 .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
                 .select("key", "s", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
         rows = rows.join(nodes.select("s", "n", "sketch"), "s")
-        pairs = _pairs(rows, turn == 0, num, den).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        new = stored(_verified(pairs.checkpoint(), texts, k, lower, num, den), f"{name}-{turn}")
+        found = stored(_pairs(rows, most, num, den), f"{name}-pairs")
+        pairs = stored(found.where("a is not null").select("a", "b").distinct()
+                       .join(checked.select("a", "b"), ["a", "b"], "left_anti"), f"{name}-near")
+        new = stored(_verified(pairs, texts, k, lower, num, den), f"{name}-checked")
         links = new.where("linked")
-        if turn and new.isEmpty():
-            return label
         if not links.isEmpty():
             of = lambda c: label.select(F.col("s").alias(c), F.col("comp").alias(f"c_{c}"))
             lifted = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
@@ -226,5 +278,10 @@ def linked_components(keys: DataFrame, nodes: DataFrame, texts: Callable[[DataFr
             own = links.select(F.col("a").alias("s")).union(links.select("b")).distinct().withColumn("comp", F.col("s"))
             every = label.union(own.join(label, "s", "left_anti").select("s", "comp"))
             label = (every.join(up, "comp", "left").select("s", F.coalesce("up", "comp").alias("comp")).checkpoint())
+        again = found.where("key is not null").select("key").distinct()
+        if again.isEmpty():
+            return label
+        # groups with too many pairs for one turn: most are in one component by now; more pairs a row next time
+        keys_left = shared.join(again, "key", "left_semi")
         checked = checked.unionByName(new)
-        turn += 1
+        most *= 4

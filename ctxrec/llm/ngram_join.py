@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, per_text, query, stored
+from .common import documents, per_text, query, sized, stored
 from .linkage import DEN, NUM, linked_components, most_different, set_id, sketch
 from .words import mix64, shingle_sets
 
@@ -68,15 +68,13 @@ def band_keys(h: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         segments = d + 1 + max(4, (d + 1) // 4)
         salted = mix64(h ^ _U((0x632BE59BD9B4E019 * (band + 1)) & 0xFFFFFFFFFFFFFFFF))
         at = ((salted >> _U(32)) * _U(segments) >> _U(32)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        count = np.bincount(at, minlength=segments)
-        full = np.flatnonzero(count)
+        count = np.bincount(at, minlength=segments).astype(_U)
         value = np.zeros(segments, dtype=_U)
-        value[full] = np.bitwise_xor.reduceat(mix64(salted[order] + _U(1)), (np.cumsum(count) - count)[full])
-        key = mix64(value + mix64(np.arange(segments).astype(_U) * _U(1 << 20) + count.astype(_U)
-                                  + (_U(band) << _U(48))))
-        first = np.lexsort((key, -count))[: d + 1]
-        out.append(key[first])
+        np.bitwise_xor.at(value, at, mix64(salted + _U(1)))
+        key = mix64(value + mix64(np.arange(segments).astype(_U) * _U(1 << 20) + count + (_U(band) << _U(48))))
+        # most elements first, then by key: an order of the sketches alone
+        rank = ((_U(255) - np.minimum(count, _U(255))) << _U(56)) | (key >> _U(8))
+        out.append(key[np.argpartition(rank, d)[: d + 1]])
     return np.concatenate(out) if out else np.zeros(0, dtype=_U)
 
 
@@ -123,7 +121,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.first("n").alias("n"), F.first("sketch").alias("sketch")), "ngram-nodes")
 
     def texts(ends: DataFrame) -> DataFrame:
-        at = nodes.join(ends, "s").select("s", F.col("at._id").alias("_i"), F.col("at._hash").alias("_h"))
+        at = stored(nodes.join(ends, "s").select("s", F.col("at._id").alias("_i"), F.col("at._hash").alias("_h")), "ngram-at")
+        at = sized(at, 32)  # so that only the texts asked for are shuffled
         return (src.join(at, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
                 .dropDuplicates(["s"]).select("s", F.col("_text").alias("text")))
 
@@ -139,24 +138,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows, of each component only one: that with the smallest id
     (then text hash). Documents without shingles all stay."""
-    found = stored(jaccard_components(docs, id_col, text_col), "ngram-components")
-    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))
-    first = (found.where("component is not null").groupBy("component").agg(F.min(place).alias("p"))
-             .select(F.col("p.i").alias("_i"), F.col("p.h").alias("_h")))
-    bare = found.where("component is null").select(F.col(id_col).alias("_i"), F.col("text_hash").alias("_h")).distinct()
-    times = found.groupBy(F.col(id_col).alias("_i"), F.col("text_hash").alias("_h")).count()
-    again = times.where("count > 1").select("_i", "_h")
-    src = docs.withColumn("_hash", F.xxhash64(text_col))
-
-    def rows(keys: DataFrame) -> DataFrame:
-        on = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
-        return src.join(keys, on, "left_semi").drop("_hash")
-
-    same = [F.col("x._i").eqNullSafe(F.col("y._i")) & (F.col("x._h") == F.col("y._h"))]
-    once = first.alias("x").join(again.alias("y"), same, "left_anti")
-    twice = first.alias("x").join(again.alias("y"), same, "left_semi")
-    # rows that repeat id and text are one document: only these few are put side by side
-    return rows(once.union(bare)).union(rows(twice).dropDuplicates([id_col, text_col]))
+    found = stored(jaccard_components(docs, id_col, text_col).select(
+        F.col(id_col).alias("__i"), F.col("text_hash").alias("__h"), "component").where("component is not null"), "ngram-components")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("__i").isNull().alias("last"), "__i", "__h")).alias("p"))
+    place = found.groupBy("component", "__i", "__h").count().join(first, "component").select(
+        "__i", "__h", "count", (F.struct(F.col("__i").isNull().alias("last"), "__i", "__h") != F.col("p")).alias("gone"))
+    place = stored(place.where("gone or count > 1"), "ngram-gone")
+    src = docs.withColumn("__text_hash", F.xxhash64(text_col))
+    on = F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__text_hash") == F.col("__h"))
+    some, again = place.select("__i", "__h"), place.where("not gone").select("__i", "__h")
+    rest = src.join(sized(some, 24), on, "left_anti").drop("__text_hash")
+    # rows that repeat the id and text kept are one document: only these few are put side by side
+    twice = src.join(sized(again, 24), on, "left_semi").drop("__text_hash").dropDuplicates([id_col, text_col])
+    return rest.unionByName(twice)
 
 
 _UP, _LOW_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

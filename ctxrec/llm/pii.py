@@ -261,9 +261,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input with every found span of the text replaced by its kind in
     brackets (overlapping spans by that of the first); other columns as they
     are, null texts stay null."""
-    found = find_spans(docs, text_col, [F.struct(*docs.columns).alias("_row")], train(pattern_counts(docs, text_col)))
+    found = find_spans(docs, text_col, [F.struct(*docs.columns).alias("__row")], train(pattern_counts(docs, text_col)))
     kinds = F.array(*(F.lit(f"[{k.removeprefix('weak_').upper()}]") for k in KINDS))
-    text = F.col("_row")[text_col]
+    text = F.col("__row")[text_col]
     start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("out"))
 
     def cut(acc: Column, c: Column) -> Column:
@@ -276,7 +276,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     done = F.aggregate("spans", start, cut)
     rest = F.concat(F.array_join(done["out"], ""), F.substring(text, (done["pos"] + 1).cast("int"), F.length(text)))
     clean = F.when(F.size("spans") > 0, rest).otherwise(text)
-    return found.select(*((clean if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns))
+    return found.select(*((clean if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns))
 
 
 @query("op10_pii")

@@ -73,7 +73,7 @@ def build_double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
         look = hint[len(kids)]
         while True:
             if look + 8192 + 260 >= len(taken):
-                grow = len(taken)
+                grow = len(taken) + 8192
                 base, check, value = (np.concatenate((a, np.full(grow, x, dtype=np.int64)))
                                       for a, x in ((base, 0), (check, -1), (value, -1)))
                 taken = np.concatenate((taken, np.zeros(grow, dtype=bool)))
