@@ -30,7 +30,7 @@ from .common import documents, query
 # a run starts or the last match ended: the same matches in linear time
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
+CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"  # whole runs, of 14 digits or more
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 SSN = r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
@@ -135,9 +135,9 @@ def _candidates(kind: str, found: Column, between: Column) -> Column:
             F.when(c["b"].rlike(ANNOUNCE[kind]), 1).otherwise(2).alias("v2"),
             F.when(c["b"].rlike(AGAINST), 0).otherwise(2).alias("v3"), plain.alias("v4"))
 
-    # digit runs too short for a card are no candidates of anything
+    # digit runs too long for a card are no candidates of anything
     if kind == "card":
-        spans = F.filter(spans, lambda c: F.length(F.regexp_replace(c["v"], "[^0-9]", "")).between(14, 19))
+        spans = F.filter(spans, lambda c: F.length(F.regexp_replace(c["v"], "[^0-9]", "")) <= 19)
     return F.coalesce(F.transform(spans, judge), F.array().cast(_CAND))
 
 
