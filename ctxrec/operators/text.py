@@ -58,11 +58,12 @@ def fit_idf(corpus: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def tfidf(doc_terms: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
-    """L2-normalised tf * idf of each document's terms known to the model."""
+    """L2-normalised tf * idf of each document's terms known to the model. A
+    document whose terms all occur in every training document has weights 0."""
     w = doc_terms.join(idf, on="term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__norm"))
     return (w.join(norm, on=keys)
-            .select(*keys, "term", (F.col("w") / F.col("__norm")).alias("weight")))
+            .select(*keys, "term", F.coalesce(F.try_divide("w", "__norm"), F.lit(0.0)).alias("weight")))
 
 
 _WS = " \t\n\r\f\u000b"
@@ -158,19 +159,45 @@ def detect_language(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def lda_topics(docs: DataFrame, text: str = "text", k: int = 10, n_terms: int = 10,
-               vocab_size: int = 1 << 18, max_iter: int = 10, seed: int = 1) -> DataFrame:
+               max_iter: int = 10, seed: int = 1) -> DataFrame:
     """Topics of a corpus by LDA (Spark ML): ``(topic, rank, term, weight)``.
-    Term indices are mapped back through the fitted vocabulary (model data)."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+    Every term of the corpus has an index of its own, given by a table of
+    distinct terms (sorted, numbered per range partition plus the sizes of the
+    partitions before it); every document shapes the topics in every pass. Only
+    the ``k x n_terms`` best terms are joined back to their words."""
+    import uuid
 
-    tok = RegexTokenizer(inputCol=text, outputCol="__tok", pattern=TOKEN_REGEX, gaps=False, minTokenLength=2)
-    tokd = tok.transform(docs)
-    cv = CountVectorizer(inputCol="__tok", outputCol="__tf", vocabSize=vocab_size).fit(tokd)
-    model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="__tf", optimizer="online").fit(cv.transform(tokd))
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.window import Window
+
+    from ctxrec.session import scratch_path
+
+    spark = docs.sparkSession
+    base = scratch_path(spark, f"lda-{uuid.uuid4().hex}")
+    counts = (docs.select(F.monotonically_increasing_id().alias("__doc"), F.explode(tokens(F.col(text))).alias("term"))
+              .groupBy("__doc", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
+    counts.write.parquet(f"{base}/counts")
+    counts = spark.read.parquet(f"{base}/counts")
+    ranged = counts.select("term").distinct().repartitionByRange("term").withColumn("__p", F.spark_partition_id())
+    ranged.write.parquet(f"{base}/terms")
+    ranged = spark.read.parquet(f"{base}/terms")
+    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
+    ids = ranged.join(before, "__p").select(
+        "term", (F.row_number().over(Window.partitionBy("__p").orderBy("term")) - 1 + F.col("__before"))
+        .cast("int").alias("term_index"))
+    ids.write.parquet(f"{base}/ids")
+    ids = spark.read.parquet(f"{base}/ids")
+    size = ids.count()
+    if not size:
+        return spark.createDataFrame([], "topic int, rank int, term string, weight double")
+    vector = F.udf(lambda cells: Vectors.sparse(size, [(c["i"], c["tf"]) for c in cells]), VectorUDT())
+    rows = (counts.join(ids, "term").groupBy("__doc")
+            .agg(vector(F.sort_array(F.collect_list(F.struct(F.col("term_index").alias("i"), "tf")))).alias("__tf")))
+    model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="__tf", optimizer="online", subsamplingRate=1.0).fit(rows)
     topics = model.describeTopics(n_terms)
     z = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "tw"))
-    vocab = docs.sparkSession.createDataFrame(list(enumerate(cv.vocabulary)), "term_index int, term string")
     return (z.select("topic", (F.col("pos") + 1).alias("rank"), F.col("tw.termIndices").alias("term_index"),
                      F.col("tw.termWeights").alias("weight"))
-            .join(vocab, on="term_index").drop("term_index"))
+            .join(ids, on="term_index").drop("term_index"))

@@ -143,19 +143,32 @@ def resource_parent_edges(views: DataFrame) -> DataFrame:
     return views.where(F.col("parent").isNotNull()).select("url", "parent").distinct()
 
 
-def tab_tree(spark, tabs: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
-    """Root and depth of every tab in the tab tree (recursive CTE).
-    ``tabs``: ``(tab_id)``; ``edges``: ``(tab_id, parent_id)``."""
-    import uuid
-
-    suffix = uuid.uuid4().hex[:8]
-    tabs.select("tab_id").distinct().createOrReplaceTempView(f"tt_nodes_{suffix}")
-    edges.select("tab_id", "parent_id").createOrReplaceTempView(f"tt_edges_{suffix}")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(tab_id, root, depth) AS (
-          SELECT n.tab_id, n.tab_id, 0 FROM tt_nodes_{suffix} n
-          WHERE NOT EXISTS (SELECT 1 FROM tt_edges_{suffix} e WHERE e.tab_id = n.tab_id)
-          UNION ALL
-          SELECT e.tab_id, w.root, w.depth + 1 FROM tt_edges_{suffix} e JOIN walk w ON e.parent_id = w.tab_id
-          WHERE w.depth < {max_depth})
-        SELECT tab_id, root, depth FROM walk""")
+def tab_tree(spark, tabs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Root and depth of every tab in the tab tree. ``tabs``: ``(tab_id)``;
+    ``edges``: ``(tab_id, parent_id)``.
+
+    Pointer doubling: every tab points to an ancestor and knows its distance;
+    each round it takes over its ancestor's pointer, so a chain of n tabs takes
+    log2(n) rounds, whatever its depth. Tabs on a cycle, or below one, have no
+    root and are left out, as are tabs whose chain leaves ``tabs``."""
+    from ctxrec.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    nodes = tabs.select("tab_id").distinct()
+    up = edges.select("tab_id", "parent_id").distinct()
+    # root: the topmost known ancestor; done: it has no parent itself
+    state = (nodes.join(up, "tab_id", "left")
+             .select("tab_id", F.coalesce("parent_id", "tab_id").alias("root"),
+                     F.col("parent_id").isNotNull().cast("long").alias("depth"), F.col("parent_id").isNull().alias("done"))
+             .checkpoint())
+    n, reach = state.count(), 1
+    while reach < 2 * n and not state.where("not done").isEmpty():
+        above = state.select(F.col("tab_id").alias("root"), F.col("root").alias("r"), F.col("depth").alias("d"),
+                             F.col("done").alias("end"))
+        state = (state.join(above, "root", "left")
+                 .where(F.col("done") | F.col("r").isNotNull())
+                 .select("tab_id", F.when(F.col("done"), F.col("root")).otherwise(F.col("r")).alias("root"),
+                         (F.col("depth") + F.when(F.col("done"), 0).otherwise(F.col("d"))).alias("depth"),
+                         (F.col("done") | F.coalesce("end", F.lit(False))).alias("done")).distinct().checkpoint())
+        reach *= 2
+    return state.where("done").select("tab_id", "root", F.col("depth").cast("int").alias("depth"))

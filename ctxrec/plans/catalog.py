@@ -868,18 +868,18 @@ def q_sweep_pca(spark, sf):
 
 # --- 2.17 streaming -----------------------------------------------------------------------------
 
-def _time_slices(df, ts_col: str, path: str, n: int = 4) -> None:
-    """Write ``df`` as ``n`` consecutive time slices (one write each, in time
-    order), the input of a file stream that then sees them in order."""
-    bounds = df.approxQuantile(ts_col, [i / n for i in range(1, n)], 0.0)
-    edges = [None, *sorted(set(bounds)), None]
-    for lo, hi in zip(edges, edges[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col(ts_col) > lo)
-        if hi is not None:
-            cond = cond & (F.col(ts_col) <= hi)
-        df.where(cond).write.mode("append").parquet(path)
+def _time_slices(df, ts_col: str, path: str, n: int = 4) -> int:
+    """Write ``df`` as ``n`` time slices of equal width (one write each, in time
+    order), the input of a file stream. Returns the width: files of one slice
+    may be read in any order, so that much disorder is to be expected."""
+    first, last = df.agg(F.min(ts_col), F.max(ts_col)).first()
+    if first is None:
+        df.write.mode("append").parquet(path)
+        return 1
+    width = (last - first) // n + 1
+    for i in range(n):
+        df.where(F.col(ts_col).between(first + i * width, first + (i + 1) * width - 1)).write.mode("append").parquet(path)
+    return width
 
 
 @query("stream_ingest_events")
@@ -900,12 +900,13 @@ def q_stream_ingest_events(spark, sf):
 @query("stream_events_to_views")
 def q_stream_events_to_views(spark, sf):
     import uuid
-    from ctxrec.streaming.views import start_views
+    from ctxrec.streaming.views import end_marker, start_views
     run = scratch_path(spark, f"stream-views-{uuid.uuid4().hex}")
     e = _events(spark, sf)
-    _time_slices(e, "ts_ms", f"{run}/in")
+    delay = 2 * _time_slices(e, "ts_ms", f"{run}/in")
+    end_marker(e, delay).write.mode("append").parquet(f"{run}/in")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", "1").parquet(f"{run}/in")
-    start_views(stream, f"{run}/out", f"{run}/checkpoint").awaitTermination()
+    start_views(stream, f"{run}/out", f"{run}/checkpoint", delay_ms=delay).awaitTermination()
     v = spark.read.parquet(f"{run}/out")
     return v.withColumn("feedback", adapters.fixture_feedback_rule(F.col("username"), F.col("url"))).select(*VIEW_COLS)
 

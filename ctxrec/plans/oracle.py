@@ -648,7 +648,7 @@ nodes AS (SELECT DISTINCT tab_id FROM b_events),
 w(tab_id, root, depth) AS (
   SELECT n.tab_id, n.tab_id, 0 FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM tabs e WHERE e.tab_id = n.tab_id)
   UNION ALL
-  SELECT e.tab_id, w.root, w.depth + 1 FROM tabs e JOIN w ON e.parent_id = w.tab_id WHERE w.depth < 100)"""])
+  SELECT e.tab_id, w.root, w.depth + 1 FROM tabs e JOIN w ON e.parent_id = w.tab_id)"""])
     + " SELECT tab_id, root, depth FROM w")
 
 sql("purge_user", with_ctes(_EVENTS, _VIEWS, _TABS) + """

@@ -1,16 +1,21 @@
-"""Streaming event -> view conversion with per-tab state.
-
-Each tab keeps a small state between micro-batches: the open view's starter
-(id, url, user, location, time), its parent, and the url of the last
-``ready``. Events of a tab are applied in (ts_ms, event_id) order within a
-batch; a view is emitted when an ender closes an open view. With all input
-arriving in order this equals :func:`ctxrec.operators.views.events_to_views`.
-Optionally, a tab idle for longer than ``idle_timeout`` (event time, via the
-watermark) drops its state.
+"""Streaming event -> view conversion, ordered by event time.
+
+Micro-batches may bring a tab's events in any order. Each tab's state holds
+the events that the watermark has not passed yet, and a small carried row; once
+the watermark passes events, they are applied in (ts_ms, event_id) order with
+whole-column steps (the same "previous row" rules as the batch operator
+:func:`ctxrec.operators.views.events_to_views`). So the views equal the batch
+form's for every order of arrival within ``delay_ms``; events behind the
+watermark of the batch before theirs are late and dropped by Spark. A tab without events for ``idle_ms`` (event
+time) gives up its state.
+
+A bounded run ends with an :func:`end_marker` row, which moves the watermark
+past every real event.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,76 +29,108 @@ from ctxrec.operators.views import ENDERS, STARTERS
 
 OUT_SCHEMA = ("view_id long, url string, username string, duration long, lat double, lon double, "
               "ts_ms long, parent string, tab_id string, end_event_id long")
-STATE_SCHEMA = ("has_start boolean, s_id long, s_url string, s_user string, s_lat double, s_lon double, "
-                "s_ts long, parent string, has_prev boolean, prev_url string")
-
-_EMPTY_STATE = (False, None, None, None, None, None, None, None, False, None)
+STATE_SCHEMA = "waiting string, carried string"
+FIELDS = ["event_id", "type", "url", "ts_ms", "username", "lat", "lon"]
+DAY_MS = 86_400_000
+DEFAULT_DELAY_MS = 3_600_000
+DEFAULT_IDLE_MS = 30 * DAY_MS
+MARKER_TAB = "__end_of_input__"
+
+#: the row before a tab's first event
+_FRESH = {"row": dict.fromkeys(FIELDS), "ready_url": None, "parent": None}
+
+
+def apply_events(ordered: pd.DataFrame, carried: dict) -> tuple[pd.DataFrame, dict]:
+    """Views that the ordered events of one tab close, and the row to carry on.
+
+    The carried row stands in front of the events: its type and fields answer
+    for "the previous row", ``ready_url`` for "the url of the previous ready",
+    ``parent`` for the parent found since the last emitted view."""
+    before = pd.DataFrame([carried["row"]], columns=FIELDS).astype(object)
+    seq = pd.concat([before, ordered[FIELDS].astype(object)], ignore_index=True)
+    previous = seq.shift(1)
+    is_ready = seq["type"] == "ready"
+    is_ready.iloc[0] = False
+    ready_url = seq["url"].where(seq["url"].notna(), "").where(is_ready)
+    ready_url.iloc[0] = carried["ready_url"]
+    last_ready = ready_url.ffill()
+    earlier_ready = last_ready.shift(1)
+    emits = seq["type"].isin(ENDERS) & previous["type"].isin(STARTERS)
+    emits.iloc[0] = False
+    found = earlier_ready.where(is_ready & earlier_ready.notna() & (earlier_ready != ""))
+    found.iloc[0] = carried["parent"]
+    stretch = emits.astype(int).cumsum().shift(1, fill_value=0)
+    parent = found.groupby(stretch).ffill()
+    out = pd.DataFrame({
+        "view_id": previous["event_id"], "url": previous["url"], "username": previous["username"],
+        "duration": None, "lat": previous["lat"], "lon": previous["lon"], "ts_ms": previous["ts_ms"],
+        "parent": parent, "tab_id": None, "end_event_id": seq["event_id"]})[emits]
+    if len(out):
+        out["duration"] = (seq.loc[emits, "ts_ms"].astype("int64") - out["ts_ms"].astype("int64")) // 1000
+    clean = lambda v: None if pd.isna(v) else v
+    row = {c: clean(seq[c].iloc[-1]) for c in FIELDS}
+    carry = {"row": row, "ready_url": clean(last_ready.iloc[-1]),
+             "parent": None if emits.iloc[-1] else clean(parent.iloc[-1])}
+    return out, carry
+
+
+def _converter(idle_ms: int):
+    def convert(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, carried = state.get if state.exists else ("[]", json.dumps(_FRESH))
+        carried = json.loads(carried)
+        parts = [pd.DataFrame(json.loads(waiting), columns=FIELDS)]
+        if not state.hasTimedOut:
+            parts += [b[FIELDS] for b in batches]
+        events = pd.concat([p for p in parts if len(p)], ignore_index=True) if any(map(len, parts)) else parts[0]
+        passed = state.getCurrentWatermarkMs()
+        due = events["ts_ms"].astype("int64") < passed
+        rest = events[~due]
+        if due.any():
+            views, carried = apply_events(events[due].sort_values(["ts_ms", "event_id"]), carried)
+            if len(views):
+                yield views.assign(tab_id=key[0])
+        if not len(rest):
+            last = carried["row"]["ts_ms"]
+            if last is None or last + idle_ms < passed:
+                if state.exists:
+                    state.remove()
+                return
+            wake = last + idle_ms + 1
+        else:
+            wake = int(rest["ts_ms"].min()) + 1
+        state.update((rest.to_json(orient="values", double_precision=15), json.dumps(carried, default=_plain)))
+        state.setTimeoutTimestamp(max(wake, passed + 1))
+    return convert
 
 
-def _make_convert(idle_timeout_ms: int | None):
-    def convert(key, pdfs, state):
-        return _convert(key, pdfs, state, idle_timeout_ms)
-    return convert
+def _plain(v):
+    return v.item()
 
 
-def _convert(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
-             idle_timeout_ms: int | None) -> Iterator[pd.DataFrame]:
-    tab_id = key[0]
-    if state.hasTimedOut:
-        state.remove()
-        return
-    st = list(state.get) if state.exists else list(_EMPTY_STATE)
-    has_start, s_id, s_url, s_user, s_lat, s_lon, s_ts, parent, has_prev, prev_url = st
-    events = pd.concat(list(pdfs)).sort_values(["ts_ms", "event_id"], kind="stable")
-    out = []
-    max_ts = None
-    for e in events.itertuples(index=False):
-        max_ts = e.ts_ms if max_ts is None else max(max_ts, e.ts_ms)
-        closes = False
-        if e.type in STARTERS:
-            has_start, s_id, s_url, s_user, s_lat, s_lon, s_ts = (
-                True, e.event_id, e.url, e.username, e.lat, e.lon, e.ts_ms)
-        elif has_start and e.type in ENDERS:
-            closes = True
-        if e.type == "ready":
-            if has_prev and prev_url:
-                parent = prev_url
-            has_prev, prev_url = True, e.url
-        if closes:
-            out.append((s_id, s_url, s_user, (e.ts_ms - s_ts) // 1000, s_lat, s_lon, s_ts, parent,
-                        tab_id, e.event_id))
-            has_start, s_id, s_url, s_user, s_lat, s_lon, s_ts, parent = (
-                False, None, None, None, None, None, None, None)
-    state.update((has_start, s_id, s_url, s_user, s_lat, s_lon, s_ts, parent, has_prev, prev_url))
-    if idle_timeout_ms and max_ts is not None:
-        state.setTimeoutTimestamp(max(max_ts + idle_timeout_ms, state.getCurrentWatermarkMs() + 1))
-    if out:
-        cols = ["view_id", "url", "username", "duration", "lat", "lon", "ts_ms", "parent", "tab_id", "end_event_id"]
-        yield pd.DataFrame(out, columns=cols)
-
-
-def stream_views(events: DataFrame, idle_timeout_ms: int | None = None) -> DataFrame:
+def stream_views(events: DataFrame, delay_ms: int = DEFAULT_DELAY_MS, idle_ms: int = DEFAULT_IDLE_MS) -> DataFrame:
     """Streaming events (engine schema) -> streaming views."""
     from ctxrec.session import ship_package
 
     ship_package(events.sparkSession)
-    ev = events.where(F.col("type").isin(*STARTERS, *ENDERS))
-    if idle_timeout_ms:
-        ev = ev.withColumn("__et", F.timestamp_millis("ts_ms")).withWatermark("__et", "1 hour")
-        timeout = GroupStateTimeout.EventTimeTimeout
-    else:
-        timeout = GroupStateTimeout.NoTimeout
-    ev = ev.select("event_id", "type", "url", "ts_ms", "tab_id", "username", "lat", "lon",
-                   *(["__et"] if idle_timeout_ms else []))
+    ev = (events.where(F.col("type").isin(*STARTERS, *ENDERS)).withColumn("__et", F.timestamp_millis("ts_ms"))
+          .withWatermark("__et", f"{delay_ms} milliseconds").select("tab_id", *FIELDS, "__et"))
     views = ev.groupBy("tab_id").applyInPandasWithState(
-        _make_convert(idle_timeout_ms), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+        _converter(idle_ms), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     return (views.withColumn("daytime", hour_of_ms("ts_ms")).withColumn("weekday", weekday_of_ms("ts_ms"))
             .withColumn("feedback", F.lit("none")))
 
 
-def start_views(events: DataFrame, out_path: str, checkpoint: str,
-                available_now: bool = True) -> StreamingQuery:
-    w = (stream_views(events).writeStream.format("parquet").outputMode("append")
+def end_marker(events: DataFrame, delay_ms: int = DEFAULT_DELAY_MS) -> DataFrame:
+    """One row of the events' schema, for a tab of its own, late enough to move
+    the watermark past all of ``events``; it opens a view that nothing closes."""
+    last = events.agg((F.coalesce(F.max("ts_ms"), F.lit(0)) + F.lit(delay_ms) + DAY_MS).alias("ts_ms"))
+    known = {"type": F.lit(STARTERS[1]), "ts_ms": F.col("ts_ms"), "tab_id": F.lit(MARKER_TAB), "event_id": F.lit(-1)}
+    return last.select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields))
+
+
+def start_views(events: DataFrame, out_path: str, checkpoint: str, available_now: bool = True,
+                delay_ms: int = DEFAULT_DELAY_MS, idle_ms: int = DEFAULT_IDLE_MS) -> StreamingQuery:
+    w = (stream_views(events, delay_ms, idle_ms).writeStream.format("parquet").outputMode("append")
          .option("path", out_path).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

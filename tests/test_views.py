@@ -1,12 +1,14 @@
-"""Event -> view conversion: hand-written tab sequences, and equality with a
-literal per-tab state machine on generated events."""
+"""Event -> view conversion: hand-written tab sequences, and equality with the
+SQL specification on generated events."""
 
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ctxrec.operators.views import ENDERS, STARTERS, events_to_views
+from ctxrec.operators.views import events_to_views
+from ctxrec.plans.oracle import ORACLE
 from ctxrec.sources.adapters import driver_events
 
 SCHEMA = ("event_id bigint, type string, title string, url string, ts_ms bigint, tab_id string, "
@@ -58,37 +60,16 @@ def test_duration_and_attributes(spark):
     assert v.duration == 2 and v.view_id == 0 and v.daytime == 0 and v.weekday == 3  # 1970-01-01 was a Thursday
 
 
-def _state_machine(rows):
-    """Literal per-tab loop over events sorted by (ts_ms, event_id)."""
-    out = []
-    by_tab = {}
-    for r in rows:
-        by_tab.setdefault(r.tab_id, []).append(r)
-    for evs in by_tab.values():
-        evs.sort(key=lambda r: (r.ts_ms, r.event_id))
-        started, event, parent, finished, previous_url = None, None, None, None, None
-        for e in evs:
-            if e.type in STARTERS:
-                started, event = e.ts_ms, e
-            elif started is not None and e.type in ENDERS:
-                finished = e.ts_ms
-            if e.type == "ready":
-                if previous_url:
-                    parent = previous_url
-                previous_url = e.url
-            if finished is not None:
-                out.append((event.event_id, event.url, (finished - started) // 1000, parent))
-                started, event, parent, finished = None, None, None, None
-    return out
-
-
 @pytest.mark.parametrize("bucket_ms", [3_600_000, 60_000])
-def test_equals_state_machine(spark, bucket_ms):
-    ev = driver_events(spark, "/root/testdata/sf0.01")
-    expected = _state_machine(ev.collect())
-    got = events_to_views(ev, bucket_ms=bucket_ms).select("view_id", "url", "duration", "parent").collect()
-    assert Counter(tuple(r) for r in got) == Counter(expected)
-    assert len(expected) == 1860
+def test_equals_sql(spark, bucket_ms):
+    """The generated events against the SQL specification, at two bucket widths."""
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    want = con.sql(ORACLE["events_to_views"]).df()[["view_id", "url", "duration", "parent"]]
+    got = events_to_views(driver_events(spark, sf), bucket_ms=bucket_ms).select("view_id", "url", "duration", "parent").toPandas()
+    rows = lambda df: Counter(tuple(None if v != v else v for v in r) for r in df.itertuples(index=False))
+    assert rows(got) == rows(want) and len(want) == 1860
 
 
 def test_only_unprocessed(spark):
