@@ -64,7 +64,7 @@ def _r6(c):
 
 @query("events_to_views")
 def q_events_to_views(spark, sf):
-    return _views(spark, sf).select(*VIEW_COLS)
+    return adapters.driver_views(spark, sf).select(*VIEW_COLS)
 
 
 @query("rank_heuristic")
@@ -188,12 +188,12 @@ def q_load_training_corpus(spark, sf):
 
 @query("distinct_usernames")
 def q_distinct_usernames(spark, sf):
-    return _views(spark, sf).select("username").distinct()
+    return adapters.driver_views(spark, sf).select("username").distinct()
 
 
 @query("user_view_urls")
 def q_user_view_urls(spark, sf):
-    return _views(spark, sf).select("username", "url").distinct()
+    return adapters.driver_views(spark, sf).select("username", "url").distinct()
 
 
 @query("eligible_resources")
@@ -218,7 +218,7 @@ def q_unranked_view_urls(spark, sf):
 
 @query("particular_user")
 def q_particular_user(spark, sf):
-    return _views(spark, sf).where(F.col("username") == "u1").select("username", "url").distinct()
+    return adapters.driver_views(spark, sf, F.col("username") == "u1").select("username", "url").distinct()
 
 
 @query("url_blacklist")
@@ -961,7 +961,8 @@ def q_tab_tree(spark, sf):
 @query("purge_user")
 def q_purge_user(spark, sf):
     left = store.purge_user({"events": _events(spark, sf), "tabs": adapters.driver_tabs(spark, sf),
-                             "users": adapters.driver_users(spark, sf), "views": _views(spark, sf)}, "u1")
+                             "users": adapters.driver_users(spark, sf),
+                             "views": adapters.driver_views(spark, sf, F.col("username") != "u1")}, "u1")
     out = None
     for name, df in left.items():
         one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("collection"), "n_rows")
@@ -971,7 +972,7 @@ def q_purge_user(spark, sf):
 
 @query("export_user")
 def q_export_user(spark, sf):
-    return store.export_user(_views(spark, sf), "u1").select(*VIEW_COLS)
+    return store.export_user(adapters.driver_views(spark, sf, F.col("username") == "u1"), "u1").select(*VIEW_COLS)
 
 
 @query("detect_language")

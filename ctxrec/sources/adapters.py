@@ -119,13 +119,17 @@ def fixture_feedback(views: DataFrame) -> DataFrame:
             .where(F.col("feedback") != "none"))
 
 
-def driver_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+def driver_views(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
     """Views converted from the driver events, with the fixture feedback.
 
+    ``only`` filters the events first. A tab belongs to one user, so a filter on
+    ``username`` gives exactly that user's views and reaches the scan.
+
     The fixture rule is a function of (username, url), so it is applied as a
     projection rather than through ``record_feedback``'s join.
     """
     from ctxrec.operators.views import events_to_views
 
-    views = events_to_views(driver_events(spark, sf_dir))
+    events = driver_events(spark, sf_dir)
+    views = events_to_views(events if only is None else events.where(only))
     return views.withColumn("feedback", fixture_feedback_rule(F.col("username"), F.col("url")))
