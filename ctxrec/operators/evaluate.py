@@ -14,13 +14,6 @@ def rank_histogram(ranks: DataFrame, score: str = "score") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def confusion_matrix(pairs: DataFrame, estimated: str = "estimated", actual: str = "actual") -> DataFrame:
-    """Two-way counts of (rounded actual, rounded estimate)."""
-    return (pairs.groupBy(F.round(F.col(actual)).cast("int").alias("actual_bucket"),
-                          F.round(F.col(estimated)).cast("int").alias("estimated_bucket"))
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
 def holdout_split(ranked: DataFrame, key: str = "username", order: str = "url") -> DataFrame:
     """Positional halves of each user's ranked urls in url order: the first
     floor(n/2) are the training half (0), the rest the test half (1)."""

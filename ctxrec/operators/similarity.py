@@ -98,18 +98,3 @@ def nearest(points: DataFrame, k: int, exclude_self: bool = True, exclude_same_o
 
 def similarity(distance_col: str = "distance"):
     return 1.0 / (1.0 + F.col(distance_col))
-
-
-def pearson_similarity(a, b):
-    """Pearson correlation of two equal-length arrays (per row)."""
-    n = F.size(a)
-    ma = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    mb = F.aggregate(b, F.lit(0.0), lambda s, x: s + x) / n
-    cov = F.aggregate(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)), F.lit(0.0), lambda s, x: s + x)
-    va = F.aggregate(F.transform(a, lambda x: (x - ma) * (x - ma)), F.lit(0.0), lambda s, x: s + x)
-    vb = F.aggregate(F.transform(b, lambda x: (x - mb) * (x - mb)), F.lit(0.0), lambda s, x: s + x)
-    return cov / F.sqrt(va * vb)
-
-
-def manhattan_distance(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxrec.functions.urls import url_blacklisted
 
 
 def _empty_strings():
@@ -100,10 +99,6 @@ def clean_users(users: DataFrame, views: DataFrame) -> DataFrame:
     return users.join(views.select("username"), on="username", how="left_semi")
 
 
-def mark_blacklisted(resources: DataFrame, patterns=None) -> DataFrame:
-    return resources.withColumn("blacklisted", F.col("blacklisted") | url_blacklisted(F.col("url"), patterns))
-
-
 def purge_user(tables: dict[str, DataFrame], username: str) -> dict[str, DataFrame]:
     """Every per-user table without the user's rows (account deletion)."""
     return {name: df.where(F.col("username") != username) for name, df in tables.items()}

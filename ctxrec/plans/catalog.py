@@ -8,7 +8,6 @@ tables. Column names and types equal those of ``ctxrec.plans.oracle``.
 from __future__ import annotations
 
 import functools
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -640,22 +639,28 @@ def q_cf_users(spark, sf):
 # --- 2.11 reduced text features (Spark ML) ------------------------------------------------
 
 N_COMPONENTS = 100
-TEXT_MODEL_VERSION = 2  # bump when the saved model layout changes
+TEXT_MODEL_VERSION = 3  # bump when the saved model layout changes
 
 
 def _text_model(spark, sf, n=N_COMPONENTS):
-    """Load-or-fit: the fitted model is kept under the shared folder, named
-    by the object, its training table and its parameters (the reference's
-    lazily unpickled models)."""
+    """Load-or-fit: the fitted model is kept under the shared folder, named by
+    the object, all its parameters and a fingerprint of its training rows, so
+    other rows or parameters never get an old model."""
     import hashlib
-    from ctxrec.operators.reduce import TextModel, fit_text_model
+    import inspect
+    from ctxrec.operators.reduce import TextModel, fit_text_model, randomized_pca
+    from ctxrec.operators.text import TOKEN_REGEX
     from ctxrec.sources.store import model_path, table_exists
 
-    tag = hashlib.sha1(os.path.abspath(sf).encode()).hexdigest()[:12]
+    corpus = _documents(spark, sf).select("doc_id", "text")
+    rows = corpus.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("doc_id", "text")),
+                      F.bit_xor(F.xxhash64("text", "doc_id"))).first()
+    settings = {k: v.default for k, v in inspect.signature(randomized_pca).parameters.items() if v.default is not v.empty}
+    tag = hashlib.sha1(repr((tuple(rows), sorted(settings.items(), key=str), TOKEN_REGEX)).encode()).hexdigest()[:16]
     path = model_path(scratch_path(spark, ""), "text", f"v{TEXT_MODEL_VERSION}", tag, n)
     if table_exists(spark, f"{path}/meta"):
         return TextModel.load(spark, path)
-    model = fit_text_model(_documents(spark, sf).select("doc_id", "text"), "doc_id", "text", n)
+    model = fit_text_model(corpus, "doc_id", "text", n)
     model.save(path)
     return TextModel.load(spark, path)
 

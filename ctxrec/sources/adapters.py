@@ -1,8 +1,7 @@
 """Driver tables -> the engine's collections (events, users, tabs, resources).
 
-The engine's own schemas are in ``ctxrec.sources.schemas``; these adapters
-derive them from the generated test tables by the rules fixed in FIXTURES.md,
-as plain projections so that scans stay pruned and pushed down.
+They are derived from the generated test tables by the rules fixed in
+FIXTURES.md, as plain projections so that scans stay pruned and pushed down.
 """
 
 from __future__ import annotations

@@ -46,15 +46,6 @@ def model_path(base: str, name: str, *params) -> str:
     return os.path.join(base, "models", name + suffix)
 
 
-def load_or_fit(spark: SparkSession, path: str, fit, loader):
-    """Lazily load a fitted Spark ML model, or fit it and save it."""
-    if _exists(spark, path):
-        return loader.load(path)
-    model = fit()
-    model.write().overwrite().save(path)
-    return model
-
-
 def table_exists(spark: SparkSession, path: str) -> bool:
     return _exists(spark, path)
 

@@ -22,11 +22,3 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Temp views with the table names, for ``spark.sql`` users."""
-    for name in TABLES:
-        path = table_path(sf_dir, name)
-        if os.path.exists(path):
-            spark.read.parquet(path).createOrReplaceTempView(name)
