@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -62,7 +63,7 @@ def test_guess_bits():
         best = S._brute(v[0]) + (1.0 if v[0].isupper() else 0.0) + slow(v[1:])
         for j in range(3, len(v) + 1):
             if v[:j].lower() in S._RANK:
-                cost = 1.0 + __import__("math").log2(S._RANK[v[:j].lower()] + 1) + (v[:j] != v[:j].lower())
+                cost = 1.0 + math.log2(S._RANK[v[:j].lower()] + 1) + (v[:j] != v[:j].lower())
                 best = min(best, cost + slow(v[j:]))
         return best
 
