@@ -171,10 +171,10 @@ def lda_topics(docs: DataFrame, text: str = "text", k: int = 10, n_terms: int =
     from pyspark.ml.linalg import Vectors, VectorUDT
     from pyspark.sql.window import Window
 
-    from ctxrec.session import scratch_path
+    from ctxrec.session import remove_at_exit, scratch_path
 
     spark = docs.sparkSession
-    base = scratch_path(spark, f"lda-{uuid.uuid4().hex}")
+    base = remove_at_exit(spark, scratch_path(spark, f"lda-{uuid.uuid4().hex}"))
     counts = (docs.select(F.monotonically_increasing_id().alias("__doc"), F.explode(tokens(F.col(text))).alias("term"))
               .groupBy("__doc", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
     counts.write.parquet(f"{base}/counts")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ctxrec.functions.urls import DEFAULT_BLACKLIST, url_blacklisted
 from ctxrec.operators import cf, cluster, features, pages as pages_op, ranking, store, text, views as views_op
-from ctxrec.session import scratch_path, ship_package
+from ctxrec.session import remove_at_exit, scratch_path, ship_package
 from ctxrec.sources import adapters
 from ctxrec.sources.tables import read_table
 
@@ -172,7 +172,7 @@ def q_bulk_load(spark, sf):
     import uuid
 
     views = _views(spark, sf).select(*VIEW_COLS)
-    path = scratch_path(spark, f"export-views-{uuid.uuid4().hex}")
+    path = remove_at_exit(spark, scratch_path(spark, f"export-views-{uuid.uuid4().hex}"))
     export_table(views, path)
     return load_export(spark, path, views.schema)
 
@@ -838,7 +838,7 @@ def q_persist_models(spark, sf):
 def q_persist_features(spark, sf):
     import uuid
     from ctxrec.sources.store import cached_table
-    path = scratch_path(spark, f"features/context-{uuid.uuid4().hex}")
+    path = remove_at_exit(spark, scratch_path(spark, f"features/context-{uuid.uuid4().hex}"))
     cached_table(spark, path, lambda: features.context_features(_views(spark, sf)))
     return cached_table(spark, path, lambda: None)
 
@@ -891,7 +891,7 @@ def _time_slices(df, ts_col: str, path: str, n: int = 4) -> int:
 def q_stream_ingest_events(spark, sf):
     import uuid
     from ctxrec.streaming.ingest import read_raw_events, start_ingest
-    run = scratch_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
+    run = remove_at_exit(spark, scratch_path(spark, f"stream-ingest-{uuid.uuid4().hex}"))
     e = _events(spark, sf)
     raw = e.select("event_id", "type", "title", "url", F.col("ts_ms").cast("string").alias("timestamp"),
                    "tab_id", "username", F.col("lat").cast("string").alias("lat"),
@@ -906,7 +906,7 @@ def q_stream_ingest_events(spark, sf):
 def q_stream_events_to_views(spark, sf):
     import uuid
     from ctxrec.streaming.views import end_marker, start_views
-    run = scratch_path(spark, f"stream-views-{uuid.uuid4().hex}")
+    run = remove_at_exit(spark, scratch_path(spark, f"stream-views-{uuid.uuid4().hex}"))
     e = _events(spark, sf)
     delay = 2 * _time_slices(e, "ts_ms", f"{run}/in")
     end_marker(e, delay).write.mode("append").parquet(f"{run}/in")

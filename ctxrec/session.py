@@ -7,9 +7,11 @@ local bench need.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 # Settings every job of this package relies on. They are plan-level switches,
@@ -69,6 +71,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
+_TEMPORARY: list[tuple[object, object]] = []
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> str:
+    """Delete ``path`` when the application's Python ends: for intermediate
+    tables that a lazily read result may need until then."""
+    if not _TEMPORARY:
+        atexit.register(_remove_temporary)
+    jvm = spark.sparkContext._jvm
+    _TEMPORARY.append((jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()))
+    return path
+
+
+def _remove_temporary() -> None:
+    for path, conf in _TEMPORARY:
+        try:
+            path.getFileSystem(conf).delete(path, True)
+        except Py4JError:  # the JVM ended first
+            return
+
+
 _SHIPPED: set[str] = set()
 
 
