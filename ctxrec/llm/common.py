@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from ctxrec.session import checkpoint_dir, scratch_path, ship_package
+from ctxrec.session import checkpoint_dir, remove_at_exit, scratch_path, ship_package
 from ctxrec.sources.tables import read_table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -49,9 +49,10 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here,
-    and a lost executor costs a reread, not a recomputation."""
+    and a lost executor costs a reread, not a recomputation. The table is
+    removed when the application's Python ends."""
     spark = df.sparkSession
-    path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
+    path = remove_at_exit(spark, scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}"))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
