@@ -255,7 +255,7 @@ def linked_components(keys: DataFrame, nodes: DataFrame, texts: Callable[[DataFr
     pairs = shared.where("s != hub").select(F.col("hub").alias("a"), F.col("s").alias("b")).distinct()
     checked = stored(_verified(stored(_sketched(pairs, nodes, num, den), f"{name}-near"), texts, k, lower, num, den), f"{name}-star")
     label = components(checked.where("linked")).select(F.col("node").alias("s"), F.col("label").alias("comp")).checkpoint()
-    most, keys_left = 4, shared
+    most, keys_left = 1, shared
     while True:
         rows = keys_left.join(label, "s", "left").select("key", "s", F.coalesce("comp", "s").alias("comp"))
         rows = (rows.distinct().withColumn("low", F.min("comp").over(w)).withColumn("top", F.max("comp").over(w))
