@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, ngram_join, pii, quality, secrets, sentencepiece, substring_dedup, toxicity, url_filter  # noqa: F401
+from . import (decontaminate, hard_negatives, lexical_search, lm_score, ngram_join, pii, quality, secrets,  # noqa: F401
+               sentencepiece, substring_dedup, token_count, toxicity, url_filter)
 from .common import ORACLE, QUERIES  # noqa: F401
