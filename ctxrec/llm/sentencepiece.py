@@ -8,15 +8,16 @@ whole thousandths of a nat, so path sums are exact and equal on every machine;
 of equal paths the one whose last piece is longest wins at every position.
 
 No piece holds a marker behind another character, so texts are cut in front of
-markers without changing the result; each distinct stretch is segmented once
-per batch (vectorised over all stretches) and kept in a bounded cache.
+markers without changing the result. New stretches of about a million
+characters are segmented together; their ids go into one flat array, and a text
+is a gather from it. What a worker keeps is bounded in bytes.
 
 A Unigram file's own log scores are used; a merge file holds merge ranks, which
 count as ranks of a Zipf law: log score = -log(2 + rank).
 
 Null texts have no ids (an empty list) and a null round trip; empty texts have
-none and round-trip. Texts of any length are encoded whole. Repeated rows each
-get their row; an empty table gives an empty result; other columns are ignored.
+none and round-trip. Texts of any length are encoded whole, a piece between two
+stretches at a time. Repeated rows each get their row; an empty table gives an empty result; other columns are ignored.
 A text that itself holds U+2581 decodes with a space there (``round_trip``
 false), as the marker stands for a space.
 """
@@ -25,7 +26,9 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,15 @@ from .common import documents, per_text, query
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: the stretch of a tokenizer whose pieces hold markers inside
+WHOLE = r"(?s).+"
 #: added to the largest cost for a code point without a piece
 UNKNOWN_PENALTY = 10
-CACHE = 300_000
+#: what is known of stretches takes about this many bytes a worker
+KNOWN_BYTES = 128 << 20
+_ENTRY_BYTES = 180
+#: characters segmented together
+PIECE = 1 << 20
 _FAR = np.iinfo(np.int64).max // 4
 
 
@@ -115,8 +124,12 @@ class Pieces:
     longest: int
     cut: str               # pattern of the stretches
 
-    def segment(self, stretches: list[str]) -> list[list[int]]:
-        """Ids of each stretch by Viterbi, all stretches at once."""
+    @functools.cached_property
+    def raw_size(self) -> np.ndarray:
+        return np.array([len(r) for r in self.raw], dtype=np.int64)
+
+    def segment(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each stretch, all ids) by Viterbi, all stretches (none empty) at once."""
         raw = [s.encode() for s in stretches]
         size = np.array([len(r) for r in raw], dtype=np.int64)
         b = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
@@ -167,42 +180,119 @@ class Pieces:
             m = m[better]
             best[s_to[m]] = total[better]
             came[s_to[m]] = m
-        out = []
-        for i in range(len(raw)):
-            here, floor, ids = int(begin[i] + size[i] + i), int(begin[i] + i), []
-            while here > floor:
-                m = came[here]
-                if m_key[m] >= 0:
-                    ids.append(int(self.ids[m_key[m]]))
-                else:
-                    ids += [int(self.byte_ids[c]) for c in b[m_at[m]: m_end[m]][::-1]]
-                here = int(s_from[m])
-            out.append(ids[::-1])
-        return out
-
-    def encode(self, texts: list[str | None], cache: dict[str, list[int]]) -> list[np.ndarray]:
-        """Ids of each text."""
+        # backward: one match of every stretch a round
+        live = np.arange(len(raw))
+        here, floor = begin + size + live, begin + live
+        of, match = [], []
+        while len(live):
+            m = came[here]
+            of.append(live)
+            match.append(m)
+            back = s_from[m]
+            on = back > floor
+            live, here, floor = live[on], back[on], floor[on]
+        rounds = np.repeat(np.arange(len(of)), [len(x) for x in of])
+        of, match = np.concatenate(of), np.concatenate(match)
+        order = np.lexsort((-rounds, of))
+        of, match = of[order], match[order]
+        spelled = m_key[match] < 0
+        width = np.where(spelled, m_end[match] - m_at[match], 1)
+        first = np.cumsum(width) - width
+        ids = np.empty(int(width.sum()), dtype=np.int32)
+        ids[first[~spelled]] = self.ids[m_key[match[~spelled]]]
+        at, step = np.repeat(m_at[match[spelled]], width[spelled]), width[spelled]
+        inner = np.arange(len(at)) - np.repeat(np.cumsum(step) - step, step)
+        ids[np.repeat(first[spelled], step) + inner] = self.byte_ids[b[at + inner]]
+        return np.bincount(of, weights=width, minlength=len(raw)).astype(np.int64), ids
+
+    def learn(self, stretches: set[str], known: "Known") -> None:
+        """Segment the stretches not known yet. What is known is given up first if it has grown too large."""
+        if known.bytes > KNOWN_BYTES:
+            known.clear()
+        new = list(stretches.difference(known.index))
+        if not new:
+            return
+        size, ids = self.segment(new)
+        # does each stretch decode to itself? One buffer against the other
+        back = np.frombuffer(b"".join(map(self.raw.__getitem__, ids.tolist())), dtype=np.uint8)
+        want = [s.replace(MARK, " ").encode() for s in new]
+        width = np.array([len(w) for w in want])
+        got = np.add.reduceat(self.raw_size[ids], np.cumsum(size) - size)
+        if (got == width).all():
+            differs = back != np.frombuffer(b"".join(want), dtype=np.uint8)
+            same = ~np.logical_or.reduceat(differs, np.cumsum(width) - width)
+        else:
+            same = np.zeros(len(new), dtype=bool)  # these texts are decoded one by one
+        known.add(new, size, ids, same)
+
+    def pieces_of(self, marked: str) -> Iterator[str]:
+        """The text in pieces of about PIECE characters, cut between stretches."""
+        lo = 0
+        while lo < len(marked):
+            m = re.compile(f"(?<=[^{MARK}]){MARK}").search(marked, lo + PIECE) if self.cut != WHOLE else None
+            hi = m.start() if m else len(marked)
+            yield marked[lo:hi]
+            lo = hi
+
+    def encode_flat(self, texts: list[str | None], known: "Known") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids, whether all stretches of the text decode to themselves)."""
         find = re.compile(self.cut).findall
-        parts = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(cache) > CACHE:
-            cache.clear()
-        new = list({s for p in parts for s in p if s not in cache})
-        fresh = dict(zip(new, self.segment(new))) if new else {}
-        long = {s: fresh.pop(s) for s in new if len(s) > 64}  # not kept
-        cache.update(fresh)
-        out = []
-        for p in parts:
-            ids: list[int] = []
-            for s in p:
-                ids += cache[s] if len(s) <= 64 else long[s]
-            out.append(np.array(ids, dtype=np.int32))
-        return out
+        size, odd = (np.zeros(len(texts), dtype=np.int64) for _ in range(2))
+        flat: list[np.ndarray] = []
+        held: list[tuple[int, list[str]]] = []
+        chars = 0
+
+        def settle() -> None:
+            self.learn(set().union(*(p for _, p in held)), known)
+            count = [len(p) for _, p in held]
+            at = np.fromiter(map(known.index.__getitem__, chain.from_iterable(p for _, p in held)), dtype=np.int64, count=sum(count))
+            owner = np.repeat(np.array([i for i, _ in held], dtype=np.int64), count)
+            width = known.size[at]
+            flat.append(known.ids[np.repeat(known.begin[at] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))])
+            np.add.at(size, owner, width)
+            np.add.at(odd, owner, ~known.same[at])
+            held.clear()
+
+        for i, t in enumerate(texts):
+            for piece in self.pieces_of(MARK + t.replace(" ", MARK)) if t else ():
+                held.append((i, find(piece)))
+                chars += len(piece)
+                if chars >= PIECE:
+                    settle()
+                    chars = 0
+        if held:
+            settle()
+        return size, np.concatenate([np.zeros(0, dtype=np.int32), *flat]), odd == 0
+
+    def encode(self, texts: list[str | None], cache: dict[str, "Known"]) -> list[np.ndarray]:
+        """Ids of each text; ``cache`` keeps what is known between calls."""
+        size, flat, _ = self.encode_flat(texts, cache.setdefault("known", Known()))
+        return np.split(flat, np.cumsum(size)[:-1]) if len(texts) else []
 
     def decode(self, ids) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+class Known:
+    """Stretches met so far: their ids lie one after the other in a flat array."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.size, self.begin = (np.zeros(0, dtype=np.int64) for _ in range(2))
+        self.ids, self.same = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)
+        self.bytes = 0
+
+    def add(self, stretches: list[str], size: np.ndarray, ids: np.ndarray, same: np.ndarray) -> None:
+        self.index.update(zip(stretches, range(len(self.index), len(self.index) + len(stretches))))
+        self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
+        self.size, self.ids, self.same = (np.concatenate(x) for x in ((self.size, size), (self.ids, ids), (self.same, same)))
+        self.bytes += sum(map(len, stretches)) * 2 + len(stretches) * _ENTRY_BYTES + ids.nbytes
+
+
 @functools.lru_cache(maxsize=4)
 def load_pieces(path: str = MODEL) -> Pieces:
     """Read a SentencePiece file on the driver."""
@@ -228,7 +318,7 @@ def load_pieces(path: str = MODEL) -> Pieces:
             raw.append(b"" if sp.is_control(i) else name[i].replace(MARK, " ").encode())
     inner = any(MARK in k.lstrip(MARK) for k in (name[i] for i in plain))
     if inner:
-        cut = r"(?s).+"
+        cut = WHOLE
     elif any("\n" in name[i] for i in plain):
         cut = rf"{MARK}*[^{MARK}]+|{MARK}+"
     else:
@@ -241,16 +331,15 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
            extra: tuple[str, ...] = ()) -> DataFrame:
     """id, ``extra``, n_tokens, n_byte_tokens, round_trip and ids of every text."""
     pieces = docs.sparkSession.sparkContext.broadcast(pieces)  # about 3 MB, a property of the tokenizer
-    cache: dict[str, list[int]] = {}
+    known = Known()
 
     def run(texts):
         p = pieces.value
-        ids = p.encode(texts, cache)
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-        spelled = np.concatenate(([0], np.cumsum(p.is_byte[flat])))
+        size, flat, fine = p.encode_flat(texts, known)
         ends = np.cumsum(size)
-        same = [None if t is None else p.decode(x.tolist()) == t for t, x in zip(texts, ids)]
+        spelled = np.concatenate(([0], np.cumsum(p.is_byte[flat])))
+        same = [None if t is None else MARK not in t if ok else p.decode(flat[e - n: e].tolist()) == t
+                for t, n, e, ok in zip(texts, size, ends, fine)]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat))
         return [size, spelled[ends] - spelled[ends - size], same, lists]
 
