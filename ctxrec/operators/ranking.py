@@ -1,5 +1,5 @@
-"""Rank visited urls 0..5: explicit feedback, a learned classifier, or a
-heuristic on view counts and durations.
+"""Rank visited urls 0..5: explicit feedback, a learned classifier per user, or
+a heuristic on view counts and durations.
 
 All users are ranked at once; per-user averages are a grouped aggregate
 joined back on ``username`` (one row per user, so AQE may broadcast it and
@@ -122,9 +122,10 @@ LEARN_FEATURES = ["lat", "lon", "duration", "daytime", "day_part", "weekday"]
 
 def learned_dataset(views: DataFrame, resources: DataFrame) -> DataFrame:
     """Users with both rated and unrated eligible urls: one row per such
-    (user, url) with the first view's features centred on the user's mean,
-    the explicit ``label`` (NULL when unrated)."""
+    (user, url) with the first view's features, standardised within the user,
+    and the explicit ``label`` (NULL when unrated)."""
     from ctxrec.operators.features import views_features
+    from ctxrec.operators.svm import standardised
 
     ranked = ranked_dataset(views, resources).withColumn("__r", F.lit(True))
     unranked = unranked_dataset(views, resources).join(
@@ -135,61 +136,34 @@ def learned_dataset(views: DataFrame, resources: DataFrame) -> DataFrame:
              .where((F.col("__hr") == 1) & (F.col("__lr") == 0)).select("username"))
     items = items.join(users, on="username", how="left_semi")
     first = views_features(first_view_per_resource(views.join(items, on=["username", "url"], how="left_semi")))
-    means = first.groupBy("username").agg(*[F.avg(c).alias(f"__m_{c}") for c in LEARN_FEATURES])
-    centred = first.join(means, on="username").select(
-        "username", "url", *[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in LEARN_FEATURES])
+    scaled = standardised(first.select("username", "url", *LEARN_FEATURES), "username", LEARN_FEATURES)
     labels = resource_label(views)
-    return (centred.join(items, on=["username", "url"])
+    return (scaled.join(items, on=["username", "url"])
             .join(labels, on=["username", "url"], how="left")
             .withColumn("label", F.when(F.col("__r"), F.col("label")))
             .drop("__r"))
 
 
-def rank_learned(views: DataFrame, resources: DataFrame, max_iter: int = 50,
-                 train: DataFrame | None = None, test: DataFrame | None = None) -> DataFrame:
-    """Predicted ranks of unrated urls from a linear SVM (one-vs-rest over the
-    labels seen) trained on the rated ones. One global model over all users'
-    user-centred features, rather than one model per user; a user whose
-    rated urls all share one label gets that label.
+def rank_learned(views: DataFrame, resources: DataFrame, train: DataFrame | None = None,
+                 test: DataFrame | None = None) -> DataFrame:
+    """Predicted ranks of unrated urls: each user's own linear SVM, trained on
+    the user's rated urls, all users in the same rounds (:mod:`ctxrec.operators.svm`).
 
     ``train``/``test`` (``username, url``) restrict the rated rows used for
     fitting and the rows predicted (for hold-out evaluation)."""
-    from pyspark.ml.classification import LinearSVC, OneVsRest
-    from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-
+    from ctxrec.operators import svm
     from ctxrec.session import checkpoint_dir
 
     checkpoint_dir(views.sparkSession)
-    # the optimiser reads the training rows once per iteration: cut the lineage once
+    # fitted and predicted rows both come from here: cut the lineage once
     data = learned_dataset(views, resources).checkpoint(eager=True)
+    fit_rows, rows = data.where(F.col("label").isNotNull()), data.where(F.col("label").isNull())
     if train is not None:
-        fit_rows = data.join(train, on=["username", "url"], how="left_semi").where(F.col("label").isNotNull())
-        pred_rows = data.join(test, on=["username", "url"], how="left_semi")
-    else:
-        fit_rows = data.where(F.col("label").isNotNull())
-        pred_rows = data.where(F.col("label").isNull())
-    asm = VectorAssembler(inputCols=LEARN_FEATURES, outputCol="__x", handleInvalid="keep")
-    scaler = StandardScaler(inputCol="__x", outputCol="__xs", withMean=True, withStd=True)
-    idx = StringIndexer(inputCol="__lab", outputCol="__y", stringOrderType="alphabetAsc")
-    fit_df = fit_rows.withColumn("__lab", F.col("label").cast("string"))
-    from pyspark.ml import Pipeline
-    prep = Pipeline(stages=[asm, scaler, idx]).fit(fit_df)
-    labels = prep.stages[2].labels
-    if len(labels) >= 2:
-        ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter), featuresCol="__xs", labelCol="__y",
-                        predictionCol="__p", parallelism=len(labels)).fit(prep.transform(fit_df))
-        scored = ovr.transform(prep.stages[1].transform(prep.stages[0].transform(pred_rows)))
-        mapping = F.element_at(F.array(*[F.lit(float(x)) for x in labels]), F.col("__p").cast("int") + 1)
-        pred = scored.select("username", "url", mapping.alias("score"))
-    else:
-        pred = pred_rows.select("username", "url", F.lit(float(labels[0]) if labels else None)
-                                .cast("double").alias("score"))
-    single = (fit_rows.groupBy("username").agg(F.min("label").alias("__lo"), F.max("label").alias("__hi"))
-              .where(F.col("__lo") == F.col("__hi")))
-    return (pred.join(single, on="username", how="left")
-            .select("username", "url",
-                    F.coalesce(F.col("__lo").cast("double"), F.col("score")).alias("score"),
-                    F.lit("learned").alias("source")))
+        fit_rows = fit_rows.join(train, on=["username", "url"], how="left_semi")
+        rows = data.join(test, on=["username", "url"], how="left_semi")
+    models = svm.fit(fit_rows, "username", "label", LEARN_FEATURES)
+    return (svm.predict(rows.drop("label"), models, "username", "label", LEARN_FEATURES)
+            .select("username", "url", F.col("predicted").cast("double").alias("score"), F.lit("learned").alias("source")))
 
 
 def rankings(views: DataFrame, resources: DataFrame, learned: bool = True) -> DataFrame:

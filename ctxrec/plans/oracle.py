@@ -696,3 +696,96 @@ ed AS (SELECT a.id AS id_a, b.id AS id_b,
 sql("pearson_similarity", with_ctes(_EMB_R) + """
 SELECT id_a, id_b, round(1.0 - distance, 6) AS correlation, cast(rank AS int) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) AS rank FROM ed) WHERE rank <= 5""")
+
+# --- 2.14 learned ranks: every user's linear SVM, round by round ---------------------------------
+
+_SVM_D = 7
+
+
+def _dot(a: str, b: str) -> str:
+    return " + ".join(f"{a}[{j + 1}] * {b}[{j + 1}]" for j in range(_SVM_D))
+
+
+def learned_ctes(views: str = "views", train: str = "true", test: str = "label IS NULL", rounds: int = 10) -> str:
+    """CTEs up to ``learned`` (username, url, score). ``train`` and ``test`` are
+    conditions on the rows (username, url, label) fitted and predicted."""
+    n, cells = _SVM_D, [(i, j) for i in range(_SVM_D) for j in range(_SVM_D)]
+    raw = ["lat", "lon", "duration", "daytime", "day_part", "weekday"]
+    scaled = ", ".join(f"CASE WHEN s_{c} > 1e-9 THEN ({c} - m_{c}) / s_{c} ELSE 0.0 END" for c in raw)
+    seven = lambda of: "[" + ", ".join(of(j + 1) for j in range(n)) + "]"
+    step = f"""SELECT w.it, w.username, w.label, any_value(w.v) AS v, any_value(w.z) AS z, any_value(w.f) AS f, sum(gap * gap) AS q,
+      {seven(lambda j: f"sum(gap * y * x[{j}])")} AS s,
+      [{", ".join(f"{float(i == j)} + 2 * sum(CASE WHEN gap > 0 THEN x[{i + 1}] * x[{j + 1}] ELSE 0.0 END)" for i, j in cells)}] AS a
+      FROM (SELECT w.*, d.x, CASE WHEN d.label = w.label THEN 1.0 ELSE -1.0 END AS y,
+                   greatest(1.0 - y * ({_dot("w.z", "d.x")}), 0.0) AS gap
+            FROM wts w JOIN lfit d ON d.username = w.username WHERE w.it < {rounds}) w
+      GROUP BY w.it, w.username, w.label"""
+    for k in range(n):
+        pivot = ", ".join(
+            f"1.0 / a[{k * n + k + 1}]" if i == j == k else f"a[{i * n + j + 1}] / a[{k * n + k + 1}]" if i == k else
+            f"-a[{i * n + j + 1}] / a[{k * n + k + 1}]" if j == k else
+            f"a[{i * n + j + 1}] - a[{i * n + k + 1}] * a[{k * n + j + 1}] / a[{k * n + k + 1}]" for i, j in cells)
+        step = f"SELECT it, username, label, v, z, f, q, s, [{pivot}] AS a FROM ({step})"
+    newton = ", ".join("z[{0}] - ({1})".format(i + 1, " + ".join(
+        f"a[{i * n + j + 1}] * (z[{j + 1}] - 2 * s[{j + 1}])" for j in range(n))) for i in range(n))
+    eligible = "url IN (SELECT url FROM resources WHERE NOT blacklisted AND processed)"
+    return f"""
+lrk AS (SELECT DISTINCT username, url FROM {views} WHERE feedback IS NOT NULL AND feedback <> 'none' AND {eligible}),
+lun AS (SELECT DISTINCT username, url FROM {views} WHERE feedback = 'none' AND {eligible} EXCEPT SELECT username, url FROM lrk),
+lit AS (SELECT username, url, true AS rated FROM lrk WHERE username IN (SELECT username FROM lun)
+        UNION ALL SELECT username, url, false FROM lun WHERE username IN (SELECT username FROM lrk)),
+lfv AS (SELECT v.*, floor(daytime / 4) AS day_part FROM {views} v JOIN lit USING (username, url)
+        QUALIFY row_number() OVER (PARTITION BY username, url ORDER BY ts_ms, view_id) = 1),
+lst AS (SELECT username, {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in raw)} FROM lfv GROUP BY username),
+llb AS (SELECT username, url, cast(feedback AS int) AS label FROM {views} WHERE feedback IS NOT NULL AND feedback <> 'none'
+        QUALIFY row_number() OVER (PARTITION BY username, url ORDER BY ts_ms, view_id) = 1),
+ldt AS (SELECT f.username, f.url, CASE WHEN rated THEN label END AS label, [{scaled}, 1.0] AS x
+        FROM lfv f JOIN lst USING (username) JOIN lit USING (username, url) LEFT JOIN llb USING (username, url)),
+lfit AS MATERIALIZED (SELECT * FROM ldt WHERE label IS NOT NULL AND {train}),
+wts AS (
+  SELECT 0 AS it, username, label, {seven(lambda j: "0.0::DOUBLE")} AS v, {seven(lambda j: "0.0::DOUBLE")} AS z, 'inf'::DOUBLE AS f
+  FROM (SELECT DISTINCT username, label FROM lfit)
+  UNION ALL
+  SELECT it + 1, username, label, CASE WHEN fz <= f THEN z ELSE v END,
+         CASE WHEN fz <= f THEN [{newton}] ELSE {seven(lambda j: f"0.5 * (v[{j}] + z[{j}])")} END, least(fz, f)
+  FROM (SELECT *, 0.5 * ({_dot("z", "z")}) + q AS fz FROM ({step}))),
+learned AS (SELECT username, url, cast(label AS double) AS score
+  FROM (SELECT d.username, d.url, w.label, round({_dot("w.v", "d.x")}, 6) AS s
+        FROM ldt d JOIN wts w ON w.username = d.username AND w.it = {rounds}
+        WHERE (d.username, d.url) IN (SELECT (username, url) FROM ldt WHERE {test}))
+  QUALIFY row_number() OVER (PARTITION BY username, url ORDER BY s DESC, label) = 1)"""
+
+
+def _recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",".join(ctes)
+
+
+sql("rank_learned", _recursive(_EVENTS, _VIEWS, _RESOURCES, learned_ctes()) +
+    " SELECT username, url, score, 'learned' AS source FROM learned")
+
+_RANKS = """,
+ranks AS (SELECT username, url, score, 'explicit' AS source FROM expl
+  UNION ALL SELECT username, url, score, 'learned' FROM learned
+  UNION ALL SELECT username, url, cast(score AS double), 'heuristic' FROM heur h
+  WHERE username NOT IN (SELECT username FROM learned)
+    AND NOT EXISTS (SELECT 1 FROM expl e WHERE e.username = h.username AND e.url = h.url))"""
+
+sql("rankings", _recursive(_EVENTS, _VIEWS, _RESOURCES, _HEUR, _EXPL, learned_ctes()) + _RANKS +
+    " SELECT username, url, score, source FROM ranks")
+
+_HALVES = f"""
+rd AS (SELECT DISTINCT username, url FROM views WHERE feedback IS NOT NULL AND feedback <> 'none' AND {_ELIG}),
+hv AS (SELECT username, url, CASE WHEN row_number() OVER (PARTITION BY username ORDER BY url) - 1
+         < floor(count(*) OVER (PARTITION BY username) / 2) THEN 0 ELSE 1 END AS half FROM rd),
+hidden AS (SELECT v.* REPLACE (CASE WHEN hv.half = 1 THEN 'none' ELSE feedback END AS feedback)
+           FROM views v LEFT JOIN hv USING (username, url))"""
+
+sql("eval_classifier", _recursive(_EVENTS, _VIEWS, _RESOURCES, _HALVES, learned_ctes(
+    "hidden", "(username, url) IN (SELECT (username, url) FROM hv WHERE half = 0)",
+    "(username, url) IN (SELECT (username, url) FROM hv WHERE half = 1)"), _LABEL) + """,
+pairs AS (SELECT l.username, l.score AS estimated, cast(lab.label AS double) AS actual
+          FROM learned l JOIN lab ON lab.username = l.username AND lab.url = l.url)
+SELECT username, count(*) AS n, round(avg(abs(estimated - actual)), 6) AS mae,
+       round(sqrt(sum((estimated - actual) * (estimated - actual))) / count(*), 6) AS rmse_ref,
+       round(sqrt(avg((estimated - actual) * (estimated - actual))), 6) AS rmse
+FROM pairs GROUP BY username""")

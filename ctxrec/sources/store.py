@@ -55,3 +55,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(conf).exists(p)
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again. As with a checkpoint
+    the lineage ends here; unlike one, the table has a known size, so a later
+    join can send it to every task if it is small. Removed when the
+    application's Python ends."""
+    import uuid
+
+    from ctxrec.session import remove_at_exit, scratch_path
+
+    spark = df.sparkSession
+    path = remove_at_exit(spark, scratch_path(spark, f"rounds/{name}-{uuid.uuid4().hex}"))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
