@@ -1,16 +1,38 @@
-"""Exact nearest neighbours by euclidean distance.
-
-The reference builds the full n x n distance matrix and only ever reads the
-best few entries of each row. Here the k nearest are found without emitting
-all pairs: points are hashed into blocks of bounded size, every (left block,
-right block) pair is one cogroup task where numpy computes the block's
-distances and keeps the k best per left point, and a partial top-k merges
-the block winners. Memory per task is bounded by the block size; output is
-n x k rows. Distances are exact; similarity = 1 / (1 + distance).
+"""Exact nearest neighbours, without meeting all pairs.
+
+Points are dealt into cells around pivots (a sample spread by hash, at most
+MAX_PIVOTS). One pass measures every point against every pivot and keeps, per
+cell, the least and largest distance of its members from the pivot and, per
+pivot, the few smallest distances of any point. By the triangle inequality
+
+* every point of cell i has its k nearest within
+  ``reach_i = radius_i + (k-th smallest distance of a point from pivot i)``;
+* a point at distance t from pivot i is at least ``t - radius_i`` and
+  ``inner_i - t`` away from every member of cell i.
+
+So a point travels only to the cells whose reach it can touch: on clustered
+points to a few, on points without structure to all, which is then what a plain
+block join costs, as a cell is no smaller than a block. Cells of more than a
+block, and the points that travel to them, are cut into blocks again; a task
+holds one block of each side and returns k rows a left point, and a partial
+top-k merges them. The copies a point makes are counted before they are made.
+
+Points excluded from an answer (the point itself, its owner's others) may be the
+ones nearest to a pivot, so the bound counts on ``k`` plus the largest number of
+excluded points. Pearson distance is half the squared euclidean distance of the
+standardised vectors, in which the bounds are taken; constant vectors have no
+correlation and take no part. With ``within`` only points of one owner meet, and
+an owner with many points has several blocks.
+
+The reference builds the full n x n distance matrix and only ever reads the best
+few entries of each row. Distances are exact (rounded to 9 digits, ties by
+``id_b``); similarity = 1 / (1 + distance).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +41,11 @@ from pyspark.sql import functions as F
 from ctxrec.operators.topk import top_k
 
 _OUT = "id_a string, id_b string, distance double"
+MAX_PIVOTS = 1024
+#: beyond this many distances kept a pivot, a cell's reach counts as unbounded
+MAX_KEPT = 1024
+#: distances are rounded to 9 digits; bounds give way by more
+SLACK = 1e-8
 
 
 def _block_dist(L: np.ndarray, R: np.ndarray, metric: str) -> np.ndarray:
@@ -48,10 +75,10 @@ def _block_knn(k: int, exclude_self: bool, exclude_same_owner: bool, chunk: int
         _, ocodes = np.unique(np.concatenate([left["owner"].to_numpy(), right["owner"].to_numpy()]).astype(str),
                               return_inverse=True)
         lo, ro = ocodes[:len(la)], ocodes[len(la):]
-        order_b = np.argsort(rb.astype(str), kind="stable")          # ties -> smallest id_b
+        order_b = np.argsort(rbc, kind="stable")          # ties -> smallest id_b
         R, rb, rbc, ro = R[order_b], rb[order_b], rbc[order_b], ro[order_b]
         kk = min(k, len(rb))
-        out_a, out_b, out_d = [], [], []
+        at_a, at_b, dist = [], [], []
         for s in range(0, len(la), chunk):
             d = np.round(_block_dist(L[s:s + chunk], R, metric), 9)
             if exclude_self:
@@ -59,13 +86,12 @@ def _block_knn(k: int, exclude_self: bool, exclude_same_owner: bool, chunk: int
             if exclude_same_owner:
                 d[lo[s:s + chunk, None] == ro[None, :]] = np.inf
             idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
-            dd = np.take_along_axis(d, idx, axis=1)
-            for r in range(idx.shape[0]):
-                keep = np.isfinite(dd[r])
-                out_a.extend([str(la[s + r])] * int(keep.sum()))
-                out_b.extend(str(x) for x in rb[idx[r][keep]])
-                out_d.extend(float(x) for x in dd[r][keep])
-        return _frame(out_a, out_b, out_d)
+            best = np.take_along_axis(d, idx, axis=1)
+            i, j = np.nonzero(np.isfinite(best))
+            at_a.append(i + s)
+            at_b.append(idx[i, j])
+            dist.append(best[i, j])
+        return _frame(la[np.concatenate(at_a)], rb[np.concatenate(at_b)], np.concatenate(dist))
     return fn
 
 
@@ -74,6 +100,138 @@ def _frame(a, b, d) -> pd.DataFrame:
                          "distance": pd.Series(d, dtype="float64")})
 
 
+# --- cells ------------------------------------------------------------------------------
+
+def _to_pivots(X: np.ndarray, pivots: np.ndarray, metric: str) -> np.ndarray:
+    return np.concatenate([_block_dist(X[s:s + 64], pivots, metric) for s in range(0, len(X), 64)])
+
+
+class Cells:
+    """Pivots and what is known of the cells around them."""
+
+    def __init__(self, pivots: np.ndarray, metric: str):
+        self.pivots, self.metric = pivots, metric
+        n = len(pivots)
+        self.inner, self.radius = np.full(n, np.inf), np.full(n, -np.inf)
+        self.reach = np.full(n, np.inf)
+
+    def distances(self, pdf: pd.DataFrame) -> np.ndarray:
+        return _to_pivots(np.stack(pdf["space"].to_numpy()).astype(np.float64), self.pivots, self.metric)
+
+    def touched(self, t: np.ndarray) -> np.ndarray:
+        """Which cells (with members) a point at distances ``t`` from the pivots may be near to."""
+        least = np.maximum(t - self.radius, self.inner - t)
+        return (self.radius >= 0) & (least <= self.reach * (1 + SLACK) + SLACK)
+
+
+def _space(points: DataFrame, metric: str) -> DataFrame:
+    """Adds ``space``: the vector whose distances obey the triangle inequality."""
+    if metric != "pearson":
+        return points.withColumn("space", F.col("features"))
+    n = F.size("features")
+    mean = F.aggregate("features", F.lit(0.0), lambda s, x: s + x) / n
+    centred = F.transform("features", lambda x: x - F.col("__mean"))
+    norm = F.sqrt(F.aggregate("__c", F.lit(0.0), lambda s, x: s + x * x))
+    return (points.withColumn("__mean", mean).withColumn("__c", centred).withColumn("__norm", norm)
+            .where("__norm > 0").withColumn("space", F.transform("__c", lambda x: x / F.col("__norm")))
+            .drop("__mean", "__c", "__norm"))
+
+
+def build_cells(left: DataFrame, right: DataFrame, n_right: int, k: int, excluded: int, metric: str, cell_size: int) -> Cells:
+    """Pivots from ``right`` and the bounds of their cells. What reaches the
+    driver is at most MAX_PIVOTS vectors, and MAX_KEPT + 2 numbers a pivot."""
+    near = "manhattan" if metric == "manhattan" else "euclidean"
+    n = max(1, min(MAX_PIVOTS, math.ceil(n_right / cell_size)))
+    sample = (right.select("space").orderBy(F.xxhash64("id"), "id").limit(n)).collect()
+    cells = Cells(np.array([r.space for r in sample], dtype=np.float64), near)
+    n = len(cells.pivots)
+
+    def extent(batches):
+        inner, radius = np.full(n, np.inf), np.full(n, -np.inf)
+        for pdf in batches:
+            if len(pdf):
+                t = cells.distances(pdf)
+                own = t.argmin(axis=1)
+                d = t[np.arange(len(t)), own]
+                np.minimum.at(inner, own, d)
+                np.maximum.at(radius, own, d)
+        have = np.flatnonzero(radius >= 0)
+        yield pd.DataFrame({"cell": have, "inner": inner[have], "radius": radius[have]})
+
+    for r in (left.select("space").mapInPandas(extent, "cell int, inner double, radius double")
+              .groupBy("cell").agg(F.min("inner").alias("inner"), F.max("radius").alias("radius")).collect()):
+        cells.inner[r.cell], cells.radius[r.cell] = r.inner, r.radius
+    keep = k + excluded
+    if keep > min(MAX_KEPT, n_right):
+        return cells
+
+    def smallest(batches):
+        least = np.full((keep, n), np.inf)
+        for pdf in batches:
+            if len(pdf):
+                t = np.concatenate((least, cells.distances(pdf)))
+                least = np.partition(t, keep - 1, axis=0)[:keep]
+        cell, place = np.nonzero(np.isfinite(least.T))
+        yield pd.DataFrame({"cell": cell, "d": least.T[cell, place]})
+
+    kth = top_k(right.select("space").mapInPandas(smallest, "cell int, d double"), ["cell"], [F.col("d")], keep)
+    for r in kth.where(F.col("rank") == keep).collect():
+        cells.reach[r.cell] = cells.radius[r.cell] + r.d
+    return cells
+
+
+def cell_blocks(left: DataFrame, right: DataFrame, cells: Cells, block_size: int) -> tuple[DataFrame, DataFrame, int]:
+    """``left`` and ``right`` with the block keys (cell, ba, bb) at which they
+    meet, and the number of (point, cell) pairs that travel."""
+    n = len(cells.pivots)
+    schema = "id string, owner string, features array<double>, cell int, ba int, bb int"
+
+    def count(side):
+        def run(batches):
+            total = np.zeros(n, dtype=np.int64)
+            for pdf in batches:
+                if len(pdf):
+                    t = cells.distances(pdf)
+                    total += np.bincount(t.argmin(axis=1), minlength=n) if side == "left" else cells.touched(t).sum(axis=0)
+            yield pd.DataFrame({"cell": np.arange(n), "n": total})
+        return run
+
+    def sizes(df, side):
+        out = np.zeros(n, dtype=np.int64)
+        for r in df.select("space").mapInPandas(count(side), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            out[r.cell] = r.n
+        return out
+
+    n_left, n_right = sizes(left, "left"), sizes(right, "right")
+    blocks_a, blocks_b = (np.maximum(1, -(-x // block_size)) for x in (n_left, n_right))
+
+    def deal(side):
+        mine, others = (blocks_a, blocks_b) if side == "left" else (blocks_b, blocks_a)
+
+        def run(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                t = cells.distances(pdf)
+                if side == "left":
+                    row, cell = np.arange(len(t)), t.argmin(axis=1)
+                else:
+                    row, cell = np.nonzero(cells.touched(t))
+                own = pdf["h"].to_numpy()[row] % mine[cell]
+                copies = others[cell]
+                other = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                row, cell, own = (np.repeat(x, copies) for x in (row, cell, own))
+                ba, bb = (own, other) if side == "left" else (other, own)
+                for lo in range(0, len(row), 4096):
+                    s = slice(lo, lo + 4096)
+                    out = pdf[["id", "owner", "features"]].iloc[row[s]].reset_index(drop=True)
+                    yield out.assign(cell=cell[s], ba=ba[s], bb=bb[s])
+        return run
+
+    numbered = lambda df: df.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
+    return (numbered(left).mapInPandas(deal("left"), schema), numbered(right).mapInPandas(deal("right"), schema), int(n_right.sum()))
+
+
 def nearest(points: DataFrame, k: int, exclude_self: bool = True, exclude_same_owner: bool = False,
             block_size: int = 1024, others: DataFrame | None = None, within: bool = False,
             metric: str = "euclidean") -> DataFrame:
@@ -85,15 +243,34 @@ def nearest(points: DataFrame, k: int, exclude_self: bool = True, exclude_same_o
     ``(id_a, id_b, distance, rank)``; ties by ``id_b``.
     """
     from ctxrec.operators.blocks import block_apply
+    from ctxrec.session import checkpoint_dir, ship_package
 
+    checkpoint_dir(points.sparkSession)
     cols = [F.col("id").cast("string").alias("id"), F.col("owner").cast("string").alias("owner"),
             F.col("features").cast("array<double>").alias("features")]
-    # read three times (size, left blocks, right blocks): materialise once
-    left = points.select(*cols).checkpoint(eager=True)
-    right = left if others is None else others.select(*cols).checkpoint(eager=True)
-    partial = block_apply(left, right, _block_knn(k, exclude_self, exclude_same_owner, metric=metric), _OUT,
-                          within=within, block_size=block_size)
-    return top_k(partial, ["id_a"], [F.col("distance"), F.col("id_b")], k)
+    knn = _block_knn(k, exclude_self, exclude_same_owner, metric=metric)
+    order = [F.col("distance"), F.col("id_b")]
+    if within:
+        # read three times (size, left blocks, right blocks): materialise once
+        left = points.select(*cols).checkpoint(eager=True)
+        right = left if others is None else others.select(*cols).checkpoint(eager=True)
+        return top_k(block_apply(left, right, knn, _OUT, within=True, block_size=block_size), ["id_a"], order, k)
+    ship_package(points.sparkSession)
+    left = _space(points.select(*cols), metric).checkpoint(eager=True)
+    right = left if others is None else _space(others.select(*cols), metric).checkpoint(eager=True)
+    excluded = 0
+    if exclude_same_owner:
+        excluded = right.groupBy("owner").count().agg(F.max("count")).first()[0] or 0
+    elif exclude_self:
+        excluded = right.groupBy("id").count().agg(F.max("count")).first()[0] or 0
+    n_right = right.count()
+    if n_right == 0:
+        return left.sparkSession.createDataFrame([], _OUT).withColumn("rank", F.lit(1))
+    cells = build_cells(left, right, n_right, k, excluded, metric, max(64, block_size // 2))
+    a, b, _ = cell_blocks(left, right, cells, block_size)
+    keys = ["cell", "ba", "bb"]
+    partial = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(knn, _OUT)
+    return top_k(partial, ["id_a"], order, k)
 
 
 def similarity(distance_col: str = "distance"):
