@@ -639,7 +639,7 @@ def q_cf_users(spark, sf):
 # --- 2.11 reduced text features (Spark ML) ------------------------------------------------
 
 N_COMPONENTS = 100
-TEXT_MODEL_VERSION = 3  # bump when the saved model layout changes
+TEXT_MODEL_VERSION = 4  # bump when the saved model layout changes
 
 
 def _text_model(spark, sf, n=N_COMPONENTS):
