@@ -6,9 +6,12 @@ one small row per point and block, never the pairs themselves.
 
 * ``estimate_bandwidth(q)``: with m = max(1, floor(n q)) for a group of n
   points, the mean over its points of the distance to the m-th nearest
-  point, the point itself counted first. The m-th distance is found exactly
-  by narrowing an interval: histogram passes count distances per bin, and a
-  last pass returns the few distances left inside the final bin.
+  point, the point itself counted first. The m-th distances of all quantiles
+  are selected together: a pass counts each point's distances per bin of every
+  open interval and keeps the least and largest distance *observed* in a bin;
+  the bin with the m-th one, cut to what was observed, is the next interval. An
+  interval whose ends meet is the answer. Its ends always fall into different
+  bins of the next pass, so every pass narrows, and no distance is emitted.
 * ``mean_shift``: every point is a seed; a seed moves to the mean of the
   points within the bandwidth until it moves less than 1e-3 bandwidth (at
   most 50 rounds); converged centers are taken by decreasing point count
@@ -27,7 +30,6 @@ from ctxrec.operators.blocks import block_apply
 from ctxrec.session import checkpoint_dir
 
 HIST_BINS = 256
-REFINE_PASSES = 3
 
 
 def _dist(L: np.ndarray, R: np.ndarray, chunk: int = 64):
@@ -47,105 +49,93 @@ def _points(df: DataFrame, group: str, key: str) -> DataFrame:
 
 # --- estimate_bandwidth ---------------------------------------------------------------
 
-def _max_fn(left, right):
-    if left.empty or right.empty:
-        return pd.DataFrame({"id": pd.Series([], dtype=object), "v": pd.Series([], dtype="float64")})
-    L, R = _stack(left), _stack(right)
-    out = np.zeros(len(L))
-    for s, d in _dist(L, R):
-        out[s:s + len(d)] = d.max(axis=1)
-    return pd.DataFrame({"id": left["id"].astype(str).to_numpy(), "v": out})
-
+def _count_fn(bins: int):
+    """Per left point and open interval (rank m in [lo, hi]): distances below
+    it (bin -1) and, per bin that has any, their number, least and largest."""
+    names = ["id", "m", "bin", "cnt", "lo", "hi"]
 
-def _hist_fn(bins: int):
     def fn(left, right):
-        empty = pd.DataFrame({"id": pd.Series([], dtype=object), "bin": pd.Series([], dtype="int64"),
-                              "cnt": pd.Series([], dtype="int64")})
         if left.empty or right.empty:
-            return empty
+            return pd.DataFrame({n: pd.Series([], dtype=object if n == "id" else "int64" if n in ("m", "bin", "cnt") else "float64")
+                                 for n in names})
         L, R = _stack(left), _stack(right)
-        lo, hi = left["lo"].to_numpy(), left["hi"].to_numpy()
-        ids, bb, cc = [], [], []
+        ids = left["id"].astype(str).to_numpy()
+        size = left["ms"].map(len).to_numpy()
+        m, lo, hi = (np.concatenate(left[c].to_numpy()) for c in ("ms", "los", "his"))
+        first = np.cumsum(size) - size
+        found = []
         for s, d in _dist(L, R):
-            l, h = lo[s:s + len(d), None], hi[s:s + len(d), None]
-            below = (d <= l).sum(axis=1)
-            inside = (d > l) & (d <= h)
-            width = np.maximum((h - l) / bins, 1e-300)
-            b = np.clip(np.ceil((d - l) / width).astype(np.int64) - 1, 0, bins - 1)
-            for r in range(len(d)):
-                i = str(left["id"].iat[s + r])
-                ids.append(i); bb.append(-1); cc.append(int(below[r]))
-                if inside[r].any():
-                    u, c = np.unique(b[r][inside[r]], return_counts=True)
-                    ids.extend([i] * len(u)); bb.extend(u.tolist()); cc.extend(c.tolist())
-        return pd.DataFrame({"id": ids, "bin": bb, "cnt": cc})
+            own = size[s:s + len(d)]
+            row = np.repeat(np.arange(len(d)), own)  # an interval a row
+            at = np.arange(len(row)) + first[s]
+            dist, l, h = d[row], lo[at, None], hi[at, None]
+            below = (dist < l).sum(axis=1)
+            i, j = np.nonzero((dist >= l) & (dist <= h))
+            v = dist[i, j]
+            if bins > 1:
+                b = ((v - l[i, 0]) / (h[i, 0] - l[i, 0]) * bins).astype(np.int64).clip(0, bins - 1)
+            else:
+                b = np.zeros(len(v), dtype=np.int64)
+            key = i * bins + b
+            cnt = np.bincount(key, minlength=len(row) * bins)
+            least, most = np.full(len(cnt), np.inf), np.full(len(cnt), -np.inf)
+            np.minimum.at(least, key, v)
+            np.maximum.at(most, key, v)
+            have = np.flatnonzero(cnt)
+            i = have // bins
+            for rows, b, c, x, y in ((np.arange(len(row)), np.full(len(row), -1), below, np.full(len(row), np.inf), np.full(len(row), -np.inf)),
+                                     (i, have % bins, cnt[have], least[have], most[have])):
+                found.append((ids[s + row[rows]], m[at[rows]], b, c, x, y))
+        return pd.DataFrame(dict(zip(names, (np.concatenate(c) for c in zip(*found)))))
     return fn
 
 
-def _final_fn(left, right):
-    empty = pd.DataFrame({"id": pd.Series([], dtype=object), "below": pd.Series([], dtype="int64"),
-                          "d": pd.Series([], dtype="float64")})
-    if left.empty or right.empty:
-        return empty
-    L, R = _stack(left), _stack(right)
-    lo, hi = left["lo"].to_numpy(), left["hi"].to_numpy()
-    ids, below, ds = [], [], []
-    for s, d in _dist(L, R):
-        l, h = lo[s:s + len(d), None], hi[s:s + len(d), None]
-        bl = (d <= l).sum(axis=1)
-        for r in range(len(d)):
-            i = str(left["id"].iat[s + r])
-            ids.append(i); below.append(int(bl[r])); ds.append(None)
-            sel = d[r][(d[r] > l[r]) & (d[r] <= h[r])]
-            ids.extend([i] * len(sel)); below.extend([0] * len(sel)); ds.extend(sel.tolist())
-    return pd.DataFrame({"id": ids, "below": below, "d": pd.Series(ds, dtype="float64")})
-
-
-def kth_distances(points: DataFrame, m_col: str, block_size: int = 1024) -> DataFrame:
-    """For each point ``(id, owner, features, m)``: the distance to its m-th
-    nearest point of the same owner (itself first). ``(id, owner, d_m)``."""
+def ranked_distances(points: DataFrame, block_size: int = 1024) -> DataFrame:
+    """For each point ``(id, owner, features, ms array<bigint>)`` and each rank m
+    of ``ms``: the distance to its m-th nearest point of the same owner (itself
+    first). ``(id, owner, m, d)``."""
     checkpoint_dir(points.sparkSession)
-    pts = points.select("id", "owner", "features", F.col(m_col).alias("m")).checkpoint(eager=True)
+    pts = points.select("id", "owner", "features", F.array_distinct("ms").alias("ms")).checkpoint(eager=True)
     right = pts.select("id", "owner", "features")
-    dmax = (block_apply(pts.select("id", "owner", "features"), right, _max_fn, "id string, v double",
-                        within=True, block_size=block_size)
-            .groupBy("id").agg(F.max("v").alias("hi")))
-    state = pts.join(dmax, on="id").withColumn("lo", F.lit(-1.0)).checkpoint(eager=True)
-    for _ in range(REFINE_PASSES):
-        h = block_apply(state.select("id", "owner", "features", "lo", "hi"), right, _hist_fn(HIST_BINS),
-                        "id string, bin long, cnt long", within=True, block_size=block_size)
-        h = h.groupBy("id", "bin").agg(F.sum("cnt").alias("cnt"))
-        below = h.where(F.col("bin") < 0).select("id", F.col("cnt").alias("below"))
-        w = Window.partitionBy("id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        bins = (h.where(F.col("bin") >= 0).join(below, on="id")
-                .withColumn("cum", F.col("below") + F.sum("cnt").over(w)))
-        pick = (bins.join(state.select("id", "m"), on="id").where(F.col("cum") >= F.col("m"))
-                .groupBy("id").agg(F.min("bin").alias("b")))
-        width = (F.col("hi") - F.col("lo")) / HIST_BINS
-        state = (state.join(pick, on="id")
-                 .select("id", "owner", "features", "m",
-                         (F.col("lo") + F.col("b") * width).alias("lo"),
-                         (F.col("lo") + (F.col("b") + 1) * width).alias("hi"))
-                 .checkpoint(eager=True))
-    fin = block_apply(state.select("id", "owner", "features", "lo", "hi"), right, _final_fn,
-                      "id string, below long, d double", within=True, block_size=block_size)
-    below = fin.groupBy("id").agg(F.sum("below").alias("below"))
-    cands = fin.where(F.col("d").isNotNull()).select("id", "d")
-    ranked = cands.withColumn("__r", F.row_number().over(Window.partitionBy("id").orderBy("d")))
-    return (ranked.join(below, on="id").join(state.select("id", "owner", "m"), on="id")
-            .where(F.col("__r") == F.col("m") - F.col("below"))
-            .select("id", "owner", F.col("d").alias("d_m")))
+    state = pts.select("id", F.explode("ms").alias("m"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    done, bins = None, 1
+    while True:
+        slots = state.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "lo", "hi"))).alias("__s"))  # one a quantile
+        left = right.join(slots, on="id").select("id", "owner", "features", F.col("__s.m").alias("ms"),
+                                                 F.col("__s.lo").alias("los"), F.col("__s.hi").alias("his"))
+        counts = block_apply(left, right, _count_fn(bins), "id string, m long, bin long, cnt long, lo double, hi double",
+                             within=True, block_size=block_size)
+        counts = counts.groupBy("id", "m", "bin").agg(F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        w = Window.partitionBy("id", "m").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        state = (counts.withColumn("__upto", F.sum("cnt").over(w)).where((F.col("bin") >= 0) & (F.col("__upto") >= F.col("m")))
+                 .groupBy("id", "m").agg(F.min_by(F.struct("lo", "hi"), "bin").alias("__b"))
+                 .select("id", "m", "__b.lo", "__b.hi").checkpoint(eager=True))
+        met = state.where(F.col("lo") >= F.col("hi")).select("id", "m", F.col("lo").alias("d"))
+        done = met if done is None else done.unionByName(met)
+        state = state.where(F.col("lo") < F.col("hi"))
+        if state.isEmpty():
+            return done.join(pts.select("id", "owner"), on="id").select("id", "owner", "m", "d")
+        bins = HIST_BINS
+
+
+def estimate_bandwidths(points: DataFrame, group: str, key: str, quantiles: list[float],
+                        block_size: int = 1024) -> DataFrame:
+    """``(group, quantile, bandwidth)`` for ``points(group, key, features)``, all quantiles in the same passes."""
+    pts = _points(points, group, key)
+    n = pts.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
+    ms = F.array(*[F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(q))).cast("bigint") for q in quantiles])
+    of_owner = n.select("owner", ms.alias("ms")).checkpoint(eager=True)
+    d = ranked_distances(pts.join(of_owner, on="owner"), block_size)
+    mean = d.groupBy("owner", "m").agg(F.avg("d").alias("bandwidth"))
+    asked = of_owner.select("owner", F.explode(F.arrays_zip(F.array(*[F.lit(float(q)) for q in quantiles]).alias("q"), F.col("ms").alias("m"))).alias("__a"))
+    return (asked.select("owner", F.col("__a")["q"].alias("quantile"), F.col("__a")["m"].alias("m")).join(mean, on=["owner", "m"])
+            .select(F.col("owner").alias(group), "quantile", "bandwidth"))
 
 
 def estimate_bandwidth(points: DataFrame, group: str, key: str, quantile: float,
                        block_size: int = 1024) -> DataFrame:
     """``(group, bandwidth)`` for ``points(group, key, features)``."""
-    pts = _points(points, group, key)
-    n = pts.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
-    pts = pts.join(n, on="owner").withColumn(
-        "m", F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(quantile))).cast("bigint"))
-    d = kth_distances(pts, "m", block_size)
-    return d.groupBy(F.col("owner").alias(group)).agg(F.avg("d_m").alias("bandwidth"))
+    return estimate_bandwidths(points, group, key, [quantile], block_size).drop("quantile")
 
 
 # --- mean shift ---------------------------------------------------------------------------

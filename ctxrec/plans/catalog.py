@@ -923,33 +923,27 @@ QUANTILES = [0.1, 0.3, 0.5, 0.7, 0.9]
 
 @query("estimate_bandwidth")
 def q_estimate_bandwidth(spark, sf):
-    from ctxrec.operators.density import estimate_bandwidth
-    pts = _embedding_points(spark, sf)
-    out = None
-    for q in QUANTILES:
-        b = estimate_bandwidth(pts, "label", "vec_id", q).select(
-            F.col("label").cast("int").alias("label"), F.lit(q).alias("quantile"), _r6("bandwidth"))
-        out = b if out is None else out.unionByName(b)
-    return out
-
-
-def _meanshift(spark, sf, q):
-    from ctxrec.operators.density import estimate_bandwidth, mean_shift
-    pts = _embedding_points(spark, sf)
-    return mean_shift(pts, "label", "vec_id", estimate_bandwidth(pts, "label", "vec_id", q))
+    from ctxrec.operators.density import estimate_bandwidths
+    b = estimate_bandwidths(_embedding_points(spark, sf), "label", "vec_id", QUANTILES)
+    return b.select(F.col("label").cast("int").alias("label"), "quantile", _r6("bandwidth"))
 
 
 @query("meanshift")
 def q_meanshift(spark, sf):
-    a, _ = _meanshift(spark, sf, 0.3)
+    from ctxrec.operators.density import estimate_bandwidth, mean_shift
+    pts = _embedding_points(spark, sf)
+    a, _ = mean_shift(pts, "label", "vec_id", estimate_bandwidth(pts, "label", "vec_id", 0.3))
     return a.select(F.col("label").cast("int").alias("label"), F.col("vec_id").cast("bigint").alias("vec_id"), "cluster")
 
 
 @query("sweep_meanshift")
 def q_sweep_meanshift(spark, sf):
+    from ctxrec.operators.density import estimate_bandwidths, mean_shift
+    pts = _embedding_points(spark, sf)
+    widths = estimate_bandwidths(pts, "label", "vec_id", QUANTILES).checkpoint(eager=True)
     out = None
     for q in QUANTILES:
-        a, _ = _meanshift(spark, sf, q)
+        a, _ = mean_shift(pts, "label", "vec_id", widths.where(F.col("quantile") == q))
         d = cluster.cluster_distribution(a, "label").select(F.lit(q).alias("quantile"), "label", "cluster", "n")
         out = d if out is None else out.unionByName(d)
     return out

@@ -4,7 +4,7 @@ whitening invariant of the text model."""
 import numpy as np
 from pyspark.sql import functions as F
 
-from ctxrec.operators.density import estimate_bandwidth, mean_shift
+from ctxrec.operators.density import estimate_bandwidth, estimate_bandwidths, mean_shift, ranked_distances
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,6 +62,31 @@ def test_bandwidth_and_meanshift_brute_force(spark):
         assert len(set(zip(labels, ours))) == len(set(labels)) == len(set(ours))
 
 
+def test_every_rank_of_every_point(spark):
+    """Ties, equal points and groups of one: each asked rank is found for each point."""
+    rng = np.random.default_rng(4)
+    groups = {"a": np.repeat(rng.normal(size=(9, 3)), 8, axis=0), "b": rng.normal(size=(1, 3)), "c": np.zeros((30, 3)),
+              "d": np.round(rng.normal(size=(150, 3)), 1)}
+    rows = [(f"{g}{i}", g, [float(v) for v in x], [1, 1 + len(m) // 3, len(m)]) for g, m in groups.items() for i, x in enumerate(m)]
+    df = spark.createDataFrame(rows, "id string, owner string, features array<double>, ms array<bigint>")
+    got = {(r.id, r.m): r.d for r in ranked_distances(df, block_size=20).collect()}
+    want = {}
+    for g, m in groups.items():
+        d = np.sort(np.sqrt(((m[:, None, :] - m[None, :, :]) ** 2).sum(-1)), axis=1)
+        want |= {(f"{g}{i}", k): d[i, k - 1] for i in range(len(m)) for k in (1, 1 + len(m) // 3, len(m))}
+    assert got.keys() == want.keys()
+    assert np.allclose([got[k] for k in want], list(want.values()), atol=1e-12)
+
+
+def test_several_quantiles_at_once(spark):
+    pts = _fixture(spark)
+    both = {(r.label, r.quantile): r.bandwidth for r in estimate_bandwidths(pts, "label", "vec_id", [0.1, 0.5], block_size=16).collect()}
+    for q in (0.1, 0.5):
+        for r in estimate_bandwidth(pts, "label", "vec_id", q).collect():
+            assert abs(both[r.label, q] - r.bandwidth) < 1e-12
+    assert estimate_bandwidths(pts.where("false"), "label", "vec_id", [0.1]).count() == 0
+
+
 def test_text_model_whitened(spark):
     from ctxrec.operators.reduce import fit_text_model, text_features
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
