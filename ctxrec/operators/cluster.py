@@ -5,18 +5,20 @@ Points are ``(group, key, features ARRAY<DOUBLE>)``. Grouped Lloyd keeps the
 centers as one small array per group (k structs): each round joins points to
 their group's centers array, picks the nearest center inside the row (no
 points x centers rows are emitted) and re-averages with a partially
-aggregated per-dimension ``avg``. Centers are checkpointed every round to the
-shared checkpoint folder so the lineage stays one round long.
+aggregated per-dimension ``avg``. Points and centers are written to the shared
+folder, so their sizes are known: centers that are small are sent to the points,
+which then stay where they are, and a round moves partial means only. A round is
+one job; how far the centers moved is observed while they are written.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ctxrec.operators.topk import top_k
-from ctxrec.session import checkpoint_dir
+from ctxrec.sources.store import materialised
 
 
 def sq_dist(a: Column, b: Column) -> Column:
@@ -33,15 +35,11 @@ def initial_centers(points: DataFrame, group: str, key: str, k: int) -> DataFram
                         F.col("features").alias("center"))
 
 
-def _center_arrays(centers: DataFrame, group: str) -> DataFrame:
-    return centers.groupBy(group).agg(
-        F.collect_list(F.struct("cluster", "center")).alias("__centers"))
-
-
 def assign(points: DataFrame, centers: DataFrame, group: str) -> DataFrame:
     """Adds ``cluster`` (nearest center; squared distance rounded to 9 digits,
-    ties to the lowest cluster id) and ``sq_dist``."""
-    j = points.join(_center_arrays(centers, group), on=group)
+    ties to the lowest cluster id) and ``sq_dist``. ``centers``: (group, centers
+    array of (cluster, center))."""
+    j = points.join(centers.select(group, F.col("centers").alias("__centers")), on=group)
     best = F.array_min(F.transform("__centers", lambda c: F.struct(
         F.round(sq_dist(F.col("features"), c["center"]), 9).alias("d"), c["cluster"].alias("cluster"))))
     return (j.withColumn("__best", best)
@@ -56,19 +54,17 @@ def array_mean(df: DataFrame, keys: list[str], col: str, dims: int, out: str) ->
 
 
 def update_centers(assigned: DataFrame, centers: DataFrame, group: str, dims: int) -> DataFrame:
-    """Mean of each cluster's points; an empty cluster keeps its center."""
+    """(group, centers, moved): the mean of each cluster's points (an empty
+    cluster keeps its center) and the largest coordinate change of the group."""
     means = array_mean(assigned, [group, "cluster"], "features", dims, "__mean")
-    return (centers.join(means, on=[group, "cluster"], how="left")
-            .select(group, "cluster", F.coalesce("__mean", "center").alias("center")))
-
-
-def center_shift(new: DataFrame, old: DataFrame, group: str) -> float:
-    """Largest absolute coordinate change of any center (a tiny job on two
-    checkpointed center tables)."""
-    o = old.select(group, "cluster", F.col("center").alias("__old"))
-    diff = F.aggregate(F.zip_with("center", "__old", lambda a, b: F.abs(a - b)), F.lit(0.0),
-                       lambda acc, x: F.greatest(acc, x))
-    return new.join(o, on=[group, "cluster"]).agg(F.max(diff)).first()[0] or 0.0
+    of_group = means.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "__mean"))).alias("__means"))  # k at most
+    new = F.transform("centers", lambda c: F.struct(
+        c["cluster"].alias("cluster"), F.coalesce(F.element_at("__means", c["cluster"]), c["center"]).alias("center")))
+    step = F.aggregate(F.zip_with("__new", "centers", lambda a, b: F.aggregate(
+        F.zip_with(a["center"], b["center"], lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, x: F.greatest(acc, x))),
+        F.lit(0.0), lambda acc, x: F.greatest(acc, x))
+    return (centers.select(group, "centers").join(of_group, on=group, how="left").withColumn("__new", new)
+            .select(group, F.col("__new").alias("centers"), step.alias("moved")))
 
 
 def grouped_kmeans(points: DataFrame, group: str, key: str, k: int, iterations: int = 20,
@@ -76,24 +72,20 @@ def grouped_kmeans(points: DataFrame, group: str, key: str, k: int, iterations:
     """Lloyd's k-means inside every group, at most ``iterations`` rounds;
     stops early once no center moves by more than ``tol`` (further rounds
     would repeat the same assignment). Returns (assignments, centers):
-    assignments ``(group, key, cluster, sq_dist)``, centers ``(group, cluster, center)``.
-
-    Every round's centers are checkpointed (each round reads the previous
-    centers twice, so an unchecked lineage would double per round)."""
-    checkpoint_dir(points.sparkSession)
-    # The points are read once per round: cut their lineage once, durably.
-    pts = (points.select(group, key, F.col("features").cast("array<double>").alias("features"))
-           .checkpoint(eager=True))
-    centers = initial_centers(pts, group, key, k).checkpoint(eager=True)
-    first = pts.first()
-    dims = len(first.features) if first else 0
-    for _ in range(iterations):
-        new = update_centers(assign(pts, centers, group), centers, group, dims).checkpoint(eager=True)
-        moved = center_shift(new, centers, group)
-        centers = new
-        if moved <= tol:
+    assignments ``(group, key, cluster, sq_dist)``, centers ``(group, cluster, center)``."""
+    pts = materialised(points.select(group, key, F.col("features").cast("array<double>").alias("features")), "kmeans-points")
+    first = initial_centers(pts, group, key, k).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("cluster", "center"))).alias("centers"))
+    size = Observation()
+    centers = materialised(first.observe(size, F.max(F.size(F.col("centers")[0]["center"])).alias("dims")), "kmeans-centers")
+    dims = size.get["dims"] or 0
+    for _ in range(iterations if dims else 0):
+        seen = Observation()
+        new = update_centers(assign(pts, centers, group), centers, group, dims)
+        centers = materialised(new.observe(seen, F.max("moved").alias("moved")), "kmeans-centers")
+        if (seen.get["moved"] or 0.0) <= tol:
             break
-    return assign(pts, centers, group).select(group, key, "cluster", "sq_dist"), centers
+    return (assign(pts, centers, group).select(group, key, "cluster", "sq_dist"),
+            centers.select(group, F.explode("centers").alias("c")).select(group, "c.cluster", "c.center"))
 
 
 def cluster_distribution(assignments: DataFrame, group: str) -> DataFrame:

@@ -458,7 +458,7 @@ def q_cluster_top_word(spark, sf):
 
 # --- 2.12 clustering --------------------------------------------------------------------
 
-FIX_ITER = 3  # Lloyd rounds of the checked clusterings (the oracle unrolls the same count)
+LLOYD_ROUNDS = 20  # the operators' default; the oracle unrolls the same count
 
 
 def _embedding_points(spark, sf):
@@ -484,7 +484,7 @@ def _context_points(spark, sf):
     return f.select("username", "url", F.array(*[F.round(F.col(c).cast("double"), 6) for c in cols]).alias("features"))
 
 
-def view_profiles(spark, sf, k=10, iterations=FIX_ITER):
+def view_profiles(spark, sf, k=10, iterations=LLOYD_ROUNDS):
     pts = _view_points(spark, sf)
     a, _ = cluster.grouped_kmeans(pts, "username", "view_id", k, iterations)
     return a.join(pts.select("view_id", "url"), on="view_id")
@@ -492,7 +492,7 @@ def view_profiles(spark, sf, k=10, iterations=FIX_ITER):
 
 @query("kmeans_text_profiles")
 def q_kmeans_text_profiles(spark, sf):
-    a, _ = cluster.grouped_kmeans(_embedding_points(spark, sf), "label", "vec_id", 5, FIX_ITER)
+    a, _ = cluster.grouped_kmeans(_embedding_points(spark, sf), "label", "vec_id", 5, LLOYD_ROUNDS)
     return a.select("label", "vec_id", "cluster")
 
 
@@ -503,19 +503,19 @@ def q_kmeans_view_profiles(spark, sf):
 
 @query("kmeans_context_profiles")
 def q_kmeans_context_profiles(spark, sf):
-    a, _ = cluster.grouped_kmeans(_context_points(spark, sf), "username", "url", 5, FIX_ITER)
+    a, _ = cluster.grouped_kmeans(_context_points(spark, sf), "username", "url", 5, LLOYD_ROUNDS)
     return a.select("username", "url", "cluster")
 
 
 @query("cluster_distribution")
 def q_cluster_distribution(spark, sf):
-    a, _ = cluster.grouped_kmeans(_embedding_points(spark, sf), "label", "vec_id", 5, FIX_ITER)
+    a, _ = cluster.grouped_kmeans(_embedding_points(spark, sf), "label", "vec_id", 5, LLOYD_ROUNDS)
     return cluster.cluster_distribution(a, "label").select("label", "cluster", "n", _r6("share"))
 
 
 @query("cluster_members")
 def q_cluster_members(spark, sf):
-    a, _ = cluster.grouped_kmeans(_embedding_points(spark, sf), "label", "vec_id", 5, FIX_ITER)
+    a, _ = cluster.grouped_kmeans(_embedding_points(spark, sf), "label", "vec_id", 5, LLOYD_ROUNDS)
     return a.select("label", "cluster", F.col("vec_id").alias("member"))
 
 
@@ -533,7 +533,7 @@ def q_profile_documents(spark, sf):
 
 @query("profile_text")
 def q_profile_text(spark, sf):
-    a, _ = cluster.grouped_kmeans(_context_points(spark, sf), "username", "url", 5, FIX_ITER)
+    a, _ = cluster.grouped_kmeans(_context_points(spark, sf), "username", "url", 5, LLOYD_ROUNDS)
     pu = a.select("username", F.col("cluster").alias("profile"), "url")
     bags = text.group_term_counts(_viewed_url_terms(spark, sf), pu, ["url"], ["username", "profile"])
     return bags.select("username", "profile", "term", F.col("tf").cast("bigint").alias("tf"))
@@ -555,7 +555,7 @@ def _cf_rankings(spark, sf):
     return ranking.merge_rankings(ranking.rank_explicit(v, _resources(spark, sf)), heur)
 
 
-def _profile_inputs(spark, sf, iterations=FIX_ITER):
+def _profile_inputs(spark, sf, iterations=LLOYD_ROUNDS):
     pu = view_profiles(spark, sf, 10, iterations).select(
         "username", F.col("cluster").alias("profile"), "url").distinct()
     pv = cf.mean_vectors(pu, _page_vectors(spark, sf), ["username", "profile"])
@@ -853,7 +853,7 @@ def q_sweep_kmeans(spark, sf):
     out = None
     pts = _embedding_points(spark, sf)
     for k in SWEEP_K:
-        a, _ = cluster.grouped_kmeans(pts, "label", "vec_id", k, FIX_ITER)
+        a, _ = cluster.grouped_kmeans(pts, "label", "vec_id", k, LLOYD_ROUNDS)
         d = cluster.cluster_distribution(a, "label").select(F.lit(k).alias("k"), "label", "cluster", "n")
         out = d if out is None else out.unionByName(d)
     return out

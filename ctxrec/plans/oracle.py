@@ -433,7 +433,7 @@ def kmeans_ctes(points_cte: str, k: int, rounds: int, prefix: str = "km") -> tup
 
     def assign(i):
         return f"""
-{p}_a{i} AS (SELECT grp, key, feats, cluster FROM (
+{p}_a{i} AS MATERIALIZED (SELECT grp, key, feats, cluster FROM (
   SELECT pt.grp, pt.key, pt.feats, c.cluster,
          row_number() OVER (PARTITION BY pt.grp, pt.key
                             ORDER BY round({_sqd('pt.feats', 'c.center')}, 9), c.cluster) AS r
@@ -446,31 +446,31 @@ def kmeans_ctes(points_cte: str, k: int, rounds: int, prefix: str = "km") -> tup
   SELECT grp, cluster, d, avg(x) AS v FROM (
     SELECT grp, cluster, unnest(feats) AS x, generate_subscripts(feats, 1) AS d FROM {p}_a{i})
   GROUP BY grp, cluster, d) GROUP BY grp, cluster),
-{p}_c{i + 1} AS (SELECT c.grp, c.cluster, coalesce(m.center, c.center) AS center
+{p}_c{i + 1} AS MATERIALIZED (SELECT c.grp, c.cluster, coalesce(m.center, c.center) AS center
   FROM {p}_c{i} c LEFT JOIN {p}_m{i} m ON c.grp = m.grp AND c.cluster = m.cluster)""")
     ctes.append(assign(rounds))
     return ",".join(ctes), f"{p}_a{rounds}"
 
 
-FIX_ITER = 3
+LLOYD_ROUNDS = 20
 
 _EMB_PTS = """
 emb_pts AS (SELECT label AS grp, vec_id AS key, cast(embedding AS double[]) AS feats FROM embeddings)"""
-_KM_TEXT, _KM_TEXT_OUT = kmeans_ctes("emb_pts", 5, FIX_ITER, "kt")
+_KM_TEXT, _KM_TEXT_OUT = kmeans_ctes("emb_pts", 5, LLOYD_ROUNDS, "kt")
 
 _VIEW_PTS = """
 cv AS (SELECT * FROM views v WHERE NOT EXISTS (SELECT 1 FROM resources r WHERE r.url = v.url AND r.blacklisted)),
 view_pts AS (SELECT username AS grp, view_id AS key, url,
                     [lat, lon, cast(duration AS double), cast(daytime AS double),
                      cast(floor(daytime / 4) AS double), cast(weekday AS double)] AS feats FROM cv)"""
-_KM_VIEW, _KM_VIEW_OUT = kmeans_ctes("view_pts", 10, FIX_ITER, "kv")
+_KM_VIEW, _KM_VIEW_OUT = kmeans_ctes("view_pts", 10, LLOYD_ROUNDS, "kv")
 
 _CTX_PTS = """
 ctx_pts AS (SELECT username AS grp, url AS key,
   [cast(a1 AS double), cast(a2 AS double), round(a3, 6), round(a4, 6), round(a5, 6), round(a6, 6), round(a7, 6),
    round(a8, 6), round(a9, 6), round(a10, 6), round(a11, 6), round(a12, 6), round(a13, 6), round(a14, 6),
    round(a15, 6), round(a16, 6), round(a17, 6)] AS feats FROM cf)"""
-_KM_CTX, _KM_CTX_OUT = kmeans_ctes("ctx_pts", 5, FIX_ITER, "kc")
+_KM_CTX, _KM_CTX_OUT = kmeans_ctes("ctx_pts", 5, LLOYD_ROUNDS, "kc")
 
 sql("kmeans_text_profiles", with_ctes(_EMB_PTS, _KM_TEXT) +
     f" SELECT grp AS label, key AS vec_id, cluster FROM {_KM_TEXT_OUT}")
@@ -617,7 +617,7 @@ SELECT count(*) AS n, round(sqrt(sum((estimated - actual) * (estimated - actual)
 _SWEEP = []
 _SWEEP_SEL = []
 for _k in (5, 10, 20, 50):
-    _c, _out = kmeans_ctes("emb_pts", _k, FIX_ITER, f"sw{_k}")
+    _c, _out = kmeans_ctes("emb_pts", _k, LLOYD_ROUNDS, f"sw{_k}")
     _SWEEP.append(_c)
     _SWEEP_SEL.append(f"SELECT {_k} AS k, grp AS label, cluster, count(*) AS n FROM {_out} GROUP BY grp, cluster")
 sql("sweep_kmeans", with_ctes(_EMB_PTS, *_SWEEP) + " " + " UNION ALL ".join(_SWEEP_SEL))
