@@ -48,15 +48,19 @@ def token_stats(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
                        F.size(F.array_distinct(t)).cast("bigint").alias("n_terms"))
 
 
-def fit_idf(corpus: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The idf model of a training corpus as a table (term, idf) with
-    idf = ln((n + 1) / (df + 1)); terms outside the corpus have none."""
-    n_docs = corpus.select(key).count()
-    counts = term_counts(corpus, [key], text)
-    return (counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def idf_of(doc_terms: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """The idf model (term, idf) of counted documents, idf = ln((n + 1) / (df + 1));
+    ``docs`` holds every document, also those without a term."""
+    n_docs = docs.count()
+    return (doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
             .select("term", F.log((F.lit(n_docs) + 1.0) / (F.col("df") + 1.0)).alias("idf")))
 
 
+def fit_idf(corpus: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The idf model of a training corpus; terms outside the corpus have none."""
+    return idf_of(term_counts(corpus, [key], text), corpus.select(key), key)
+
+
 def tfidf(doc_terms: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
     """L2-normalised tf * idf of each document's terms known to the model. A
     document whose terms all occur in every training document has weights 0."""

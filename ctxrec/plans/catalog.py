@@ -17,6 +17,7 @@ from ctxrec.functions.urls import DEFAULT_BLACKLIST, url_blacklisted
 from ctxrec.operators import cf, cluster, features, pages as pages_op, ranking, store, text, views as views_op
 from ctxrec.session import remove_at_exit, scratch_path, ship_package
 from ctxrec.sources import adapters
+from ctxrec.sources.store import materialised
 from ctxrec.sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -82,9 +83,16 @@ def q_scan_collections(spark, sf):
         "resources": _resources(spark, sf),
         "views": _views(spark, sf),
     }
+    keys = {"events": "event_id", "tabs": "tab_id", "users": "username", "resources": "url", "views": "view_id"}
+    return _collections(parts, keys)
+
+
+def _collections(parts, keys):
+    """Rows of each collection and a sum over its keys (the first 8 hex digits of each key's md5)."""
     out = None
     for name, df in parts.items():
-        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("collection"), "n_rows")
+        part = F.conv(F.substring(F.md5(F.col(keys[name]).cast("string")), 1, 8), 16, 10).cast("bigint")
+        one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(part).alias("keys_sum")).select(F.lit(name).alias("collection"), "n_rows", "keys_sum")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -134,7 +142,7 @@ def q_feedback_worklist(spark, sf):
 
 def _resource_summary(df):
     return df.select("url", "processed", "blacklisted", "textual",
-                     F.length("content").cast("bigint").alias("content_chars"))
+                     F.length("content").cast("bigint").alias("content_chars"), F.md5("content").alias("content_md5"))
 
 
 @query("upsert_resources")
@@ -179,8 +187,17 @@ def q_bulk_load(spark, sf):
 
 @query("load_training_corpus")
 def q_load_training_corpus(spark, sf):
-    corpus = ranking.eligible_resources(_resources(spark, sf))
-    return corpus.select("url", F.length("content").cast("bigint").alias("n_chars"))
+    """Both training sets: the eligible resources, and a folder of texts (the
+    benchmark items, written there as one file each)."""
+    import uuid
+    from ctxrec.sources.corpus import training_corpus
+    folder = remove_at_exit(spark, scratch_path(spark, f"corpus-{uuid.uuid4().hex}"))
+    items = read_table(spark, sf, "benchmark", "item_id", "text").where(F.col("text").isNotNull())
+    items.write.partitionBy("item_id").text(folder)
+    own = training_corpus(spark, "docs", resources=_resources(spark, sf)).withColumn("training_set", F.lit("docs"))
+    outer = training_corpus(spark, "folder", folder=folder).withColumn("training_set", F.lit("folder"))
+    outer = outer.withColumn("doc", F.regexp_extract("doc", "^item_id=([^/]*)/", 1))
+    return own.unionByName(outer).select("training_set", "doc", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 # --- 2.2 projections, filters, predicates, distinct -----------------------------
@@ -249,11 +266,21 @@ def q_views_features(spark, sf):
 
 # --- 2.3 joins ------------------------------------------------------------------
 
+def _text_views(spark, sf):
+    """Users and their pages for the text keys: every document is a page (its
+    id) of the user named by its source."""
+    return _documents(spark, sf).select(F.col("source").alias("username"), F.col("doc_id").cast("string").alias("url"))
+
+
+def _text_resources(spark, sf):
+    return _documents(spark, sf).select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("content"),
+                                        F.lit(True).alias("processed"), F.lit(False).alias("blacklisted"))
+
+
 @query("user_documents")
 def q_user_documents(spark, sf):
-    from ctxrec.operators.text import user_documents
-    docs = user_documents(_views(spark, sf), _resources(spark, sf))
-    return docs.select("username", "url", F.length("content").cast("bigint").alias("n_chars"))
+    docs = text.user_documents(_text_views(spark, sf), _text_resources(spark, sf))
+    return docs.select("username", "url", F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
 @query("views_not_blacklisted")
@@ -413,10 +440,6 @@ def _documents(spark, sf):
     return read_table(spark, sf, "documents", "doc_id", "text", "source")
 
 
-def _corpus_idf(spark, sf):
-    return text.fit_idf(_documents(spark, sf).select("doc_id", "text"), "doc_id")
-
-
 def _viewed_url_terms(spark, sf):
     """Term counts of each viewed url's eligible resource (one per url)."""
     urls = _views(spark, sf).select("url").distinct()
@@ -426,19 +449,29 @@ def _viewed_url_terms(spark, sf):
 
 @query("tokenize")
 def q_tokenize(spark, sf):
-    return text.token_stats(_documents(spark, sf), "doc_id")
+    docs = _documents(spark, sf)
+    terms = docs.select("doc_id", F.md5(F.array_join(text.tokens(F.col("text")), " ")).alias("tokens_md5"))
+    return text.token_stats(docs, "doc_id").join(terms, on="doc_id")
+
+
+def _document_terms(spark, sf):
+    """(doc_id, term, tf) of every document, tokenised once and stored for the
+    branches that read it."""
+    return materialised(text.term_counts(_documents(spark, sf), ["doc_id"], "text"), "document-terms")
 
 
 @query("tfidf")
 def q_tfidf(spark, sf):
-    w = text.tfidf(_viewed_url_terms(spark, sf), _corpus_idf(spark, sf), ["url"])
-    return w.select("url", "term", _r6("weight"))
+    terms = _document_terms(spark, sf)
+    idf = text.idf_of(terms, _documents(spark, sf).select("doc_id"), "doc_id")
+    w = text.tfidf(terms, idf, ["doc_id"])
+    return w.select("doc_id", "term", _r6("weight"))
 
 
 @query("user_text")
 def q_user_text(spark, sf):
-    pairs = _views(spark, sf).select("username", "url").distinct()
-    return text.group_term_counts(_viewed_url_terms(spark, sf), pairs, ["url"], ["username"]) \
+    pages = text.term_counts(_text_resources(spark, sf), ["url"], "content")
+    return text.group_term_counts(pages, _text_views(spark, sf).distinct(), ["url"], ["username"]) \
         .select("username", "term", F.col("tf").cast("bigint").alias("tf"))
 
 
@@ -450,8 +483,8 @@ def q_cluster_top_bigrams(spark, sf):
 
 @query("cluster_top_word")
 def q_cluster_top_word(spark, sf):
-    docs = _documents(spark, sf)
-    weights = text.tfidf(text.term_counts(docs, ["doc_id"], "text"), _corpus_idf(spark, sf), ["doc_id"])
+    docs, terms = _documents(spark, sf), _document_terms(spark, sf)
+    weights = text.tfidf(terms, text.idf_of(terms, docs.select("doc_id"), "doc_id"), ["doc_id"])
     top = text.cluster_top_words(weights, docs.select("doc_id", "source"), "doc_id", "source", 3)
     return top.select("source", "rank", "term", _r6("weight"))
 
@@ -665,6 +698,12 @@ def _text_model(spark, sf, n=N_COMPONENTS):
     return TextModel.load(spark, path)
 
 
+def _page_features(spark, sf, model):
+    """(username, url, features) of every document as a page of its source."""
+    from ctxrec.operators.reduce import text_features
+    return _text_views(spark, sf).distinct().join(text_features(model, _text_resources(spark, sf), "url", "content"), on="url")
+
+
 def _viewed_docs(spark, sf):
     urls = _views(spark, sf).select("url").distinct()
     return urls.join(ranking.eligible_resources(_resources(spark, sf)).select("url", "content"), on="url")
@@ -690,13 +729,13 @@ def q_pca_2d(spark, sf):
 
 @query("text_features")
 def q_text_features(spark, sf):
-    return _viewed_features(spark, sf, _text_model(spark, sf))
+    from ctxrec.operators.reduce import text_features
+    return text_features(_text_model(spark, sf), _text_resources(spark, sf), "url", "content")
 
 
 @query("text_dataset")
 def q_text_dataset(spark, sf):
-    f = _viewed_features(spark, sf, _text_model(spark, sf))
-    return _views(spark, sf).select("username", "url").distinct().join(f, on="url")
+    return _page_features(spark, sf, _text_model(spark, sf)).select("username", "url", "features")
 
 
 @query("context_dataset")
@@ -729,16 +768,24 @@ def _user_text_vectors(spark, sf, model=None):
     return _group_text_vectors(spark, sf, model, pairs, ["username"])
 
 
+def _source_text_vectors(spark, sf, model, members, keys):
+    """Text vectors of groups of documents: (keys..., features)."""
+    from ctxrec.operators.reduce import term_features
+    pages = text.term_counts(_text_resources(spark, sf), ["url"], "content")
+    return term_features(model, text.group_term_counts(pages, members, ["url"], keys), keys)
+
+
 @query("kmeans_users")
 def q_kmeans_users(spark, sf):
-    _, a = cluster.global_kmeans(_user_text_vectors(spark, sf), 3)
+    uv = _source_text_vectors(spark, sf, _text_model(spark, sf), _text_views(spark, sf).distinct(), ["username"])
+    _, a = cluster.global_kmeans(uv, 3)
     return a.select("username", "cluster")
 
 
 @query("similarity_users_text")
 def q_similarity_users_text(spark, sf):
     from ctxrec.operators.similarity import nearest
-    uv = _user_text_vectors(spark, sf)
+    uv = _source_text_vectors(spark, sf, _text_model(spark, sf), _text_views(spark, sf).distinct(), ["username"])
     return nearest(uv.select(F.col("username").alias("id"), F.col("username").alias("owner"), "features"), 10)
 
 
@@ -746,10 +793,9 @@ def q_similarity_users_text(spark, sf):
 def q_similarity_profiles_text(spark, sf):
     from ctxrec.operators.similarity import nearest
     model = _text_model(spark, sf)
-    docs = _views(spark, sf).select("username", "url").distinct().join(_viewed_features(spark, sf, model), on="url")
-    a, _ = cluster.grouped_kmeans(docs, "username", "url", 5, 20)
+    a, _ = cluster.grouped_kmeans(_page_features(spark, sf, model), "username", "url", 5)
     members = a.select("username", F.col("cluster").alias("profile"), "url")
-    pv = _group_text_vectors(spark, sf, model, members, ["username", "profile"])
+    pv = _source_text_vectors(spark, sf, model, members, ["username", "profile"])
     pts = pv.select(cf.profile_id().alias("id"), F.col("username").alias("owner"), "features")
     return nearest(pts, 10)
 
@@ -767,8 +813,7 @@ def q_similarity_profiles_context(spark, sf):
 @query("similarity_docs_text")
 def q_similarity_docs_text(spark, sf):
     from ctxrec.operators.similarity import nearest
-    docs = _views(spark, sf).select("username", "url").distinct().join(
-        _viewed_features(spark, sf, _text_model(spark, sf)), on="url")
+    docs = _page_features(spark, sf, _text_model(spark, sf))
     pts = docs.select(F.concat("username", F.lit(" "), "url").alias("id"), F.col("username").alias("owner"), "features")
     return nearest(pts, 5, within=True)
 
@@ -862,10 +907,8 @@ def q_sweep_kmeans(spark, sf):
 @query("sweep_pca")
 def q_sweep_pca(spark, sf):
     out = None
-    pairs = _views(spark, sf).select("username", "url").distinct()
     for n in (50, 100, 200):
-        f = _viewed_features(spark, sf, _text_model(spark, sf, n))
-        a, _ = cluster.grouped_kmeans(pairs.join(f, on="url"), "username", "url", 5, 20)
+        a, _ = cluster.grouped_kmeans(_page_features(spark, sf, _text_model(spark, sf, n)), "username", "url", 5)
         d = cluster.cluster_distribution(a, "username").select(F.lit(n).alias("n_components"), "username", "cluster", "n")
         out = d if out is None else out.unionByName(d)
     return out
@@ -962,11 +1005,7 @@ def q_purge_user(spark, sf):
     left = store.purge_user({"events": _events(spark, sf), "tabs": adapters.driver_tabs(spark, sf),
                              "users": adapters.driver_users(spark, sf),
                              "views": adapters.driver_views(spark, sf, F.col("username") != "u1")}, "u1")
-    out = None
-    for name, df in left.items():
-        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("collection"), "n_rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _collections(left, {"events": "event_id", "tabs": "tab_id", "users": "username", "views": "view_id"})
 
 
 @query("export_user")

@@ -119,12 +119,17 @@ tabs AS (SELECT concat(cast(user_id AS varchar), '-', cast(n AS varchar)) AS tab
                 concat('u', cast(user_id AS varchar)) AS username
          FROM tp WHERE pn IS NOT NULL)"""
 
-sql("scan_collections", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _TABS) + """
-SELECT 'events' AS collection, count(*) AS n_rows FROM b_events
-UNION ALL SELECT 'tabs', count(*) FROM tabs
-UNION ALL SELECT 'users', count(DISTINCT user_id) FROM e0
-UNION ALL SELECT 'resources', count(*) FROM resources
-UNION ALL SELECT 'views', count(*) FROM views""")
+
+
+def _collection(name: str, key: str, table: str) -> str:
+    part = f"cast(concat('0x', substr(md5(cast({key} AS varchar)), 1, 8)) AS bigint)"
+    return f"SELECT '{name}' AS collection, count(*) AS n_rows, cast(sum({part}) AS bigint) AS keys_sum FROM {table}"
+
+
+sql("scan_collections", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _TABS) + " " + " UNION ALL ".join([
+    _collection("events", "event_id", "b_events"), _collection("tabs", "tab_id", "tabs"),
+    _collection("users", "username", "(SELECT DISTINCT username FROM b_events)"),
+    _collection("resources", "url", "resources"), _collection("views", "view_id", "views")]))
 
 sql("ingest_event", f"{EV} SELECT event_id, type, url, ts_ms, tab_id, username, lat, lon FROM b_events")
 
@@ -148,9 +153,9 @@ SELECT DISTINCT username, url FROM views
 WHERE feedback = 'none' AND url IN (SELECT url FROM resources WHERE NOT blacklisted)""")
 
 sql("upsert_resources", f"""{VR}
-SELECT url, processed, blacklisted, textual, cast(length(content) AS bigint) AS content_chars FROM resources
+SELECT url, processed, blacklisted, textual, cast(length(content) AS bigint) AS content_chars, md5(content) AS content_md5 FROM resources
 UNION ALL
-SELECT url, false, false, false, cast(NULL AS bigint) FROM (
+SELECT url, false, false, false, cast(NULL AS bigint), cast(NULL AS varchar) FROM (
   SELECT url FROM views UNION SELECT url FROM pages) n
 WHERE url NOT IN (SELECT url FROM resources)""")
 
@@ -161,14 +166,17 @@ FROM b_events""")
 sql("reset_conversion", f"{EV} SELECT event_id, false AS processed FROM b_events")
 
 sql("reset_downloads", f"""{with_ctes(_RESOURCES)}
-SELECT url, false AS processed, false AS blacklisted, textual, cast(NULL AS bigint) AS content_chars FROM resources""")
+SELECT url, false AS processed, false AS blacklisted, textual, cast(NULL AS bigint) AS content_chars,
+       cast(NULL AS varchar) AS content_md5 FROM resources""")
 
 sql("clean_users", f"{V} SELECT DISTINCT username FROM views")
 
 sql("bulk_load", f"{V} SELECT {VIEW_COLS} FROM views")
 
 sql("load_training_corpus", f"""{with_ctes(_RESOURCES)}
-SELECT url, cast(length(content) AS bigint) AS n_chars FROM resources WHERE NOT blacklisted AND processed""")
+SELECT 'docs' AS training_set, url AS doc, cast(length(content) AS bigint) AS n_chars, md5(content) AS text_md5
+FROM resources WHERE NOT blacklisted AND processed
+UNION ALL SELECT 'folder', cast(item_id AS varchar), cast(length(text) AS bigint), md5(text) FROM benchmark WHERE text IS NOT NULL""")
 
 # --- 2.2 projections, filters ------------------------------------------------------
 
@@ -198,10 +206,9 @@ SELECT view_id, lat, lon, duration, daytime, cast(floor(daytime / 4) AS int) AS
 
 # --- 2.3 joins --------------------------------------------------------------------
 
-sql("user_documents", f"""{VR}
-SELECT u.username, u.url, cast(length(r.content) AS bigint) AS n_chars
-FROM (SELECT DISTINCT username, url FROM views) u JOIN resources r ON u.url = r.url
-WHERE NOT r.blacklisted AND r.processed""")
+sql("user_documents", """
+SELECT source AS username, cast(doc_id AS varchar) AS url, cast(length(text) AS bigint) AS n_chars, md5(text) AS content_md5
+FROM documents""")
 
 sql("views_not_blacklisted", f"""{VR}
 SELECT view_id, url, username FROM views v
@@ -352,7 +359,8 @@ sql("extract_page_text", with_ctes(_PAGE_TEXT) + " SELECT page_id, url, text FRO
 
 sql("classify_resources", with_ctes(_PAGE_TEXT) + """
 SELECT url, true AS processed, text = '' AS blacklisted, length(text) >= 200 AS textual,
-       CASE WHEN text = '' THEN NULL ELSE cast(length(text) AS bigint) END AS content_chars
+       CASE WHEN text = '' THEN NULL ELSE cast(length(text) AS bigint) END AS content_chars,
+       CASE WHEN text = '' THEN NULL ELSE md5(text) END AS content_md5
 FROM ptext""")
 
 sql("prepare_resources", with_ctes(_PAGE_TEXT) + """,
@@ -363,7 +371,8 @@ pr AS (SELECT url, CASE WHEN lower(regexp_extract(url, '^([A-Za-z0-9+.\\-]+):',
                           OR contains(url, 'spam-farm') OR contains(url, 'cheap-pills') THEN '' ELSE text END AS text
        FROM first_page)
 SELECT url, true AS processed, text = '' AS blacklisted, length(text) >= 200 AS textual,
-       CASE WHEN text = '' THEN NULL ELSE cast(length(text) AS bigint) END AS content_chars
+       CASE WHEN text = '' THEN NULL ELSE cast(length(text) AS bigint) END AS content_chars,
+       CASE WHEN text = '' THEN NULL ELSE md5(text) END AS content_md5
 FROM pr""")
 
 # --- 2.11 text features ------------------------------------------------------------
@@ -382,17 +391,18 @@ utf AS (SELECT url, term, count(*) AS tf FROM utok GROUP BY url, term)"""
 
 sql("tokenize", f"""
 SELECT doc_id, cast(len(regexp_extract_all(lower(text), '{_TOKEN}')) AS bigint) AS n_tokens,
-       cast(len(list_distinct(regexp_extract_all(lower(text), '{_TOKEN}'))) AS bigint) AS n_terms
+       cast(len(list_distinct(regexp_extract_all(lower(text), '{_TOKEN}'))) AS bigint) AS n_terms,
+       md5(array_to_string(regexp_extract_all(lower(text), '{_TOKEN}'), ' ')) AS tokens_md5
 FROM documents""")
 
-sql("tfidf", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _IDF, _UTF) + """,
-uw AS (SELECT url, utf.term, tf * idf AS w FROM utf JOIN idf ON utf.term = idf.term),
-un AS (SELECT url, sqrt(sum(w * w)) AS norm FROM uw GROUP BY url)
-SELECT uw.url, term, round(w / norm, 6) AS weight FROM uw JOIN un ON uw.url = un.url""")
+sql("tfidf", with_ctes(_IDF) + """,
+uw AS (SELECT doc_id, ctf.term, tf * idf AS w FROM ctf JOIN idf ON ctf.term = idf.term),
+un AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM uw GROUP BY doc_id)
+SELECT uw.doc_id, term, round(w / norm, 6) AS weight FROM uw JOIN un ON uw.doc_id = un.doc_id""")
 
-sql("user_text", with_ctes(_EVENTS, _VIEWS, _RESOURCES, _UTF) + """
-SELECT username, term, cast(sum(tf) AS bigint) AS tf
-FROM (SELECT DISTINCT username, url FROM views) p JOIN utf ON p.url = utf.url GROUP BY username, term""")
+sql("user_text", f"""
+SELECT username, term, count(*) AS tf
+FROM (SELECT source AS username, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM documents) GROUP BY username, term""")
 
 sql("cluster_top_bigrams", r"""
 WITH bt AS (SELECT source, doc_id, string_split_regex(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '\s+') AS t
@@ -651,11 +661,10 @@ w(tab_id, root, depth) AS (
   SELECT e.tab_id, w.root, w.depth + 1 FROM tabs e JOIN w ON e.parent_id = w.tab_id)"""])
     + " SELECT tab_id, root, depth FROM w")
 
-sql("purge_user", with_ctes(_EVENTS, _VIEWS, _TABS) + """
-SELECT 'events' AS collection, count(*) AS n_rows FROM b_events WHERE username <> 'u1'
-UNION ALL SELECT 'tabs', count(*) FROM tabs WHERE username <> 'u1'
-UNION ALL SELECT 'users', count(DISTINCT user_id) FROM e0 WHERE user_id <> 1
-UNION ALL SELECT 'views', count(*) FROM views WHERE username <> 'u1'""")
+sql("purge_user", with_ctes(_EVENTS, _VIEWS, _TABS) + " " + " UNION ALL ".join([
+    _collection("events", "event_id", "b_events WHERE username <> 'u1'"), _collection("tabs", "tab_id", "tabs WHERE username <> 'u1'"),
+    _collection("users", "username", "(SELECT DISTINCT username FROM b_events WHERE username <> 'u1')"),
+    _collection("views", "view_id", "views WHERE username <> 'u1'")]))
 
 sql("export_user", f"{V} SELECT {VIEW_COLS} FROM views WHERE username = 'u1'")
 
