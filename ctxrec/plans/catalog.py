@@ -1037,7 +1037,7 @@ def q_user_groups_then_recommend(spark, sf):
 @query("recommend")
 def q_recommend(spark, sf):
     from ctxrec.plans.recommend import recommend
-    return recommend(_views(spark, sf), _resources(spark, sf), _page_vectors(spark, sf))
+    return recommend(_views(spark, sf), _resources(spark, sf), _text_model(spark, sf))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
