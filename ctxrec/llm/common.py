@@ -60,10 +60,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
-def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+def sized(df: DataFrame, row_bytes: int | Column) -> DataFrame:
     """``df`` (a stored table) as the side of a join: sent to every executor if
-    its counted rows take at most BROADCAST_BYTES, else joined by a shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    its counted rows (``row_bytes`` each, or by a column, where rows differ)
+    take at most BROADCAST_BYTES, else joined by a shuffle."""
+    if isinstance(row_bytes, Column):
+        size = df.agg(F.sum(row_bytes)).first()[0] or 0
+    else:
+        size = df.count() * row_bytes
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def lower_ascii(c: Column) -> Column:

@@ -10,13 +10,16 @@ whole windows around it, whose words are then compared as they are.
 An item of fewer than ``WINDOW`` words (but some) is one window of its own
 length; all runs of that length are its fingerprints.
 
-DataFrame functions only. The benchmark side is joined without a hint: Spark
-broadcasts it if its size allows and shuffles both sides otherwise. A document
-is identified by its id and the hash of its text, so rows that repeat an id
+DataFrame functions only. One pass over all texts stores each document's words
+count and distinct fingerprints; only the texts of documents that share one are
+read again. A window carries the number of its set of items (windows that the
+same items hold share it), which is resolved once per document. Benchmark-sized
+tables are broadcast if their counted size allows, else both sides are shuffled.
+A document is identified by its id and the hash of its text, so rows that repeat an id
 with another text stay apart and equal rows each get their (equal) result.
-Null and empty texts have no words and no hits; a null id is kept as a value;
-items with a null id are left out; empty tables give no hits. Other columns
-are ignored.
+Null and empty texts have no words and no hits; very long texts are read whole,
+as one row; a null id is kept as a value; items with a null id are left out;
+empty tables give no hits. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, lower_ascii, query
+from .common import documents, lower_ascii, query, sized, stored
 from ctxrec.sources.tables import read_table
 
 WINDOW = 10
 GRAM = 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _NONE = "array<bigint>"
+_SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def words_of(text: Column) -> Column:
@@ -61,40 +65,59 @@ def _windows(df: DataFrame, size: int, keep: Column) -> DataFrame:
     return df.select("*", at).withColumn("window", F.array_join(F.slice("words", F.col("start"), size), " "))
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document that holds a window of an item: id, text_hash,
-    spans (array of start word, end word; 0-based, end exclusive, sorted and
-    merged), n_hit, items (sorted item ids)."""
-    bench = (items.where(F.col(item_id).isNotNull())
-             .select(F.col(item_id).alias("item"), words_of(F.col(item_text)).alias("words"))
-             .withColumn("size", F.least(F.size("words"), F.lit(WINDOW))).where("size > 0").distinct())
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most WINDOW values
-    src = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
-    hits = None
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+
+
+def _items(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    return (items.where(F.col(item_id).isNotNull())
+            .select(F.col(item_id).alias("item"), words_of(F.col(item_text)).alias("words"))
+            .withColumn("size", F.least(F.size("words"), F.lit(WINDOW))).where("size > 0").distinct())
+
+
+def _marked(src: DataFrame, sizes: list[int]) -> DataFrame:
+    """(_id, _hash, n_words) of every document with its distinct fingerprints
+    of each window size (``m<size>``): the one pass over all texts."""
+    df = src.select("_id", "_hash", words_of(F.col("_text")).alias("words"))
+    for size in sizes:
+        df = _fingerprints(df, size).withColumnRenamed("mark", f"m{size}")
+    return stored(df.select("_id", "_hash", F.size("words").cast("long").alias("n_words"),
+                            *[F.array_distinct(f"m{size}").alias(f"m{size}") for size in sizes]), "leak-marks")
+
+
+def _found(src: DataFrame, bench: DataFrame, marked: DataFrame, sizes: list[int]) -> DataFrame:
+    """(_id, _hash, spans, n_hit, items) of the documents that hold a window."""
+    hits, sets = None, None
     for size in sizes:
         of_size = _fingerprints(bench.where(F.col("size") == size), size)
-        marks = of_size.select(F.explode("mark").alias("mark")).distinct()
-        windows = (_windows(of_size, size, F.sequence(F.lit(1), F.size("mark")))
-                   .groupBy("window").agg(F.collect_set("item").alias("items")))
-        worded = _fingerprints(src.select("_id", "_hash", words_of(F.col("_text")).alias("words")), size)
-        shared = (worded.select("_id", "_hash", F.explode(F.array_distinct("mark")).alias("mark"))
-                  .join(marks, "mark").groupBy("_id", "_hash").agg(F.collect_set("mark").alias("shared")))
-        same = shared.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "shared")
-        near = src.join(same, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
+        marks = stored(of_size.select(F.explode("mark").alias("mark")).distinct(), "leak-bench-marks")
+        # windows that the same items hold share one set of items
+        owned = (_windows(of_size, size, F.sequence(F.lit(1), F.size("mark")))
+                 .groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+                 .withColumn("set", F.md5(F.to_json("items"))))
+        owned = stored(owned, "leak-windows")
+        own_sets = owned.groupBy("set").agg(F.first("items").alias("items"))
+        sets = own_sets if sets is None else sets.unionByName(own_sets)
+        shared = (marked.select("_id", "_hash", F.explode(f"m{size}").alias("mark")).join(sized(marks, 16), "mark")
+                  .groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.collect_set("mark").alias("shared")))
+        shared = stored(shared, "leak-shared")
+        # the texts of these documents only
+        near = src.join(sized(shared, 32 + 8 * F.size("shared")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
         near = _fingerprints(near.select("_id", "_hash", "shared", words_of(F.col("_text")).alias("words")), size)
         fits = F.filter(F.sequence(F.lit(1), F.size("mark")),
                         lambda i: F.array_contains(F.col("shared"), F.get(F.col("mark"), i - 1)))
-        found = (_windows(near, size, fits).join(windows, "window")
-                 .select("_id", "_hash", (F.col("start") - 1).alias("start"), F.lit(size).alias("size"), "items"))
+        found = (_windows(near, size, fits).join(sized(owned.select("window", "set"), 48 + F.octet_length("window")), "window")
+                 .select("_id", "_hash", (F.col("start") - 1).alias("start"), F.lit(size).alias("size"), "set"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = src.where("false").select("_id", "_hash", F.lit(0).alias("start"), F.lit(0).alias("size"),
-                                         F.array().cast(f"array<{dict(items.dtypes)[item_id]}>").alias("items"))
+        return src.select("_id", "_hash", F.array().cast(_SPANS).alias("spans"), F.lit(0).cast("long").alias("n_hit"),
+                          F.array().cast(f"array<{dict(bench.dtypes)['item']}>").alias("items")).where("false")
     span = F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end"))
-    per_doc = hits.groupBy("_id", "_hash").agg(
-        F.array_sort(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    per_doc = stored(hits.groupBy("_id", "_hash").agg(
+        F.array_sort(F.collect_set(span)).alias("spans"), F.collect_set("set").alias("sets")), "leak-hits")
+    of_doc = (per_doc.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), F.explode("sets").alias("set"))
+              .join(sets.dropDuplicates(["set"]), "set")
+              .groupBy("_i", "_h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
 
     def join_span(done: Column, s: Column) -> Column:
         last = F.element_at(done, -1)
@@ -103,21 +126,35 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
                       F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(widened))
                       ).otherwise(F.concat(done, F.array(s)))
 
-    merged = per_doc.withColumn("spans", F.aggregate("spans", empty, join_span))
-    return merged.select(
-        F.col("_id").alias(id_col), F.col("_hash").alias("text_hash"), "spans",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"),
-        F.array_sort("items").alias("items"))
+    merged = per_doc.withColumn("spans", F.aggregate("spans", F.array().cast(_SPANS), join_span))
+    return (merged.join(of_doc, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_hash").eqNullSafe(F.col("_h")))
+            .select("_id", "_hash", "spans",
+                    F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"), "items"))
+
+
+def _search(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    src, bench = _source(docs, id_col, text_col), _items(items, item_id, item_text)
+    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most WINDOW values
+    marked = _marked(src, sizes)
+    return marked, _found(src, bench, marked, sizes)
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document that holds a window of an item: id, text_hash,
+    spans (array of start word, end word; 0-based, end exclusive, sorted and
+    merged), n_hit, items (sorted item ids)."""
+    _, found = _search(docs, items, id_col, text_col, item_id, item_text)
+    return found.select(F.col("_id").alias(id_col), F.col("_hash").alias("text_hash"), "spans", "n_hit", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_hit, items (null without hits)."""
-    found = find_contamination(docs, items, id_col, text_col).select(
-        F.col(id_col).alias("_i"), F.col("text_hash").alias("_h"), "n_hit", "items")
-    src = docs.select(F.col(id_col), F.xxhash64(text_col).alias("_hash"),
-                      F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
-    return (src.join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
-            .select(id_col, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "items"))
+    marked, found = _search(docs, items, id_col, text_col, "item_id", "text")
+    found = stored(found.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "n_hit", "items"), "leak-found")
+    return (marked.select("_id", "_hash", "n_words")
+            .join(sized(found, 32 + 24 * F.size("items")), F.col("_id").eqNullSafe(F.col("_i")) & F.col("_hash").eqNullSafe(F.col("_h")), "left")
+            .select(F.col("_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "items"))
 
 
 _W = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -68,3 +68,15 @@ def test_empty_tables(spark, make_docs):
     docs = make_docs([(1, "a b c")])
     assert D.contamination(docs.where("false"), bench).count() == 0
     assert [r.n_hit for r in D.contamination(docs, bench.where("false")).collect()] == [0]
+
+
+def test_a_window_of_all_items(spark, make_docs):
+    """Items that share a passage: its windows are one set of items."""
+    common = " ".join(f"w{i}" for i in range(14))
+    items = [(i, f"{common} own{i} " + " ".join(f"x{i}y{j}" for j in range(12))) for i in range(40)] + [(99, "w3 w4 w5")]
+    rows = [(i, f"a b {common} c") for i in range(25)] + [(100, "x7y0 " + " ".join(f"x7y{j}" for j in range(12))), (101, "w3 w4 w5"), (102, "w3 w4")]
+    got = {r.doc_id: r for r in D.contamination(make_docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, t in rows:
+        r = got[i]
+        assert (r.n_words, r.n_hit, r["items"] or []) == brute(t, items)
+    assert len(got[0]["items"]) == 41
