@@ -144,13 +144,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = found.groupBy("component", "__i", "__h").count().join(first, "component").select(
         "__i", "__h", "count", (F.struct(F.col("__i").isNull().alias("last"), "__i", "__h") != F.col("p")).alias("gone"))
     place = stored(place.where("gone or count > 1"), "ngram-gone")
-    src = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    on = F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__text_hash") == F.col("__h"))
+    # the input's columns travel as one struct, so that none can clash
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("i"),
+                      F.xxhash64(text_col).alias("h"))
+    on = F.col("i").eqNullSafe(F.col("__i")) & (F.col("h") == F.col("__h"))
     some, again = place.select("__i", "__h"), place.where("not gone").select("__i", "__h")
-    rest = src.join(sized(some, 24), on, "left_anti").drop("__text_hash")
+    rest = src.join(sized(some, 24), on, "left_anti")
     # rows that repeat the id and text kept are one document: only these few are put side by side
-    twice = src.join(sized(again, 24), on, "left_semi").drop("__text_hash").dropDuplicates([id_col, text_col])
-    return rest.unionByName(twice)
+    twice = src.join(sized(again, 24), on, "left_semi").dropDuplicates(["i", "h"])
+    return rest.unionByName(twice).select("row.*")
 
 
 _UP, _LOW_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

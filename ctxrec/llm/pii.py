@@ -38,9 +38,9 @@ IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])"
 LOCAL = r"(?<![0-9A-Za-z+.-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])"
 SPELLED = r"(?i)(?<![a-z0-9])[a-z0-9._-]{2,64}\x20?[(\[]at[)\]]\x20?[a-z0-9-]{2,63}\x20?[(\[]dot[)\]]\x20?[a-z]{2,10}"
 
-#: kind, pattern, what a text must hold to have a match
+#: kind, pattern, what a text must hold in lower case to have a match
 PATTERNS = [("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, ""), ("phone", PHONE, "+"),
-            ("ssn", SSN, "-"), ("iban", IBAN, ""), ("local", LOCAL, ""), ("spelled", SPELLED, "at")]
+            ("ssn", SSN, "-"), ("iban", IBAN, ""), ("local", LOCAL, ""), ("spelled", SPELLED, "dot")]
 BASE = ["email", "ip", "card", "phone"]
 KINDS = BASE + ["ssn", "iban", "local", "spelled", "weak_ip", "weak_card", "weak_phone"]
 _INDEX = {k: i for i, k in enumerate(KINDS)}
@@ -150,7 +150,7 @@ def with_candidates(docs: DataFrame, text_col: str, keep: list[Column]) -> DataF
     some = text.rlike("[0-9@\\[(]")
     lists = []
     for kind, pattern, need in PATTERNS:
-        able = some & text.contains(need) if need else some
+        able = some & (F.lower(text) if need.isalpha() else text).contains(need) if need else some
         lists += [F.when(able, F.regexp_extract_all(text, F.lit(pattern), 0)).alias(f"_m_{kind}"),
                   F.when(able, F.split(text, pattern, -1)).alias(f"_p_{kind}")]
     src = docs.select(*keep, *lists)

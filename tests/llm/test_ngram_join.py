@@ -106,3 +106,12 @@ def test_null_ids_repeats_and_empty(make_docs):
         [("5", t + " k"), ("None", "None"), ("8", ""), ("8", ""), ("None", "lonely words stand here all alone")])
     assert N.jaccard_components(make_docs(rows).where("false")).count() == 0
     assert len(list(shingle_sets([None, ""]))) == 2
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "a", 1, "r"), (2, text, "b", 2, "r"), (2, text, "b", 2, "r"), (3, "other words than these are here", "c", 3, "r"), (3, None, "d", 4, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __text_hash string, __i int, row string")
+    got = N.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)

@@ -96,3 +96,10 @@ def test_empty_table_and_query(spark, make_docs, con):
         base = brute(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in base) for i in range(4)]
+
+
+def test_spelled_addresses_in_any_case(make_docs):
+    texts = ["write to john [at] mail [dot] com now", "WRITE TO JOHN [AT] MAIL [DOT] COM NOW", "Mail John (At) Mail (Dot) Com"]
+    got = {r.doc_id: r.spans for r in P.with_candidates(make_docs(list(enumerate(texts))), "text", [F.col("doc_id")])
+           .selectExpr("doc_id", "transform(cands, c -> c.k) AS spans").collect()}
+    assert all(P.KINDS.index("spelled") in got[i] for i in range(3))
