@@ -41,9 +41,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     items = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    found = decontaminate.find_contamination(docs, items).select(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_hash"))
-    hit = F.col("doc_id").eqNullSafe(F.col("__hit_id")) & (F.xxhash64("text") == F.col("__hit_hash"))
-    return docs.join(found, hit, "left_anti")
+    found = decontaminate.find_contamination(docs, items).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"))
+    # the columns of docs travel as one struct, so that none can clash
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
+    return whole.join(found, F.col("i").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_hash")), "left_anti").select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
