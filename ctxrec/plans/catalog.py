@@ -992,6 +992,12 @@ def q_sweep_meanshift(spark, sf):
     return out
 
 
+@query("affinity_propagation")
+def q_affinity_propagation(spark, sf):
+    from ctxrec.operators.affinity import affinity_propagation
+    return affinity_propagation(_embedding_points(spark, sf), "label", "vec_id")
+
+
 # --- 2.18 described in the reference, not coded there ---------------------------------------------
 
 @query("tab_tree")
