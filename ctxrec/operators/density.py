@@ -14,7 +14,10 @@ one small row per point and block, never the pairs themselves.
   bins of the next pass, so every pass narrows, and no distance is emitted.
 * ``mean_shift``: every point is a seed; a seed moves to the mean of the
   points within the bandwidth until it moves less than 1e-3 bandwidth (at
-  most 50 rounds); converged centers are taken by decreasing point count
+  most 50 rounds, ``converged`` says which). A block's points lie in cells that
+  keep (count, sum): by the triangle inequality a cell inside the bandwidth is
+  taken whole, one outside is skipped, and only the points of the others are
+  measured. Centers are taken by decreasing point count
   (ties by center), dropping those within the bandwidth of a kept one
   (decided exactly, in rounds); points go to the nearest kept center.
 """
@@ -140,21 +143,53 @@ def estimate_bandwidth(points: DataFrame, group: str, key: str, quantile: float,
 
 # --- mean shift ---------------------------------------------------------------------------
 
-def _shift_fn(dims: int):
+class _BlockCells:
+    """A block's points in cells around a few of them, with counts and sums."""
+
+    def __init__(self, R: np.ndarray, cells: int):
+        self.pivots = R[np.linspace(0, len(R) - 1, min(cells, len(R))).astype(int)]
+        own, far = np.empty(len(R), dtype=np.int64), np.empty(len(R))
+        for s, d in _dist(R, self.pivots):
+            own[s:s + len(d)] = d.argmin(axis=1)
+            far[s:s + len(d)] = d.min(axis=1)
+        order = np.argsort(own, kind="stable")
+        self.points, n = R[order], len(self.pivots)
+        self.size = np.bincount(own, minlength=n)
+        self.begin = np.cumsum(self.size) - self.size
+        self.radius = np.full(n, -np.inf)
+        np.maximum.at(self.radius, own, far)
+        self.sum = np.zeros((n, R.shape[1]))
+        np.add.at(self.sum, own, R)
+
+    def within(self, centers: np.ndarray, bw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, sum) of the points within ``bw`` of each center. Distances
+        near the bounds are left to the points themselves."""
+        cnt, total = np.zeros(len(centers), dtype=np.int64), np.zeros(centers.shape)
+        some = self.size > 0
+        for s, t in _dist(centers, self.pivots):
+            c, w = centers[s:s + len(t)], bw[s:s + len(t), None]
+            slack = 1e-9 * (1 + w + t)
+            whole = some & (t + self.radius <= w - slack)
+            cnt[s:s + len(t)] += whole @ self.size
+            total[s:s + len(t)] += whole.astype(float) @ self.sum
+            for j in np.flatnonzero((some & ~whole & (t - self.radius <= w + slack)).any(axis=0)):
+                i = np.flatnonzero(~whole[:, j] & (t[:, j] - self.radius[j] <= w[:, 0] + slack[:, j]))
+                pts = self.points[self.begin[j]: self.begin[j] + self.size[j]]
+                diff = c[i][:, None, :] - pts[None, :, :]
+                near = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff)) <= w[i]
+                cnt[s + i] += near.sum(axis=1)
+                total[s + i] += near.astype(float) @ pts
+        return cnt, total
+
+
+def _shift_fn(dims: int, cells: int = 32):
     cols = [f"s{j}" for j in range(dims)]
 
     def fn(left, right):
         if left.empty or right.empty:
             return pd.DataFrame({"id": pd.Series([], dtype=object), "cnt": pd.Series([], dtype="int64"),
                                  **{c: pd.Series([], dtype="float64") for c in cols}})
-        L, R = _stack(left, "center"), _stack(right)
-        bw = left["bw"].to_numpy()
-        sums = np.zeros((len(L), dims))
-        cnt = np.zeros(len(L), dtype=np.int64)
-        for s, d in _dist(L, R):
-            within = d <= bw[s:s + len(d), None]
-            cnt[s:s + len(d)] = within.sum(axis=1)
-            sums[s:s + len(d)] = within.astype(np.float64) @ R
+        cnt, sums = _BlockCells(_stack(right), cells).within(_stack(left, "center"), left["bw"].to_numpy())
         out = pd.DataFrame(sums, columns=cols)
         out.insert(0, "cnt", cnt)
         out.insert(0, "id", left["id"].astype(str).to_numpy())
@@ -181,15 +216,20 @@ def _suppress_fn(left, right):
 
 def mean_shift(points: DataFrame, group: str, key: str, bandwidth: DataFrame,
                max_iter: int = 50, tol: float = 1e-3, block_size: int = 1024):
-    """Returns (assignments ``(group, key, cluster)``, centers
-    ``(group, cluster, center, intensity)``). ``bandwidth``: ``(group, bandwidth)``."""
+    """Returns (assignments ``(group, key, cluster, converged)``, centers
+    ``(group, cluster, center, intensity, converged)``); ``converged`` is false
+    where a seed still moved after ``max_iter`` rounds. ``bandwidth``: ``(group, bandwidth)``."""
     from ctxrec.operators.features import range_positions
     from ctxrec.operators.similarity import nearest
 
     spark = points.sparkSession
     checkpoint_dir(spark)
     pts = _points(points, group, key).checkpoint(eager=True)
-    dims = len(pts.first().features)
+    dims = pts.agg(F.max(F.size("features"))).first()[0] or 0
+    if not dims:  # no points
+        none = pts.select(F.col("owner").alias(group), F.col("id").alias(key), F.lit(0).alias("cluster"), F.lit(True).alias("converged"))
+        return none, pts.select(F.col("owner").alias(group), F.lit(0).alias("cluster"), F.col("features").alias("center"),
+                                F.lit(0).cast("bigint").alias("intensity"), F.lit(True).alias("converged"))
     bw = bandwidth.select(F.col(group).cast("string").alias("owner"), F.col("bandwidth").alias("bw"))
     right = pts.select("id", "owner", "features")
     seeds = (pts.join(bw, on="owner").select("id", "owner", "bw", F.col("features").alias("center"),
@@ -213,15 +253,17 @@ def mean_shift(points: DataFrame, group: str, key: str, bandwidth: DataFrame,
         seeds = moved.where(F.col("__shift") >= F.lit(tol) * F.col("bw")).drop("__shift").checkpoint(eager=True)
         if seeds.isEmpty():
             break
-    centers = seeds if done is None else done.unionByName(seeds)
+    centers = seeds.withColumn("converged", F.lit(False))
+    if done is not None:
+        centers = done.withColumn("converged", F.lit(True)).unionByName(centers)
     centers = centers.checkpoint(eager=True)
 
     # priority: more points within the bandwidth first, then the larger center
     neg = F.transform("center", lambda x: -x)
-    ranked = range_positions(centers.select("id", "owner", "bw", "center", "cnt",
+    ranked = range_positions(centers.select("id", "owner", "bw", "center", "cnt", "converged",
                                             (-F.col("cnt")).alias("__nc"), neg.alias("__nx")),
                              ["owner"], ["__nc", "__nx", "id"]).drop("__nc", "__nx")
-    state = ranked.select("id", "owner", "bw", "center", "cnt", F.col("pos").alias("prio"),
+    state = ranked.select("id", "owner", "bw", "center", "cnt", "converged", F.col("pos").alias("prio"),
                           F.lit(0).alias("status")).checkpoint(eager=True)
     while state.where(F.col("status") == 0).limit(1).count() > 0:
         cand = state.where(F.col("status") == 0)
@@ -241,6 +283,6 @@ def mean_shift(points: DataFrame, group: str, key: str, bandwidth: DataFrame,
     nn = nearest(pts, 1, exclude_self=False, within=True,
                  others=kept.select(F.lpad(F.col("cluster").cast("string"), 10, "0").alias("id"), "owner",
                                     F.col("center").alias("features")))
-    assign = (nn.join(pts.select(F.col("id").alias("id_a"), "owner"), on="id_a")
-              .select(F.col("owner").alias(group), F.col("id_a").alias(key), F.col("id_b").cast("int").alias("cluster")))
-    return assign, kept.select(F.col("owner").alias(group), "cluster", "center", F.col("cnt").alias("intensity"))
+    assign = (nn.join(centers.select(F.col("id").alias("id_a"), "owner", "converged"), on="id_a")
+              .select(F.col("owner").alias(group), F.col("id_a").alias(key), F.col("id_b").cast("int").alias("cluster"), "converged"))
+    return assign, kept.select(F.col("owner").alias(group), "cluster", "center", F.col("cnt").alias("intensity"), "converged")

@@ -976,7 +976,7 @@ def q_meanshift(spark, sf):
     from ctxrec.operators.density import estimate_bandwidth, mean_shift
     pts = _embedding_points(spark, sf)
     a, _ = mean_shift(pts, "label", "vec_id", estimate_bandwidth(pts, "label", "vec_id", 0.3))
-    return a.select(F.col("label").cast("int").alias("label"), F.col("vec_id").cast("bigint").alias("vec_id"), "cluster")
+    return a.select(F.col("label").cast("int").alias("label"), F.col("vec_id").cast("bigint").alias("vec_id"), "cluster", "converged")
 
 
 @query("sweep_meanshift")
@@ -987,7 +987,7 @@ def q_sweep_meanshift(spark, sf):
     out = None
     for q in QUANTILES:
         a, _ = mean_shift(pts, "label", "vec_id", widths.where(F.col("quantile") == q))
-        d = cluster.cluster_distribution(a, "label").select(F.lit(q).alias("quantile"), "label", "cluster", "n")
+        d = cluster.cluster_distribution(a, "label").select(F.lit(q).alias("quantile"), F.col("label").cast("int").alias("label"), "cluster", "n")
         out = d if out is None else out.unionByName(d)
     return out
 

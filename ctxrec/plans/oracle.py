@@ -832,3 +832,44 @@ ap_out AS (SELECT e.grp, e.key, x.id AS exemplar FROM {points} e JOIN ap_x x ON
 
 sql("affinity_propagation", with_ctes(_EMB_PTS, affinity_ctes("emb_pts")) +
     " SELECT grp AS label, key AS vec_id, exemplar FROM ap_out")
+
+# --- 2.12 mean shift, round by round -----------------------------------------------------------------
+
+
+def meanshift_ctes(prefix: str, quantile: float, dims: int = 64, rounds: int = 50) -> str:
+    """CTEs up to ``<prefix>_out`` (label, key, cluster, converged) over ``emb_pts``
+    and the ranked distances ``bd``, ``bn``: every point a seed, kept centers in
+    order of their counts, points to the nearest kept center."""
+    p = prefix
+    mean = ", ".join(f"avg(e.feats[{j + 1}])" for j in range(dims))
+    return f"""
+{p}_bw AS MATERIALIZED (SELECT bd.label, avg(d) AS bw FROM bd JOIN bn ON bd.label = bn.label
+  WHERE r = greatest(1, cast(floor(n * {quantile}) AS bigint)) GROUP BY bd.label),
+{p}_s AS (
+  SELECT 0 AS it, e.grp, e.key, e.feats AS c, 0::BIGINT AS cnt, false AS done, b.bw FROM emb_pts e JOIN {p}_bw b ON b.label = e.grp
+  UNION ALL
+  SELECT it + 1, grp, key, nc, n, sqrt({_sqd('nc', 'c')}) < 1e-3 * bw, bw
+  FROM (SELECT s.it, s.grp, s.key, s.bw, any_value(s.c) AS c, count(*) AS n, [{mean}] AS nc
+        FROM {p}_s s JOIN emb_pts e ON e.grp = s.grp AND sqrt({_sqd('e.feats', 's.c')}) <= s.bw
+        WHERE NOT s.done AND s.it < {rounds} GROUP BY s.it, s.grp, s.key, s.bw)),
+{p}_c AS MATERIALIZED (SELECT grp, key, c, cnt, done, bw,
+    row_number() OVER (PARTITION BY grp ORDER BY cnt DESC, list_transform(c, lambda x: -x), cast(key AS varchar)) AS pos
+  FROM (SELECT * FROM {p}_s QUALIFY row_number() OVER (PARTITION BY grp, key ORDER BY it DESC) = 1)),
+{p}_k AS (
+  SELECT grp, 1::BIGINT AS pos, [c] AS kept FROM {p}_c WHERE pos = 1
+  UNION ALL
+  SELECT k.grp, n.pos, CASE WHEN len(list_filter(k.kept, lambda h: sqrt({_sqd('h', 'n.c')}) <= n.bw)) = 0
+                            THEN list_append(k.kept, n.c) ELSE k.kept END
+  FROM {p}_k k JOIN {p}_c n ON n.grp = k.grp AND n.pos = k.pos + 1),
+{p}_h AS (SELECT grp, unnest(kept) AS c, generate_subscripts(kept, 1) - 1 AS cluster
+  FROM (SELECT * FROM {p}_k QUALIFY row_number() OVER (PARTITION BY grp ORDER BY pos DESC) = 1)),
+{p}_out AS (SELECT e.grp AS label, e.key, cast(h.cluster AS int) AS cluster, m.done AS converged
+  FROM emb_pts e JOIN {p}_h h ON h.grp = e.grp JOIN {p}_c m ON m.grp = e.grp AND m.key = e.key
+  QUALIFY row_number() OVER (PARTITION BY e.grp, e.key ORDER BY round(sqrt({_sqd('e.feats', 'h.c')}), 9), h.cluster) = 1)"""
+
+
+sql("meanshift", _recursive(_EMB_PTS, _BW_PAIRS, meanshift_ctes("ms", 0.3)) +
+    " SELECT label, key AS vec_id, cluster, converged FROM ms_out")
+sql("sweep_meanshift", _recursive(_EMB_PTS, _BW_PAIRS, *[meanshift_ctes(f"m{int(q * 10)}", q) for q in (0.1, 0.3, 0.5, 0.7, 0.9)]) + " " +
+    " UNION ALL ".join(f"SELECT {q} AS quantile, label, cluster, count(*) AS n FROM m{int(q * 10)}_out GROUP BY label, cluster"
+                       for q in (0.1, 0.3, 0.5, 0.7, 0.9)))

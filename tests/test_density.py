@@ -4,7 +4,7 @@ whitening invariant of the text model."""
 import numpy as np
 from pyspark.sql import functions as F
 
-from ctxrec.operators.density import estimate_bandwidth, estimate_bandwidths, mean_shift, ranked_distances
+from ctxrec.operators.density import _BlockCells, estimate_bandwidth, estimate_bandwidths, mean_shift, ranked_distances
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,6 +87,25 @@ def test_several_quantiles_at_once(spark):
     assert estimate_bandwidths(pts.where("false"), "label", "vec_id", [0.1]).count() == 0
 
 
+def test_cells_count_and_sum_as_all_points_do():
+    rng = np.random.default_rng(6)
+    pts = np.concatenate([c + rng.normal(size=(60, 4)) for c in rng.normal(size=(5, 4)) * 6] + [np.zeros((20, 4))])
+    seeds, bw = pts[::3], rng.choice([0.5, 2.0, 5.0, 30.0], len(pts[::3]))
+    for cells in (1, 16, 1000):
+        cnt, total = _BlockCells(pts, cells).within(seeds, bw)
+        near = np.sqrt(((seeds[:, None] - pts[None]) ** 2).sum(-1)) <= bw[:, None]
+        assert (cnt == near.sum(1)).all()
+        assert np.allclose(total, near.astype(float) @ pts)
+
+
+def test_seeds_that_still_move_are_not_converged(spark):
+    pts = _fixture(spark)
+    width = estimate_bandwidth(pts, "label", "vec_id", 0.5)
+    assert {r.converged for r in mean_shift(pts, "label", "vec_id", width, max_iter=1)[0].collect()} == {False}
+    assert {r.converged for r in mean_shift(pts, "label", "vec_id", width)[0].collect()} == {True}
+    assert mean_shift(pts.where("false"), "label", "vec_id", width)[0].count() == 0
+
+
 def test_text_model_whitened(spark):
     from ctxrec.operators.reduce import fit_text_model, text_features
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
