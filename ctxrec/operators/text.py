@@ -85,38 +85,32 @@ def cluster_top_bigrams(docs: DataFrame, cluster: str, key: str, text: str, n: i
     (in ``key`` order) with the best Jaccard association n12 / (n1 + n2 - n12),
     among bigrams seen at least ``min_freq`` times; ties by the words.
 
-    One pass over the texts emits every word (w1, NULL) and every in-document
-    bigram (w1, w2); the bigram across two neighbouring documents joins one
-    document's last word with the next one's first, found by a skew-safe
-    "previous document" lookup. A single partially aggregated count serves
-    both the bigram and the word frequencies.
+    Every word gives one row with the word after it (none for a document's
+    last), so one partially aggregated count, stored for its three readers,
+    serves both the bigrams and the word frequencies. The bigram across two
+    neighbouring documents joins one document's last word with the next one's
+    first, found by a skew-safe "previous document" lookup.
     """
     from ctxrec.operators.features import range_buckets
     from ctxrec.operators.sequence import carry_last
     from ctxrec.operators.topk import top_k
-
-    # the token array is a column of its own: the explode below reads it
-    # several times and must not re-split the text for each read
-    tok = docs.select(cluster, _words(F.col(text)).alias("__t"))
-    t = F.col("__t")
-    words = F.transform(t, lambda x: F.struct(x.alias("w1"), F.lit(None).cast("string").alias("w2")))
-    pairs = F.arrays_zip(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))).alias("w1"),
-                         F.slice(t, 2, F.greatest(F.size(t), F.lit(1))).alias("w2"))
-    pairs = F.filter(pairs, lambda b: b["w2"].isNotNull())
-    units = (tok.select(cluster, F.explode(F.concat(words, pairs)).alias("u"))
-             .select(cluster, "u.w1", "u.w2"))
-
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    ends = docs.select(cluster, key, F.regexp_extract(low, r"^\s*(\S+)", 1).alias("first"),
-                       F.regexp_extract(low, r"(\S+)\s*$", 1).alias("last")).where(F.col("first") != "")
+    from ctxrec.sources.store import materialised
+
+    # the token array is a column of its own: it is read several times and must
+    # not be split from the text for each read
+    tok = docs.select(cluster, key, _words(F.col(text)).alias("__t")).where(F.size("__t") > 0)
+    units = (tok.select(cluster, "__t", F.posexplode("__t").alias("__p", "w1"))
+             .select(cluster, "w1", F.get("__t", F.col("__p") + 1).alias("w2"), F.lit(1).alias("word")))
+    ends = tok.select(cluster, key, F.get("__t", F.lit(0)).alias("first"), F.element_at("__t", -1).alias("last"))
     ends = carry_last(range_buckets(ends, [cluster], [key]), [cluster], [key], "__rp",
                       {"__prev": (F.lit(True), F.col("last"))})
     border = ends.where(F.col("__prev").isNotNull()).select(
-        cluster, F.col("__prev.v").alias("w1"), F.col("first").alias("w2"))
+        cluster, F.col("__prev.v").alias("w1"), F.col("first").alias("w2"), F.lit(0).alias("word"))
 
-    counts = units.unionByName(border).groupBy(cluster, "w1", "w2").agg(F.count(F.lit(1)).alias("n"))
-    bigrams = counts.where(F.col("w2").isNotNull() & (F.col("n") >= min_freq)).withColumnRenamed("n", "n12")
-    word = counts.where(F.col("w2").isNull())
+    counts = materialised(units.unionByName(border).groupBy(cluster, "w1", "w2").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("word").alias("words")), "bigram-counts")
+    bigrams = counts.where(F.col("w2").isNotNull() & (F.col("n") >= min_freq)).select(cluster, "w1", "w2", F.col("n").alias("n12"))
+    word = counts.groupBy(cluster, "w1").agg(F.sum("words").alias("n"))
     w1 = word.select(cluster, "w1", F.col("n").alias("n1"))
     w2 = word.select(cluster, F.col("w1").alias("w2"), F.col("n").alias("n2"))
     scored = (bigrams.join(w1, on=[cluster, "w1"]).join(w2, on=[cluster, "w2"])
