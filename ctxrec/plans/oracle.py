@@ -873,3 +873,5 @@ sql("meanshift", _recursive(_EMB_PTS, _BW_PAIRS, meanshift_ctes("ms", 0.3)) +
 sql("sweep_meanshift", _recursive(_EMB_PTS, _BW_PAIRS, *[meanshift_ctes(f"m{int(q * 10)}", q) for q in (0.1, 0.3, 0.5, 0.7, 0.9)]) + " " +
     " UNION ALL ".join(f"SELECT {q} AS quantile, label, cluster, count(*) AS n FROM m{int(q * 10)}_out GROUP BY label, cluster"
                        for q in (0.1, 0.3, 0.5, 0.7, 0.9)))
+
+ORACLE["persist_features"] = ORACLE["context_features"]  # what is reloaded equals what is computed

@@ -33,8 +33,9 @@ def save_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def cached_table(spark: SparkSession, path: str, build) -> DataFrame:
-    """Reuse a written feature table if present, else build and write it."""
-    if _exists(spark, path):
+    """Reuse a wholly written feature table if present, else build and write it
+    (a table whose writing was cut off has no success mark and is built anew)."""
+    if _exists(spark, os.path.join(path, "_SUCCESS")):
         return spark.read.parquet(path)
     save_table(build(), path)
     return spark.read.parquet(path)
