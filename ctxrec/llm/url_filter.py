@@ -6,7 +6,9 @@ pattern (``^casino^``) in which ``^`` stands for a separator or an end and
 that fewest URLs of the table hold (counted over the whole table), a URL's
 tokens fetch the rules filed under them, and only those run their regular
 expression. The index is a hashed array inside the plan, so a URL is judged in
-one pass without a shuffle and without Python.
+one pass without a shuffle and without Python. A list of more than PLAN_RULES
+rules is a table instead, joined with the tokens of the distinct (host, path)
+pairs; the results are the same. URLs of any length are judged whole.
 
 Verdict: the longest fitting host rule decides (equal lengths: the rule string
 that sorts last); else a fitting pattern (allow patterns before block
@@ -58,8 +60,8 @@ BLOCK_WORDS = ("casino bets betting poker gambling jackpot pills viagra cialis p
 DEFAULT_RULES = HOST_RULES + [pattern_rule("block", f"^{w}^") for w in BLOCK_WORDS] + [
     pattern_rule("allow", "^adult-education^"), pattern_rule("allow", "^spam-filter^")]
 
-#: rules live in the plan, so their number is checked
-MAX_RULES = 20_000
+#: up to so many rules live in the plan, longer lists in a table
+PLAN_RULES = 20_000
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
@@ -94,16 +96,19 @@ def _tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.split(lower_ascii(F.concat(host, path)), "[^a-z0-9]+"))
 
 
-def token_counts(urls: DataFrame, rules: list[Rule], url_col: str = "url") -> dict[str, int]:
+def token_counts(urls: DataFrame, rules: list[Rule], url_col: str = "url", plan_rules: int = PLAN_RULES) -> dict[str, int]:
     """URLs that hold each token of the rules. The result has at most one row
     per token of the rule list, however many URLs there are."""
     wanted = sorted({t for r in rules for t in rule_tokens(r)})
     if not wanted:
         return {}
     host, path = url_parts(F.col(url_col))
-    rows = (urls.select(F.explode(F.array_intersect(_tokens(host, path), F.array(*map(F.lit, wanted)))).alias("token"))
-            .groupBy("token").count().collect())
-    return {r["token"]: r["count"] for r in rows}
+    if len(rules) <= plan_rules:
+        held = urls.select(F.explode(F.array_intersect(_tokens(host, path), F.array(*map(F.lit, wanted)))).alias("token"))
+    else:
+        known = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
+        held = urls.select(F.explode(_tokens(host, path)).alias("token")).join(known, "token", "left_semi")
+    return {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
 
 
 def build_index(rules: list[Rule], counts: dict[str, int]) -> dict[str, list[Rule]]:
@@ -119,14 +124,18 @@ def _bucket(text: str, buckets: int) -> int:
     return int.from_bytes(hashlib.sha256(text.encode()).digest()[:4], "big") % buckets
 
 
-def judge_urls(urls: DataFrame, rules: list[Rule] | None = None, id_col: str = "page_id",
-               url_col: str = "url") -> DataFrame:
-    """One row per URL: id, host, path, rule (the host rule that decided, else
-    null), verdict, pattern (the pattern that decided, else null)."""
-    rules = DEFAULT_RULES if rules is None else rules
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the index in the plan holds {MAX_RULES}")
-    index = build_index(rules, token_counts(urls, rules, url_col))
+def _host_order(r) -> Column:
+    """The host rule that decides is the largest of these."""
+    return F.struct(F.length(r["text"]).alias("size"), r["text"].alias("text"), r["action"].alias("action"))
+
+
+def _pattern_order(r) -> Column:
+    """The pattern that decides is the smallest of these."""
+    return F.struct(r["action"].alias("action"), (-F.length(r["text"])).alias("size"), r["text"].alias("text"))
+
+
+def _fits_in_plan(base: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
+    """Adds ``_rule`` and ``_pattern`` by the index as a hashed array of the plan."""
     buckets = 1
     while buckets < 2 * len(index):
         buckets *= 2
@@ -139,18 +148,40 @@ def judge_urls(urls: DataFrame, rules: list[Rule] | None = None, id_col: str = "
     filed = F.from_json(F.lit(json.dumps(table)), f"array<array<{row}>>")
     bucket = lambda t: (F.conv(F.substring(F.sha2(t.cast("binary"), 256), 1, 8), 16, 10).cast("long")
                         % buckets).cast("int")
-    host, path = url_parts(F.col(url_col))
-    base = urls.select(F.col(id_col), host.alias("host"), path.alias("path"))
     tokens = F.array_distinct(F.concat(F.array(F.lit("")), _tokens(F.col("host"), F.col("path"))))
     fetched = F.flatten(F.transform(tokens, lambda t: F.filter(F.get(filed, bucket(t)), lambda r: r["token"] == t)))
     fits = F.filter(fetched, lambda r: F.rlike(F.concat("host", "path"), r["regex"]))
-    best = base.withColumn("_fits", fits).select(
-        id_col, "host", "path",
-        F.array_max(F.transform(F.filter("_fits", lambda r: r["kind"] == "host"), lambda r: F.struct(
-            F.length(r["text"]).alias("size"), r["text"].alias("text"), r["action"].alias("action")))).alias("_rule"),
-        F.array_min(F.transform(F.filter("_fits", lambda r: r["kind"] == "pattern"), lambda r: F.struct(
-            r["action"].alias("action"), (-F.length(r["text"])).alias("size"), r["text"].alias("text"))))
-        .alias("_pattern"))
+    return base.withColumn("_fits", fits).select(
+        *base.columns,
+        F.array_max(F.transform(F.filter("_fits", lambda r: r["kind"] == "host"), _host_order)).alias("_rule"),
+        F.array_min(F.transform(F.filter("_fits", lambda r: r["kind"] == "pattern"), _pattern_order)).alias("_pattern"))
+
+
+def _fits_by_join(base: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
+    """The same by a table of rules, joined with the tokens of each distinct (host, path)."""
+    table = base.sparkSession.createDataFrame(
+        [(token, rule_regex(r), r.kind, r.action, r.text) for token, filed in index.items() for r in filed],
+        "token string, regex string, kind string, action string, text string")
+    places = base.select("host", "path").distinct()
+    tokens = F.array_distinct(F.concat(F.array(F.lit("")), _tokens(F.col("host"), F.col("path"))))
+    fits = places.select("host", "path", F.explode(tokens).alias("token")).join(table, "token").where(
+        F.rlike(F.concat("host", "path"), F.col("regex")))
+    r = {c: F.col(c) for c in ("text", "action")}
+    best = fits.groupBy(F.col("host").alias("_h"), F.col("path").alias("_p")).agg(
+        F.max(F.when(F.col("kind") == "host", _host_order(r))).alias("_rule"),
+        F.min(F.when(F.col("kind") == "pattern", _pattern_order(r))).alias("_pattern"))
+    return base.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").select(*base.columns, "_rule", "_pattern")
+
+
+def judge_urls(urls: DataFrame, rules: list[Rule] | None = None, id_col: str = "page_id",
+               url_col: str = "url", plan_rules: int = PLAN_RULES) -> DataFrame:
+    """One row per URL: id, host, path, rule (the host rule that decided, else
+    null), verdict, pattern (the pattern that decided, else null)."""
+    rules = DEFAULT_RULES if rules is None else rules
+    index = build_index(rules, token_counts(urls, rules, url_col, plan_rules))
+    host, path = url_parts(F.col(url_col))
+    base = urls.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    best = _fits_in_plan(base, index) if len(rules) <= plan_rules else _fits_by_join(base, index)
     return best.select(
         id_col, "host", "path", F.col("_rule.text").alias("rule"),
         F.coalesce("_rule.action", "_pattern.action", F.lit("allow")).alias("verdict"),

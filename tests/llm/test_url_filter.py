@@ -57,3 +57,16 @@ def test_many_rules(spark):
     rules = [host_rule("block", f"host{i}.net/p{i}/") for i in range(500)] + DEFAULT_RULES
     urls = spark.createDataFrame([(i, f"http://www.host{i}.net/p{i}/x") for i in range(0, 500, 50)], "page_id long, url string")
     assert {r.rule for r in judge_urls(urls, rules).collect()} == {f"host{i}.net/p{i}/" for i in range(0, 500, 50)}
+
+
+def test_a_long_list_in_a_table_gives_the_same(spark):
+    """Beyond ``plan_rules`` the index is a table; also with rules without a token and very many rules."""
+    df = spark.createDataFrame([(i, u, "r", "v") for i, u in URLS], "page_id long, url string, rule string, verdict string")
+    rules = DEFAULT_RULES + [pattern_rule("block", "*ino-w*"), pattern_rule("allow", "^1^"), host_rule("block", "org/")]
+    plain = sorted(map(str, judge_urls(df, rules).collect()))
+    joined = judge_urls(df, rules, plan_rules=3)
+    assert joined.columns == judge_urls(df, rules).columns
+    assert sorted(map(str, joined.collect())) == plain
+    assert judge_urls(df.where("false"), rules, plan_rules=3).count() == 0
+    many = rules + [host_rule("block", f"host{i}.net/") for i in range(25_000)]
+    assert sorted(map(str, judge_urls(df, many).collect())) == plain
