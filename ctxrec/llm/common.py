@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -57,6 +58,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished work: its cleaner acts on
+    what the driver's JVM has collected, by itself every 30 minutes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 BROADCAST_BYTES = 32 << 20
 
 
