@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+import weakref
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -55,7 +56,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = remove_at_exit(spark, scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}"))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing lazy needs any more: all that was made
+    from them is itself stored."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
