@@ -24,6 +24,23 @@ def test_weights_have_unit_norm(spark):
         assert math.isclose(sum(w * w for (i, _), w in got.items() if i == d), 1.0)
 
 
+def test_user_text_holds_viewed_and_own_documents(spark):
+    from ctxrec.operators import text
+    docs = spark.createDataFrame([("p1", "aa bb aa"), ("p2", "bb"), ("p2", "cc"), ("p3", None)], "url string, content string")
+    pairs = spark.createDataFrame([("u", "p1"), ("u", "p2"), ("v", "p2"), ("v", "p3"), ("w", "p4")], "username string, url string")
+    by_pages = text.group_term_counts(term_counts(docs, ["url"]), pairs, ["url"], ["username"])
+    got = text.grouped_text_terms(docs, pairs, ["url"], ["username"])
+    rows = lambda df: {(r.username, r.term, r.tf) for r in df.collect()}
+    assert rows(got) == rows(by_pages) == {("u", "aa", 2), ("u", "bb", 2), ("u", "cc", 1), ("v", "bb", 1), ("v", "cc", 1)}
+
+
+def test_user_keys_hold_viewed_and_own_documents(spark):
+    import __spark_entry__ as E
+    for key in ("user_documents", "user_text"):
+        names = {r.username[0] for r in E.queries()[key](spark, "/root/testdata/sf0.001").select("username").distinct().collect()}
+        assert names == {"u", "s"}  # users of the events, sources of the documents
+
+
 def test_lda_uses_every_term(spark):
     checkpoint_dir(spark)
     docs = spark.createDataFrame([(i, f"common word{i} rare{i} " + "left right " * (1 + i % 2)) for i in range(30)],
