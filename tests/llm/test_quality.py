@@ -71,3 +71,29 @@ def test_extreme_in_one_statistic(spark, make_docs):
     got = {r.doc_id: r for r in Q.quality_rules(docs.unionByName(make_docs(rows).select("doc_id", "text")), labels)
            .where("doc_id > 900000").collect()}
     assert len(got) == 3 and not any(r.base_failed or r.kept for r in got.values())
+
+
+def test_every_labelled_row_counts(spark):
+    """Shares and threshold equal those of plain sums over all rows, however many."""
+    from ctxrec.session import checkpoint_dir, ship_package
+    checkpoint_dir(spark), ship_package(spark)
+    assert not hasattr(Q, "SAMPLE")
+    rng = np.random.default_rng(4)
+    n = 9000
+    x = np.round(rng.random((n, 7)), 3)
+    x[:, 1] = 0.0
+    good = rng.random(n) < 0.8
+    x[~good, 0] = np.minimum(x[~good, 0] + 0.3, 1.0)
+    rows = spark.createDataFrame([(int(k), bool(g), *map(float, r)) for k, (g, r) in enumerate(zip(good, x))],
+                                 "key long, good boolean, " + ", ".join(f"{c} double" for c in Q.RATIOS)).repartition(5)
+    auc = [((x[~good, f][:, None] > x[good, f]).sum() + (x[~good, f][:, None] == x[good, f]).sum() / 2) / good.sum() / (~good).sum()
+           for f in range(7)]
+    share = (2 * np.array(auc) - 1) ** 8
+    assert np.allclose(Q.separation(rows, int(good.sum()), int((~good).sum())), share / share.sum())
+    parts = Q.draws(rows, 256, 7, int(good.sum()), int((~good).sum()))
+    assert len(parts) == Q.TREES and {p.shape for p in parts} == {(256, 7)}
+    assert len({tuple(r) for p in parts for r in p}) > 6500  # far more rows than one draw holds
+    scores = rows.selectExpr("good", "x0 score")
+    g = np.sort(x[good, 0])[::-1][int(Q.MAX_GOOD_LOSS * good.sum())]
+    beyond = x[~good, 0][x[~good, 0] > g]
+    assert Q.calibrate(scores, int(good.sum())) == (np.inf if not len(beyond) else (g + beyond.min()) / 2)
