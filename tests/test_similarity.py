@@ -79,3 +79,27 @@ def test_bounds_keep_every_neighbour(spark):
     at = {r[0]: i for i, r in enumerate(rows)}
     for a, b, _, _ in brute(rows, 3, metric="manhattan"):
         assert touched[at[b], cell[at[a]]]
+
+
+def test_points_without_structure_travel_once_a_block(spark):
+    checkpoint_dir(spark)
+    rng = np.random.default_rng(6)
+    n = 4000
+    pts = S._space(frame(spark, [(f"p{i}", "o", [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(n, 24)))]), "euclidean").checkpoint()
+    cells = S.build_cells(pts, pts, n, 5, 1, "euclidean", 64)
+    _, _, copies = S.cell_blocks(pts, pts, cells, 1000)
+    assert len(cells.pivots) == 63 and copies <= 8 * n  # one copy a cell before: up to 63 of each
+
+
+def test_bounded_pairs_equal_measured_ones():
+    """The matrix product only picks pairs: far from the origin, with ties and copies."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(400, 5)), 2) + 1e4
+    x[50:90] = x[0]
+    out = np.zeros((400, 400), dtype=bool)
+    np.fill_diagonal(out, True)
+    a, b, d = S._excluded_knn(x, x, 6, "euclidean", lambda rows: out[rows])
+    want = np.round(S._block_dist(x, x, "euclidean"), 9)
+    want[out] = np.inf
+    near = np.argsort(want, axis=1, kind="stable")[:, :6]
+    assert (b.reshape(400, 6) == near).all() and (d.reshape(400, 6) == np.take_along_axis(want, near, axis=1)).all()
