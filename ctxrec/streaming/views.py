@@ -1,9 +1,9 @@
 """Streaming event -> view conversion, ordered by event time.
 
-Micro-batches may bring a tab's events in any order. Each tab's state holds
-the events that the watermark has not passed yet, and a small carried row; once
-the watermark passes events, they are applied in (ts_ms, event_id) order with
-whole-column steps (the same "previous row" rules as the batch operator
+Micro-batches may bring a tab's events in any order. The state (one for a
+bucket of tabs) holds of each tab the events that the watermark has not passed
+yet, and a small carried row; once the watermark passes events, they are applied
+in (ts_ms, event_id) order (the same "previous row" rules as the batch operator
 :func:`ctxrec.operators.views.events_to_views`). So the views equal the batch
 form's for every order of arrival within ``delay_ms``; events behind the
 watermark of the batch before theirs are late and dropped by Spark. A tab without events for ``idle_ms`` (event
@@ -29,15 +29,41 @@ from ctxrec.operators.views import ENDERS, STARTERS
 
 OUT_SCHEMA = ("view_id long, url string, username string, duration long, lat double, lon double, "
               "ts_ms long, parent string, tab_id string, end_event_id long")
-STATE_SCHEMA = "waiting string, carried string"
+STATE_SCHEMA = "tabs string"  # [tab, waiting events, carried row] of each tab
 FIELDS = ["event_id", "type", "url", "ts_ms", "username", "lat", "lon"]
 DAY_MS = 86_400_000
 DEFAULT_DELAY_MS = 3_600_000
 DEFAULT_IDLE_MS = 30 * DAY_MS
 MARKER_TAB = "__end_of_input__"
+#: groups of tabs that share a state (a call costs milliseconds, however few its events)
+TAB_BUCKETS = 4096
 
 #: the row before a tab's first event
 _FRESH = {"row": dict.fromkeys(FIELDS), "ready_url": None, "parent": None}
+_TYPE, _URL, _TS = (FIELDS.index(c) for c in ("type", "url", "ts_ms"))
+VIEW_COLUMNS = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
+
+
+def _rows(events: pd.DataFrame) -> list[tuple]:
+    """The events' ``FIELDS`` as plain tuples, missing values as None."""
+    return list(zip(*([None if v is None or v != v else v for v in events[c].tolist()] for c in FIELDS)))
+
+
+def _apply(ordered: list[tuple], carried: dict, tab: str | None = None) -> tuple[list[tuple], dict]:
+    """Views (``VIEW_COLUMNS``) that the ordered events of one tab close, and
+    the row to carry on: a few steps an event, as a tab has few in a batch."""
+    previous = tuple(carried["row"][c] for c in FIELDS)
+    ready_url, parent, views = carried["ready_url"], carried["parent"], []
+    for row in ordered:
+        if row[_TYPE] == "ready":
+            parent = ready_url or parent
+            ready_url = row[_URL] or ""
+        elif row[_TYPE] in ENDERS and previous[_TYPE] in STARTERS:
+            event_id, _, url, ts_ms, username, lat, lon = previous
+            views.append((event_id, url, username, (row[_TS] - ts_ms) // 1000, lat, lon, ts_ms, parent, tab, row[0]))
+            parent = None
+        previous = row
+    return views, {"row": dict(zip(FIELDS, previous)), "ready_url": ready_url, "parent": parent}
 
 
 def apply_events(ordered: pd.DataFrame, carried: dict) -> tuple[pd.DataFrame, dict]:
@@ -46,75 +72,55 @@ def apply_events(ordered: pd.DataFrame, carried: dict) -> tuple[pd.DataFrame, di
     The carried row stands in front of the events: its type and fields answer
     for "the previous row", ``ready_url`` for "the url of the previous ready",
     ``parent`` for the parent found since the last emitted view."""
-    before = pd.DataFrame([carried["row"]], columns=FIELDS).astype(object)
-    seq = pd.concat([before, ordered[FIELDS].astype(object)], ignore_index=True)
-    previous = seq.shift(1)
-    is_ready = seq["type"] == "ready"
-    is_ready.iloc[0] = False
-    ready_url = seq["url"].where(seq["url"].notna(), "").where(is_ready)
-    ready_url.iloc[0] = carried["ready_url"]
-    last_ready = ready_url.ffill()
-    earlier_ready = last_ready.shift(1)
-    emits = seq["type"].isin(ENDERS) & previous["type"].isin(STARTERS)
-    emits.iloc[0] = False
-    found = earlier_ready.where(is_ready & earlier_ready.notna() & (earlier_ready != ""))
-    found.iloc[0] = carried["parent"]
-    stretch = emits.astype(int).cumsum().shift(1, fill_value=0)
-    parent = found.groupby(stretch).ffill()
-    out = pd.DataFrame({
-        "view_id": previous["event_id"], "url": previous["url"], "username": previous["username"],
-        "duration": None, "lat": previous["lat"], "lon": previous["lon"], "ts_ms": previous["ts_ms"],
-        "parent": parent, "tab_id": None, "end_event_id": seq["event_id"]})[emits]
-    if len(out):
-        out["duration"] = (seq.loc[emits, "ts_ms"].astype("int64") - out["ts_ms"].astype("int64")) // 1000
-    clean = lambda v: None if pd.isna(v) else v
-    row = {c: clean(seq[c].iloc[-1]) for c in FIELDS}
-    carry = {"row": row, "ready_url": clean(last_ready.iloc[-1]),
-             "parent": None if emits.iloc[-1] else clean(parent.iloc[-1])}
-    return out, carry
+    views, carried = _apply(_rows(ordered), carried)
+    return pd.DataFrame(views, columns=VIEW_COLUMNS, dtype=object), carried
 
 
 def _converter(idle_ms: int):
     def convert(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, carried = state.get if state.exists else ("[]", json.dumps(_FRESH))
-        carried = json.loads(carried)
-        parts = [pd.DataFrame(json.loads(waiting), columns=FIELDS)]
+        tabs = {tab: ([tuple(e) for e in waiting], carried)
+                for tab, waiting, carried in json.loads(state.get[0] if state.exists else "[]")}
         if not state.hasTimedOut:
-            parts += [b[FIELDS] for b in batches]
-        events = pd.concat([p for p in parts if len(p)], ignore_index=True) if any(map(len, parts)) else parts[0]
+            for b in batches:
+                for tab, event in zip(b["tab_id"].tolist(), _rows(b)):
+                    tabs.setdefault(tab, ([], _FRESH))[0].append(event)
         passed = state.getCurrentWatermarkMs()
-        due = events["ts_ms"].astype("int64") < passed
-        rest = events[~due]
-        if due.any():
-            views, carried = apply_events(events[due].sort_values(["ts_ms", "event_id"]), carried)
-            if len(views):
-                yield views.assign(tab_id=key[0])
-        if not len(rest):
-            last = carried["row"]["ts_ms"]
-            if last is None or last + idle_ms < passed:
-                if state.exists:
-                    state.remove()
-                return
-            wake = last + idle_ms + 1
-        else:
-            wake = int(rest["ts_ms"].min()) + 1
-        state.update((rest.to_json(orient="values", double_precision=15), json.dumps(carried, default=_plain)))
-        state.setTimeoutTimestamp(max(wake, passed + 1))
+        kept, views, wake = [], [], None
+        for tab, (events, carried) in tabs.items():
+            rest = [e for e in events if e[_TS] >= passed]
+            if len(rest) < len(events):
+                due = sorted((e for e in events if e[_TS] < passed), key=lambda e: (e[_TS], e[0] is None, e[0] or 0))
+                found, carried = _apply(due, carried, tab)
+                views += found
+            if rest:
+                at = min(e[_TS] for e in rest)
+            else:
+                at = carried["row"]["ts_ms"]
+                if at is None or at + idle_ms < passed:
+                    continue
+                at += idle_ms
+            kept.append((tab, rest, carried))
+            wake = at + 1 if wake is None else min(wake, at + 1)
+        if views:
+            yield pd.DataFrame(views, columns=VIEW_COLUMNS, dtype=object)
+        if kept:
+            state.update((json.dumps(kept),))
+            state.setTimeoutTimestamp(max(wake, passed + 1))
+        elif state.exists:
+            state.remove()
     return convert
 
 
-def _plain(v):
-    return v.item()
-
-
-def stream_views(events: DataFrame, delay_ms: int = DEFAULT_DELAY_MS, idle_ms: int = DEFAULT_IDLE_MS) -> DataFrame:
+def stream_views(events: DataFrame, delay_ms: int = DEFAULT_DELAY_MS, idle_ms: int = DEFAULT_IDLE_MS,
+                 buckets: int = TAB_BUCKETS) -> DataFrame:
     """Streaming events (engine schema) -> streaming views."""
     from ctxrec.session import ship_package
 
     ship_package(events.sparkSession)
     ev = (events.where(F.col("type").isin(*STARTERS, *ENDERS)).withColumn("__et", F.timestamp_millis("ts_ms"))
-          .withWatermark("__et", f"{delay_ms} milliseconds").select("tab_id", *FIELDS, "__et"))
-    views = ev.groupBy("tab_id").applyInPandasWithState(
+          .withWatermark("__et", f"{delay_ms} milliseconds").select("tab_id", *FIELDS, "__et")
+          .withColumn("__bucket", F.pmod(F.xxhash64("tab_id"), F.lit(buckets))))
+    views = ev.groupBy("__bucket").applyInPandasWithState(
         _converter(idle_ms), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     return (views.withColumn("daytime", hour_of_ms("ts_ms")).withColumn("weekday", weekday_of_ms("ts_ms"))
             .withColumn("feedback", F.lit("none")))

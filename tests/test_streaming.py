@@ -60,3 +60,42 @@ def test_late_events_are_dropped(spark, tmp_path):
     stream = spark.readStream.schema(early.schema).option("maxFilesPerTrigger", "1").parquet(f"{base}/in")
     V.start_views(stream, f"{base}/out", f"{base}/check", delay_ms=hour).awaitTermination()
     assert sorted(r.url for r in spark.read.parquet(f"{base}/out").collect()) == ["a", "b", "c"]
+
+
+class _State:
+    """A group's state outside Spark."""
+
+    def __init__(self, watermark):
+        self.watermark, self.value, self.hasTimedOut = watermark, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.value = value
+
+    def setTimeoutTimestamp(self, at):
+        self.wakes = at
+
+    def remove(self):
+        self.value = None
+
+
+def test_tabs_share_a_call_and_wait_with_all_digits():
+    """A call serves all tabs of its group; waiting events keep their values."""
+    lat, tabs = 0.1 + 0.2, ["a", "b", None]
+    row = {"username": "u", "lat": lat, "lon": float("nan")}
+    batch = pd.DataFrame([{"tab_id": t, "event_id": 2 * i + e, "type": ty, "url": f"{t}", "ts_ms": 1000 * e, **row}
+                          for i, t in enumerate(tabs) for e, ty in enumerate(["ready", "close"])])
+    state, convert = _State(0), V._converter(10_000)
+    assert list(convert((7,), iter([batch]), state)) == []
+    state.watermark, state.hasTimedOut = 5_000, True
+    views = pd.concat(convert((7,), iter([]), state))
+    assert sorted(map(str, views["tab_id"])) == ["None", "a", "b"]
+    assert views["lat"].tolist() == [lat] * 3 and views["lon"].tolist() == [None] * 3
+    assert state.wakes == 11_001
+    state.watermark = 20_000
+    assert list(convert((7,), iter([]), state)) == [] and not state.exists
