@@ -100,3 +100,39 @@ def test_learned_ranks_cover_unrated_urls(spark):
     got = learned.collect()
     assert {(x.username, x.url) for x in got} == want
     assert all(0 <= x.score <= 5 for x in got)
+
+
+def test_kmeans_odd_points_and_many_groups(spark):
+    """Nulls, NaN, copies, null groups and groups of more than a block: each
+    point's cluster is the one SQL's order gives, whether the centers are sent
+    or shuffled."""
+    rng = np.random.default_rng(3)
+    nan = float("nan")
+    rows = [(None, 0, [1.0, 2.0]), ("a", 1, [0.0, 0.0]), ("a", 2, [nan, 0.0]), ("a", 3, [1.0, None]), ("a", 4, None),
+            ("a", 4, None), ("a", 5, [5.0, 5.0]), ("a", 6, [5.0, 5.0]), ("c", 1, None), ("d", None, [1.0, 1.0])]
+    rows += [("b", i, [float(x) for x in rng.integers(0, 40, 2) / 4]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k int, features array<double>")
+    for k in (4,):
+        sent = cluster.grouped_kmeans(df, "g", "k", k, iterations=3)
+        old, cluster.SENT_BYTES = cluster.SENT_BYTES, 0
+        try:
+            moved = cluster.grouped_kmeans(df, "g", "k", k, iterations=3)
+        finally:
+            cluster.SENT_BYTES = old
+        got = [sorted(map(str, a.collect())) for a, _ in (sent, moved)]
+        assert got[0] == got[1] and len(got[0]) == len(rows) - 1
+        a, centers = sent
+        pts = df.join(centers.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("cluster", "center"))).alias("c")), "g")
+        best = F.array_min(F.transform("c", lambda c: F.struct(
+            F.round(cluster.sq_dist(F.col("features"), c["center"]), 9).alias("d"), c["cluster"].alias("cluster"))))
+        want = pts.select("g", "k", best["cluster"].alias("cluster"), best["d"].alias("sq_dist"))
+        assert sorted(map(str, want.collect())) == got[0]
+
+
+def test_kmeans_sends_no_growing_table(spark):
+    """Centers of many groups meet their points by a shuffle, not on the driver."""
+    df = spark.range(60_000).select((F.col("id") % 20_000).alias("g"), F.col("id").alias("k"),
+                                    F.array(F.col("id").cast("double"), F.lit(1.0)).alias("features"))
+    a, _ = cluster.grouped_kmeans(df, "g", "k", 3, iterations=1)
+    assert "BroadcastHashJoin" not in a._jdf.queryExecution().executedPlan().toString()
+    assert a.select("cluster").distinct().count() == 3
