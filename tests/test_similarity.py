@@ -103,3 +103,22 @@ def test_bounded_pairs_equal_measured_ones():
     want[out] = np.inf
     near = np.argsort(want, axis=1, kind="stable")[:, :6]
     assert (b.reshape(400, 6) == near).all() and (d.reshape(400, 6) == np.take_along_axis(want, near, axis=1)).all()
+
+
+@pytest.mark.parametrize("within,own", [(True, False), (False, False), (False, True)])
+def test_all_pairs_leaves_no_partner_out(spark, within, own):
+    """Every partner, beyond any number of nearest ones, in several blocks."""
+    rng = np.random.default_rng(8)
+    rows = [(f"p{i:02d}", f"o{i % 3}", [float(v) for v in r]) for i, r in enumerate(np.round(rng.normal(size=(50, 3)), 1))]
+    got = S.all_pairs(frame(spark, rows), exclude_same_owner=own, within=within, pairs=60).collect()
+    want = []
+    for a, oa, x in rows:
+        near = sorted((float(np.round(np.sqrt(((np.array(x) - y) ** 2).sum()), 9)), b) for b, ob, y in rows
+                      if a != b and (ob == oa or not within) and (ob != oa or not own))
+        want += [(a, b, d, r) for r, (d, b) in enumerate(near, 1)]
+    assert sorted((r.id_a, r.id_b, r.distance, r["rank"]) for r in got) == sorted(want)
+
+
+def test_all_pairs_of_no_points(spark):
+    assert S.all_pairs(frame(spark, [("a", "o", [1.0])]).where("false")).count() == 0
+    assert S.all_pairs(frame(spark, [("a", "o", [1.0])])).count() == 0
