@@ -83,3 +83,22 @@ def test_empty_and_equal_points(spark):
     got = A.affinity_propagation(df, "g", "key", rounds=5).collect()
     assert len(got) == 5 and len({r.exemplar for r in got}) == 1
     assert A.affinity_propagation(df.where("false"), "g", "key", rounds=2).count() == 0
+
+
+@pytest.mark.parametrize("cells", [50, 1 << 20])
+def test_all_points_are_candidates(spark, monkeypatch, cells):
+    """A group of more points than any number of neighbours, in one block or many."""
+    monkeypatch.setattr(A, "CELLS", cells)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 2)) * 3
+    df = spark.createDataFrame([("a", i, [float(v) for v in r]) for i, r in enumerate(x)] + [("b", 60, [0.0, 0.0])], SCHEMA)
+    s = -np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 9) ** 2
+    off = np.sort(s[~np.eye(60, dtype=bool)])
+    np.fill_diagonal(s, off[(len(off) + 1) // 2 - 1])
+    r, a = dense(s, 9, A.DAMPING)
+    got = {r.id: r.e for r in A.dense_scores(df, "g", "key", rounds=9).collect()}
+    assert np.allclose([got[str(i)] for i in range(60)], np.diag(r + a), atol=1e-8)
+    heads = np.flatnonzero(np.round(np.diag(r + a), 9) > 0)
+    heads = heads if len(heads) else [np.argmax(np.diag(r + a))]
+    out = {r.key: r.exemplar for r in A.affinity_propagation(df, "g", "key", rounds=9).collect()}
+    assert [out[i] for i in range(60)] == [str(heads[np.argmax(s[i, heads] * (heads != i))]) for i in range(60)] and out[60] == "60"
