@@ -122,3 +122,44 @@ def test_all_pairs_leaves_no_partner_out(spark, within, own):
 def test_all_pairs_of_no_points(spark):
     assert S.all_pairs(frame(spark, [("a", "o", [1.0])]).where("false")).count() == 0
     assert S.all_pairs(frame(spark, [("a", "o", [1.0])])).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "pearson"])
+@pytest.mark.parametrize("far", [0.0, 3e3])
+def test_single_precision_only_picks_pairs(monkeypatch, metric, far):
+    """Several blocks of columns, ties, copies and points that single precision cannot tell apart."""
+    monkeypatch.setattr(S, "SINGLE", (16, 64))
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(500, 6)), 2) + far
+    x[100:160] = x[3]
+    x[200:400] = x[7] + rng.normal(size=(200, 6)) * 1e-6
+    out = rng.random((500, 500)) < 0.1
+    a, b, d = S._excluded_knn(x, x, 5, metric, lambda rows: out[rows])
+    one = S._bounded_knn(x, x, 5, metric, lambda rows: out[rows])
+    assert all((p == q).all() for p, q in zip((a, b, d), one))
+    picked = [i is not None for *_, i, _ in S._candidates(x, x, 5, metric, lambda rows: np.nonzero(out[rows].T)[::-1])]
+    assert any(picked)
+
+
+def test_bounds_of_pivots_hold():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(300, 5)) + 100
+    x[50:60] = x[0]
+    cells = S.Cells(np.concatenate((x[:20], x[:1])), "euclidean")
+    low, high, own = cells.bounds(pd.DataFrame({"space": list(x)}))
+    t = cells.distances(pd.DataFrame({"space": list(x)}))
+    assert (low <= t).all() and (t <= high).all() and (own == t.argmin(axis=1)).all()
+    assert (high - low).max() < 1e-3
+
+
+def test_points_of_one_vector_are_searched_for_once(spark, monkeypatch):
+    """Many points of few vectors: few pairs meet, and the answers are those of all pairs."""
+    rng = np.random.default_rng(11)
+    kinds = np.round(rng.normal(size=(12, 4)), 1)
+    rows = [(f"p{i:03d}", f"o{i // 4}", [float(v) for v in kinds[rng.integers(12)]]) for i in range(400)]
+    seen = []
+    searched = S._nearest
+    monkeypatch.setattr(S, "_nearest", lambda left, right, *a: seen.append((left.count(), right.count())) or searched(left, right, *a))
+    got = S.nearest(frame(spark, rows), 3, exclude_same_owner=True)
+    assert seen == [(12, 12 * (3 + 1 + 4))]
+    assert sorted((r.id_a, r.id_b, r.distance, r["rank"]) for r in got.collect()) == sorted(brute(rows, 3, exclude_same_owner=True))
